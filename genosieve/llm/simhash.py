@@ -24,7 +24,7 @@ from genosieve.llm.components import components
 
 MAX_DISTANCE = 2
 #: Fingerprints in a block; a task holds two blocks and the nodes above them.
-BLOCK = 16_384
+BLOCK = 65_536
 #: Children of a node.
 FANOUT = 8
 #: Query-node tests held at a time.
