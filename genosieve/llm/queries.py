@@ -6,24 +6,48 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from genosieve.llm import packing, quality, simhash, toxicity, url_filter
+from genosieve.llm import licenses, media, packing, pieces, quality, simhash, tokenfile, toxicity, url_filter, warc
 from genosieve.llm.common import table
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, _ = media.write_archives(table(spark, sf_dir, "documents"))
+    return media.describe(media.read_archives(spark, folder))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.read(spark, tokenfile.write(table(spark, sf_dir, "documents")))
+
+
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rules_table(spark))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(warc.captures(table(spark, sf_dir, "pages")))
+    return warc.index(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes every whole text and decodes the ids again; the digest is of the decoded text."""
+    found = pieces.decode(pieces.encode(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n_tokens", "ids_crc32", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = quality.apply_policy(quality.evaluate(table(spark, sf_dir, "documents")))
     return ledger.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failure_bits")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.templates_table(spark))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -40,7 +64,7 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op4_urls, op7_quality, op9_packing, op10_toxicity)} | {"pipeline": _pipeline}
+    return {f.__name__: f for f in (op1_media, op2_simhash, op3_tokens, op4_urls, op5_warc, op6_pieces, op7_quality, op8_licenses, op9_packing, op10_toxicity)} | {"pipeline": _pipeline}
 
 
 _OP4 = """
