@@ -22,7 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 MARK = "▁"
 #: Distinct words, and pairs of pieces, that a Python worker remembers before it starts afresh.
-MEMORY = 500_000
+MEMORY = 700_000
 #: Before a word that no space precedes. A lone surrogate, so no text holds it.
 _BARE = "\ud800"
 _UNITS = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
@@ -35,6 +35,12 @@ class Vocabulary:
     def __init__(self, scores: dict[str, float], ids: dict[str, int], byte_ids: list[int] | None, unknown: int, bpe: bool):
         self.scores, self.ids, self.byte_ids, self.unknown, self.bpe = scores, ids, byte_ids, unknown, bpe
         self.longest = max(map(len, scores), default=1)
+        # lengths of pieces by their last three letters, longest first: few ends of a word need to be looked up
+        lengths: dict[str, set[int]] = {}
+        for p in scores:
+            if len(p) >= 3:
+                lengths.setdefault(p[-3:], set()).add(len(p))
+        self.lengths = {end: (*sorted(n, reverse=True), 2, 1) for end, n in lengths.items()}
 
     @classmethod
     def load(cls, path: str) -> "Vocabulary":
@@ -80,22 +86,22 @@ class TrieEncoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.valid: dict[tuple[str, str], bool] = {}
+        self.valid: dict[str, bool] = {}
         self.known: dict[str, bytes] = {}
+        self.data = {p: np.array([i], "<u4").tobytes() for p, i in vocabulary.ids.items()}
 
     def _follows(self, before: str, piece: str) -> bool:
         """Whether merging leaves exactly these two pieces (the first may be empty)."""
-        key = before, piece
-        ok = self.valid.get(key)
-        if ok is None:
-            if len(self.valid) >= MEMORY:
-                self.valid.clear()
-            ok = self.valid[key] = merge(before + piece, self.v.scores) == ([before, piece] if before else [piece])
+        ok = merge(before + piece, self.v.scores) == ([before, piece] if before else [piece])
+        if len(self.valid) >= MEMORY:
+            self.valid.clear()
+        self.valid[before + _BARE + piece] = ok
         return ok
 
     def sorted_words(self, words: list[str]) -> Iterator[tuple[str, list[str]]]:
         """(word, pieces) of words in ascending order, in one depth-first walk."""
         scores, longest, bpe = self.v.scores, self.v.longest, self.v.bpe
+        lengths, valid, short = self.v.lengths, self.valid, (2, 1)
         lowest = min(scores.values(), default=0.0) - 10
         last = [""]  # last[i]: last piece of the first i letters; only the part shared with the next word is kept
         score = [0.0]
@@ -109,12 +115,15 @@ class TrieEncoder:
             del last[same + 1 :], score[same + 1 :]
             for i in range(same + 1, len(word) + 1):
                 if bpe:
-                    for start in range(max(0, i - longest), i):
-                        piece = word[start:i]
-                        if (piece in scores or start == i - 1) and self._follows(last[start], piece):
-                            last.append(piece)
-                            break
-                    score.append(0.0)
+                    for n in lengths.get(word[i - 3 : i] if i > 2 else "", short):
+                        if n > i:
+                            continue
+                        piece = word[i - n : i]
+                        if n == 1 or piece in scores:
+                            ok = valid.get(last[i - n] + _BARE + piece)
+                            if ok or ok is None and self._follows(last[i - n], piece):
+                                last.append(piece)
+                                break
                     continue
                 best, chosen = score[i - 1] + lowest, word[i - 1 : i]
                 for start in range(max(0, i - longest), i):
@@ -129,6 +138,9 @@ class TrieEncoder:
                 at -= len(last[at])
             yield word, pieces[::-1]
 
+    def _bytes(self, piece: str) -> bytes:
+        return np.array(self.v.ids_of(piece), "<u4").tobytes()
+
     @staticmethod
     def cut(text: str | None) -> list[str]:
         """Words of a whole text. A word stands for itself after a space; other words are told by their first sign."""
@@ -150,8 +162,9 @@ class TrieEncoder:
             new = set().union(*cut)
         if new:
             marked = {(w[1:] if w[0] == _BARE else w if w[0] in f"{MARK}\n" else MARK + w): w for w in new}
+            data = self.data
             for word, pieces in self.sorted_words(sorted(marked)):
-                self.known[marked[word]] = np.array([i for p in pieces for i in self.v.ids_of(p)], "<u4").tobytes()
+                self.known[marked[word]] = b"".join([data.get(p) or self._bytes(p) for p in pieces])
         get = self.known.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
