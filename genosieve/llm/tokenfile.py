@@ -31,12 +31,14 @@ END_ID = 0
 #: A block is closed at the document that brings it to so many ids.
 BLOCK_IDS = 32_768
 #: Blocks that one reading task takes.
-TASK_BLOCKS = 64
+TASK_BLOCKS = 256
 _MAGIC = int.from_bytes(b"S8BTOKEN", "little")
 # Ids per word and their width, by selector; 15 is the escape.
 _COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 _BITS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 _ESCAPE = 15
+#: Selector by the bits of a value; one past the last says that it must escape.
+_NARROWEST = np.searchsorted(_BITS, np.arange(66)).astype(np.uint8)
 
 
 def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -45,8 +47,9 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(v)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    limits = np.array([1 << b for b in _BITS], np.uint64)
-    kind = np.searchsorted(limits, v, side="right").astype(np.uint8)  # narrowest selector for a value alone
+    width = np.frexp((v >> np.uint64(8)).astype(np.float64))[1] + 8  # bits of a value, exact where a limit lies
+    width = np.where(v < 256, np.frexp(v.astype(np.float64))[1], width)
+    kind = _NARROWEST[width]  # narrowest selector for a value alone
     kind = np.concatenate([kind, np.zeros(_COUNTS[0], np.uint8)])  # a last word may be padded
     sel = np.where(kind[:n] == len(_BITS), _ESCAPE, len(_BITS) - 1).astype(np.uint8)
     widest, have = kind, 1
@@ -58,19 +61,21 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             break  # nor can a longer window of narrower values
         sel[: len(fits)][fits] = j
     counts = np.array([*_COUNTS, 1, 1], np.int64)
-    follow = (np.arange(n) + counts[sel]).tolist()
+    steps = counts.astype(np.uint8)[sel].tobytes()  # bytes give their numbers without a list of them
     at, starts = 0, []
     while at < n:
         starts.append(at)
-        at = follow[at]
+        at += steps[at]
     pos = np.array(starts)
     chosen = sel[pos]
     padded = np.concatenate([v, np.zeros(_COUNTS[0], np.uint64)])
     words = np.zeros(len(pos), np.uint64)
     for j in range(len(_BITS)):
         if len(p := np.flatnonzero(chosen == j)):
-            shifts = (np.arange(_COUNTS[j]) * _BITS[j]).astype(np.uint64)
-            words[p] = np.bitwise_or.reduce(padded[pos[p][:, None] + np.arange(_COUNTS[j])] << shifts, axis=1) | np.uint64(j << 60)
+            at, word = pos[p], np.full(len(p), j << 60, np.uint64)
+            for k in range(_COUNTS[j]):
+                word |= padded[at + k] << np.uint64(k * _BITS[j])
+            words[p] = word
     p = np.flatnonzero(chosen == _ESCAPE)
     words[p] = np.arange(len(p), dtype=np.uint64) | np.uint64(_ESCAPE << 60)
     return words, v[pos[p]]
@@ -84,8 +89,9 @@ def decode(words: np.ndarray, escapes: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros(int(counts.sum()), np.uint64)
     for j in range(len(_BITS)):
         if len(p := np.flatnonzero(sel == j)):
-            shifts = (np.arange(_COUNTS[j]) * _BITS[j]).astype(np.uint64)
-            out[at[p][:, None] + np.arange(_COUNTS[j])] = (words[p][:, None] >> shifts) & np.uint64((1 << _BITS[j]) - 1)
+            to, word, mask = at[p], words[p], np.uint64((1 << _BITS[j]) - 1)
+            for k in range(_COUNTS[j]):
+                out[to + k] = (word >> np.uint64(k * _BITS[j])) & mask
     p = np.flatnonzero(sel == _ESCAPE)
     out[at[p]] = escapes[(words[p] & np.uint64((1 << 60) - 1)).astype(np.int64)]
     return out[:n]

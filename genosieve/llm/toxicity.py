@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bound of the training sample: at most so many labelled documents of each label.
-MAX_TOXIC, MAX_CLEAN = 1500, 2500
+MAX_TOXIC, MAX_CLEAN = 1000, 1500
 MAX_LANDMARKS, BACKGROUND = 56, 16
 THRESHOLD = 0.3
 #: Share of a landmark's letters that a token must have to meet it at all.
