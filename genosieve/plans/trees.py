@@ -196,7 +196,7 @@ def n03_recent_distances(spark: SparkSession, sf: str) -> DataFrame:
     return T.recent_distances(n, dates(spark, sf), 0.8, 1.0)
 
 
-@register(_LONG + ", f as (select lineage, variant_no, list(feature) as f from long group by 1, 2) select a.lineage, a.variant_no as i, b.variant_no as j, len(list_filter(a.f, x -> not list_contains(b.f, x))) + len(list_filter(b.f, x -> not list_contains(a.f, x))) as d from f a join f b on a.lineage = b.lineage and b.variant_no = a.variant_no + 1")
+@register(_LONG + ", f as (select lineage, variant_no, list(feature) as f from long group by 1, 2) select a.lineage, a.variant_no as i, b.variant_no as j, len(a.f) + len(b.f) - 2 * len(list_intersect(a.f, b.f)) as d from f a join f b on a.lineage = b.lineage and b.variant_no = a.variant_no + 1")
 def s02_symmetric_difference(spark: SparkSession, sf: str) -> DataFrame:
     from genosieve.functions import expressions as X
 

@@ -1,15 +1,28 @@
-"""Cutting a plan's lineage with reliable checkpoints."""
+"""Shared storage: the cluster's folder and reliable checkpoints."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; one is made only where none is set, as in tests."""
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        known = sc._jsc.sc().getCheckpointDir()
+        if known.isDefined():
+            return known.get()
+        root = "file://" + tempfile.mkdtemp(prefix="spark-")
+        sc.setCheckpointDir(root)
+    return root
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder of ``spark.checkpoint.dir``; one is made only where none is set."""
+    """A checkpoint on shared storage."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
