@@ -69,12 +69,12 @@ def f07_drop_unclassified(spark: SparkSession, sf: str) -> DataFrame:
     return qc.drop_unclassified(o)
 
 
-@register("""with s as (select doc_id, source || '/' || lang || '/' || doc_id as header, upper(text) as s, doc_id % 500 as accession, n_chars, cast(2020 + doc_id % 5 as varchar) || '-' || cast(1 + doc_id % 13 as varchar) || '-11' as d from documents),
+@register("""with s as (select doc_id, source || '/' || lang || '/' || doc_id as header, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) as s, doc_id % 500 as accession, n_chars, cast(2020 + doc_id % 5 as varchar) || '-' || cast(1 + doc_id % 13 as varchar) || '-11' as d from documents),
 t as (select *, row_number() over (partition by accession order by header) as rn, length(s) - length(regexp_replace(regexp_replace(s, '[N?]', '', 'g'), '^-+|-+$', '', 'g')) as amb from s)
 select accession, case when regexp_matches(header, '/es/') then 'nonhuman' when length(s) < 900 then 'short' when amb > length(s) * 0.08 then 'ambiguous' when regexp_matches(header, '^src7') then 'mangled' when rn > 1 then 'duplicate'
   when try_strptime(d, '%Y-%m-%d') is null or cast(try_strptime(d, '%Y-%m-%d') as date) not between date '2020-02-01' and date '2023-06-01' then 'baddate' end as reason, count(*) as n from t group by 1, 2""")
 def f08_qc_strict(spark: SparkSession, sf: str) -> DataFrame:
-    d = M.table(spark, sf, "documents").select(F.concat_ws("/", "source", "lang", "doc_id").alias("header"), "text", (F.col("doc_id") % 500).alias("acc"), F.concat_ws("-", 2020 + F.col("doc_id") % 5, 1 + F.col("doc_id") % 13, F.lit("11")).alias("d"))
+    d = M.table(spark, sf, "documents").select(F.concat_ws("/", "source", "lang", "doc_id").alias("header"), F.regexp_replace("text", "[^A-Za-z]", "").alias("text"), (F.col("doc_id") % 500).alias("acc"), F.concat_ws("-", 2020 + F.col("doc_id") % 5, 1 + F.col("doc_id") % 13, F.lit("11")).alias("d"))
     found = qc.qc_strict(d, "header", "text", "acc", "d", 0.08, 900, "/es/", "^src7", (date(2020, 2, 1), date(2023, 6, 1)))
     return found.groupBy("accession", "reason").agg(F.count("*").alias("n"))
 
