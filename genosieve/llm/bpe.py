@@ -15,7 +15,6 @@ import numpy as np
 MEMORY = 1_000_000
 #: Before a chunk that no space precedes. A lone surrogate, so no text holds it.
 _BARE = "\ud800"
-_GAP = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Punctuation after a letter or digit at the end of a chunk.
 _END = re.compile(r"(?<=[^\W_])([^\w\s]+)$")
@@ -37,6 +36,7 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.last: dict[str, bytes] = {}  # the generation before
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = Tokenizer.from_file(path)  # the same model over single words in its byte alphabet
         self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
@@ -46,27 +46,27 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Nulls count as empty texts, which have no ids."""
-        cut = []
-        for t in texts:
-            if not t:
-                cut.append([])
-                continue
-            if _GAP.search(t) or t[0].isspace() or t[-1].isspace():
-                parts = _CUT.split(t)
-                parts[0] = _BARE + parts[0]
-            else:  # every line feed stands alone between two words
-                parts = (_BARE + t.replace("\n", " \n " + _BARE)).split(" ")
-            cut.append(parts)
-        known = self.known
-        new = set().union(*cut).difference(known)
-        if len(known) + len(new) > MEMORY:
-            known.clear()
+        # cut at every space, and around every line feed; what that does wrong shows in words with white space, or none
+        cut = [(_BARE + t.replace("\n", " \n " + _BARE)).split(" ") if t else [] for t in texts]
+        new = set().union(*cut).difference(self.known)
+        if wrong := {w for w in new if w != "\n" and (w == _BARE or w.split() != [w])}:
+            for i, parts in enumerate(cut):
+                if not wrong.isdisjoint(parts):
+                    cut[i] = _CUT.split(texts[i])
+                    cut[i][0] = _BARE + cut[i][0]
+            new = set().union(*cut).difference(self.known)
+        if len(self.known) + len(new) > MEMORY // 2:  # what the last generation knows need not be encoded again
+            self.last, self.known = self.known, {}
             new = set().union(*cut)
+        known, last = self.known, self.last
+        if last:
+            found = new.intersection(last)
+            known.update((w, last[w]) for w in found)
+            new -= found
         if new:
             # punctuation at a chunk's end is a token run of its own, so that a word is encoded once however it ends
-            ends = [(w, m.start(1)) for w in new if (m := _END.search(w)) and not any(x in w for x in self.special)]
-            lone = new.difference(w for w, _ in ends).union(w[:at] for w, at in ends).difference(known)
-            lone.update(x for x in {_BARE + w[at:] for w, at in ends} if x not in known)
+            ends = [(w, m.start(1)) for w in new if not w[-1].isalnum() and (m := _END.search(w)) and not any(x in w for x in self.special)]
+            lone = new.difference(w for w, _ in ends).union(w[:at] for w, at in ends).union(_BARE + w[at:] for w, at in ends).difference(known)
             self._learn(list(lone))
             for w, at in ends:
                 known[w] = known[w[:at]] + known[_BARE + w[at:]]

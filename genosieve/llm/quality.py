@@ -124,16 +124,16 @@ def keep(docs: DataFrame, version: str = "v2", text_col: str = "text") -> DataFr
     """The documents that a policy keeps, with all their columns, judged where they are read: the ledger rides along and
     no join brings it back."""
     names = docs.columns
-    at = names.index(text_col)
-    joined = T.StructType([*docs.schema.fields, T.StructField("#ledger", T.ArrayType(T.LongType()))])
+    at, ledger_name = names.index(text_col), "#ledger" + "#" * max(map(len, names))  # a name that is free
+    joined = T.StructType([*docs.schema.fields, T.StructField(ledger_name, T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = pa.array([measure(t) for t in batch.column(at).to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, rows], names=[*names, "#ledger"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, rows], names=[*names, ledger_name])
 
     ledger = docs.mapInArrow(run, joined)
-    columns = {m: F.element_at(F.col("`#ledger`"), i + 1) for i, m in enumerate(MEASURES)}
+    columns = {m: F.element_at(F.col(f"`{ledger_name}`"), i + 1) for i, m in enumerate(MEASURES)}
     kept = ledger.where(failure_bits(columns=columns).bitwiseAND(F.lit(policy_mask(version) | BASE)) == 0)
     return kept.select(*(F.col(f"`{n}`") for n in names))
 

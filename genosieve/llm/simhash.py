@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from genosieve.llm.common import written
 from genosieve.llm.components import components
@@ -210,22 +210,42 @@ def _bucket(rank: F.Column, bounds: list[int]) -> F.Column:
     return half(0, len(bounds))
 
 
-def near_duplicates(docs: DataFrame, limit: int = MAX_DISTANCE, block: int = BLOCK, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, fp, component_id, n_same): one row per input row; fingerprints within ``limit`` bits are linked."""
-    prints = written(fingerprints(docs, text_col, id_col), "prints")
+def _classes(prints: DataFrame, limit: int, block: int, id_col: str) -> DataFrame:
+    """(fp, root, component_id, n_same) of the distinct fingerprints; component_id is null if no document has an id."""
     classes = written(prints.groupBy("fp").agg(F.min(id_col).alias("first_id"), F.count("*").alias("n_same")), "classes")
     roots = components(link_forest(classes, limit, block))
     placed = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = placed.join(least, "root").select("fp", "component_id", "n_same")
-    return prints.join(named, "fp").select(id_col, "fp", "component_id", "n_same")
+    return placed.join(least, "root").select("fp", "root", "component_id", "n_same")
 
 
-def keep_first(docs: DataFrame, limit: int = MAX_DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component stays: the one whose id is the component's; of rows that share an id and
-    fingerprint, one stays. Documents without an id stay if no document of their component has one, one per component.
-    """
-    found = near_duplicates(docs, limit, id_col=id_col, text_col=text_col)
-    heads = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col).distinct()
-    kept = docs.join(heads, docs[id_col].eqNullSafe(heads[id_col]), "left_semi")
-    return kept.dropDuplicates([id_col])
+def near_duplicates(docs: DataFrame, limit: int = MAX_DISTANCE, block: int = BLOCK, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(id, fp, component_id, n_same): one row per input row; fingerprints within ``limit`` bits are linked."""
+    prints = written(fingerprints(docs, text_col, id_col), "prints")
+    return prints.join(_classes(prints, limit, block, id_col), "fp").select(id_col, "fp", "component_id", "n_same")
+
+
+def keep_first(docs: DataFrame, limit: int = MAX_DISTANCE, block: int = BLOCK, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """One document of each component stays, with all its columns: the one whose id is the component's (of its repeated
+    rows, one). Documents without an id stay only if no document of their component has one, and then one of them."""
+    prints = written(fingerprints(docs, text_col, id_col), "prints")
+    classes = written(_classes(prints, limit, block, id_col), "named")
+    heads = prints.join(classes, "fp").where(F.col(id_col) == F.col("component_id")).select(F.col(id_col)).distinct()
+    named = docs.where(F.col(id_col).isNotNull()).join(heads, id_col, "left_semi").dropDuplicates([id_col, text_col]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    nameless = _with_fingerprint(docs.where(F.col(id_col).isNull()), text_col)
+    alone = classes.where("component_id is null").select(F.col("fp").alias("#own"), F.col("root").alias("#root"))
+    rest = nameless.join(alone, nameless[nameless.columns[-1]] == F.col("#own")).dropDuplicates(["#root"])
+    return named.unionByName(rest.select(*(nameless[c] for c in docs.columns)))
+
+
+def _with_fingerprint(docs: DataFrame, text_col: str) -> DataFrame:
+    """All columns and, last, the fingerprint under a name that is free."""
+    names = docs.columns
+    at, name = names.index(text_col), "#fp" + "#" * max(map(len, names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = np.array([fingerprint(t) for t in batch.column(at).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp)], names=[*names, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))

@@ -47,8 +47,9 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(v)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    width = np.frexp((v >> np.uint64(8)).astype(np.float64))[1] + 8  # bits of a value, exact where a limit lies
-    width = np.where(v < 256, np.frexp(v.astype(np.float64))[1], width)
+    width = np.frexp(v.astype(np.float64))[1]  # bits of a value; doubles are exact up to 53 bits
+    if (wide := np.flatnonzero(width > 50)).size:
+        width[wide] = np.frexp((v[wide] >> np.uint64(20)).astype(np.float64))[1] + 20
     kind = _NARROWEST[width]  # narrowest selector for a value alone
     kind = np.concatenate([kind, np.zeros(_COUNTS[0], np.uint8)])  # a last word may be padded
     sel = np.where(kind[:n] == len(_BITS), _ESCAPE, len(_BITS) - 1).astype(np.uint8)
@@ -59,7 +60,7 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         fits = widest[:n] <= j
         if not fits.any():
             break  # nor can a longer window of narrower values
-        sel[: len(fits)][fits] = j
+        np.putmask(sel, fits, j)
     counts = np.array([*_COUNTS, 1, 1], np.int64)
     steps = counts.astype(np.uint8)[sel].tobytes()  # bytes give their numbers without a list of them
     at, starts = 0, []
