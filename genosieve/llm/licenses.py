@@ -76,7 +76,12 @@ def _keys(h: Column, size: int, step: int) -> Column:
     n = F.size(h)
     last = F.greatest(n - size + 1, F.lit(1))
     starts = F.concat(F.sequence(F.lit(1), last, F.lit(step)), F.array(last))
-    bands = [_let(F.transform(h, lambda x, b=b: F.xxhash64(x, F.lit(b))), lambda m: F.transform(starts, lambda s: F.array_min(F.slice(m, s, size)))) for b in range(BANDS)]
+
+    def minima(band: int) -> Column:
+        mixed = F.transform(h, lambda x: F.xxhash64(x, F.lit(band)))
+        return _let(mixed, lambda m: F.transform(starts, lambda s: F.array_min(F.slice(m, s, size))))
+
+    bands = [minima(b) for b in range(BANDS)]
     return F.when(n >= size, F.flatten(F.array(*bands))).otherwise(F.array().cast("array<bigint>"))
 
 

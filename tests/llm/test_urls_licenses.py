@@ -63,6 +63,6 @@ def test_changed_licenses(spark, odd, few, monkeypatch):
     docs = [(1, "a b c " * 50 + " ".join(grant) + " d e f" * 40), (2, " ".join(grant[:30] + ["CHANGED"] + grant[31:])), (3, " ".join(grant[:20])), (4, "RELEASED!! UNDER!! THE!! MIT!! LICENSE.!!"), (5, None), (6, ""), (None, "Released under the MIT License."), (1, "Released under the MIT License."), (1, "Released under the MIT License."), (8, "x" * 100_000)]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("key", __import__("pyspark").sql.functions.lit(1))
     found = sorted(((r.doc_id, r.template) for r in L.scan(df, L.templates_table(spark)).collect()), key=str)
-    assert found == sorted(brute_licenses([(str(i), t) for i, t in docs]), key=str) or found == sorted(((i, n) for i, t in docs for _, n in brute_licenses([(i, t)])), key=str)
+    assert found == sorted(((i, n) for i, t in docs for _, n in brute_licenses([(i, t)])), key=str)
     assert L.scan(df.where("false"), L.templates_table(spark)).count() == 0
     assert L.scan(df, L.templates_table(spark).where("false")).count() == 0
