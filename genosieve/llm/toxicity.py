@@ -317,7 +317,9 @@ def fit(texts: list[str | None], toxic: list[int]) -> Model:
     share = np.where(sign > 0, 0.5 / len(xp), 0.5 / len(xn)) * len(x)
     w, model.bias = _hinge(x, sign, share, 1.0)
     model.weights = root @ w
-    model.slopes, model.offset = _logistic(scorer.features([r[0] for r in rows]), y)
+    # every tenth toxic document comes again with a letter inserted in its insults
+    veiled = [" ".join(w[: len(w) // 2] + "*" + w[len(w) // 2 :] if not marked.isdisjoint(_pieces(w)) else w for w in c) for c in [c for c, t in zip(cut, y) if t][::10]]
+    model.slopes, model.offset = _logistic(scorer.features([r[0] for r in rows] + veiled), np.concatenate([y, np.ones(len(veiled), bool)]))
     return model
 
 
