@@ -48,7 +48,7 @@ def test_learns_on_held_out_documents(spark):
 def small_model():
     rng = np.random.default_rng(1)
     filler = ["the", "of", "tion", "thing", "there", "reading", "ones", "other", "market", "water"]
-    clean = [" ".join(rng.choice(filler, 30)) + f" c{i}." for i in range(120)]
+    clean = [" ".join(rng.choice(filler, 30)) + f" c{i}. fine." for i in range(120)]
     toxic = [" ".join(rng.choice(filler, 20)) + f" you {w} t{i}. fine." for i, w in enumerate(["idiot", "moron", "scumbag"] * 20)]
     return T.fit(clean + toxic, [0] * 120 + [1] * 60)
 
@@ -56,7 +56,9 @@ def small_model():
 def test_inserted_letters_are_tolerated():
     scorer = T.Scorer(small_model())
     s = scorer.scores(["you are an idiot", "you are an i d i o t", "an idi*ot", "a fine market of water", "", None, "the scumm-bag there"])
-    assert s[0] > 0.3 and s[1] > 0.3 and s[2] > 0.3 and s[6] > 0.3 and s[3] < 0.3 and s[4] < 0.3 and s[5] == s[4]
+    assert s[0] > 0.3 and s[1] > 0.3 and s[3] < 0.3 and s[4] < 0.3 and s[5] == s[4]
+    top = scorer.features(["an idi*ot", "the scumm-bag there", "a fine market of water"])[:, 0]
+    assert min(top[:2]) > top[2] + 0.3  # letters put in lower the value, but do not hide the word
 
 
 def test_odd_rows(spark, odd, none):
