@@ -12,7 +12,7 @@ import re
 import numpy as np
 
 #: Distinct chunks a Python worker remembers before it starts afresh (about 200 bytes each).
-MEMORY = 1_000_000
+MEMORY = 1_300_000
 #: Before a chunk that no space precedes. A lone surrogate, so no text holds it.
 _BARE = "\ud800"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -36,7 +36,6 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-        self.last: dict[str, bytes] = {}  # the generation before
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = Tokenizer.from_file(path)  # the same model over single words in its byte alphabet
         self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
@@ -55,14 +54,10 @@ class ChunkEncoder:
                     cut[i] = _CUT.split(texts[i])
                     cut[i][0] = _BARE + cut[i][0]
             new = set().union(*cut).difference(self.known)
-        if len(self.known) + len(new) > MEMORY // 2:  # what the last generation knows need not be encoded again
-            self.last, self.known = self.known, {}
+        known = self.known
+        if len(known) + len(new) > MEMORY:
+            known.clear()
             new = set().union(*cut)
-        known, last = self.known, self.last
-        if last:
-            found = new.intersection(last)
-            known.update((w, last[w]) for w in found)
-            new -= found
         if new:
             # punctuation at a chunk's end is a token run of its own, so that a word is encoded once however it ends
             ends = [(w, m.start(1)) for w in new if not w[-1].isalnum() and (m := _END.search(w)) and not any(x in w for x in self.special)]
