@@ -122,11 +122,11 @@ def io10_read_annotations(spark: SparkSession, sf: str) -> DataFrame:
     return io.read_annotations(spark, path).withColumn("effects", F.array_join("effects", ","))
 
 
-@register(PRE + "select lineage, status as variant, cast(coldate as varchar) as coldate, cast(accession as varchar) as accession, location, name from samples where segment = 'MACHINERY'")
+@register(PRE + "select lineage, status as variant, cast(coldate as varchar) as coldate, cast(accession as varchar) as accession, location, name from samples")
 def io11_clusters_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """IO14 and IO11: clusters as JSON lines and back."""
     path = _path(spark, "clusters")
-    s = M.samples(spark, sf).where("segment = 'MACHINERY'").select("lineage", F.col("status").alias("variant"), F.col("coldate").cast("string").alias("coldate"), F.col("accession").cast("string").alias("accession"), "location", "name")
+    s = M.samples(spark, sf).select("lineage", F.col("status").alias("variant"), F.col("coldate").cast("string").alias("coldate"), F.col("accession").cast("string").alias("accession"), "location", "name")
     edges = s.select("lineage", F.lit(0).alias("pos"), F.lit("F").alias("parent"), F.lit("O").alias("child"), F.lit(1.0).alias("dist"), F.lit(0.5).alias("support")).distinct()
     io.write_clusters(s, edges, path)
     return io.read_clusters(spark, path)[0]

@@ -58,11 +58,11 @@ def j06_concordance(spark: SparkSession, sf: str) -> DataFrame:
     return J.concordance(assignments(spark, sf), s, agree=False).select("accession", "lineage", "assigned")
 
 
-@register("select o_orderkey as k, o_orderpriority as v from orders where o_orderkey % 2 = 0 union all select o_orderkey, o_orderstatus from orders where o_orderkey % 2 = 1 and o_orderkey % 3 = 0")
+@register("select o_orderkey as k, o_orderpriority as v from orders where o_orderkey % 2 = 0 union all select o_orderkey, o_orderstatus from orders where o_orderkey % 2 = 1")
 def j07_append_missing(spark: SparkSession, sf: str) -> DataFrame:
     o = M.table(spark, sf, "orders")
     old = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("v"))
-    return J.append_missing(old, o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("v")), "k")
+    return J.append_missing(old, o.select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("v")), "k")
 
 
 @register("select doc_id, case when doc_id % 5 = 0 then 'new' when doc_id % 5 = 1 then 'header' when doc_id % 5 = 2 then 'content' else 'same' end as change from documents")
