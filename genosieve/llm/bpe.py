@@ -12,7 +12,7 @@ import re
 import numpy as np
 
 #: Distinct chunks a Python worker remembers before it starts afresh (about 200 bytes each).
-MEMORY = 1_300_000
+MEMORY = 800_000
 #: Before a chunk that no space precedes. A lone surrogate, so no text holds it.
 _BARE = "\ud800"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
