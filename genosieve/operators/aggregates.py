@@ -100,10 +100,10 @@ def merge_maps(df: DataFrame, keys: list[str], col: str) -> DataFrame:
 
 
 def mode_first(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
-    """Commonest value per group; of equals the one that reached the top count first in ``order``."""
-    w = Window.partitionBy(*keys, value).orderBy(order)
-    ranked = df.withColumn("nth", F.row_number().over(w))
-    return ranked.groupBy(*keys).agg(F.max_by(value, F.struct("nth", -F.col(order))).alias(value))
+    """Commonest value per group; of equals the one that reached the top count first in ``order``. That is the one whose
+    last row comes first, so counts and maxima say it and no group is sorted."""
+    counts = df.groupBy(*keys, value).agg(F.count("*").alias("n"), F.max(order).alias("last"))
+    return counts.groupBy(*keys).agg(F.min_by(value, F.struct((-F.col("n")).alias("n"), "last")).alias(value))
 
 
 def points(samples: DataFrame, group: str = "lineage", date: str = "coldate") -> DataFrame:
