@@ -22,6 +22,22 @@ def x03_apply_features(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", X.apply_features(diffs, missing, "ref").alias("seq"))
 
 
+@register("""with f as (select doc_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) as ref from documents), g as (select *, length(ref) // 40 as p from f)
+select doc_id, case when p > 0 then repeat('N', 3 * p) || substr(ref, 3 * p + 1, 2 * p) || 'T' || substr(ref, 5 * p + 2, 5 * p - 1) || repeat('-', 3 * p) || substr(ref, 13 * p + 1) else ref end as seq from g""")
+def x03_apply_features_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's whole letters are a reference; differences lie at fortieths of its length, none in short ones."""
+    ref = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
+    d = M.table(spark, sf, "documents").select("doc_id", ref.alias("ref"), F.floor(F.length(ref) / 40).cast("int").alias("p"))
+
+    def diff(typ: str, pos: F.Column, alt: F.Column) -> F.Column:
+        return F.struct(F.lit(typ).alias("typ"), pos.alias("pos"), alt.alias("alt"))
+
+    p = F.col("p")
+    diffs = F.array(diff("~", 5 * p, F.lit("T")), diff("-", 10 * p, (3 * p).cast("string")), diff("+", 20 * p, F.lit("AA")))
+    missing = F.array(F.struct(F.lit(0).alias("left"), (3 * p).alias("right")))
+    return d.select("doc_id", F.when(p > 0, X.apply_features(diffs, missing, "ref")).otherwise(F.col("ref")).alias("seq"))
+
+
 @register(PRE + "select accession, variant_key, n_features from keys")
 def x04_variant_key(spark: SparkSession, sf: str) -> DataFrame:
     """Keys are made, parsed and made again."""
