@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -37,27 +38,31 @@ def drop_unmutated(samples: DataFrame, features: DataFrame, key: str = "accessio
     return samples.join(features.select(key), key, "left_semi")
 
 
-def clock_thresholds(days: DataFrame, rate: float, cutoff: float, max_count: int = 100) -> DataFrame:
-    """(day, qmin, qmax) of a Poisson clock with ``rate`` features a day, for the distinct days given.
+def clock_thresholds(days: DataFrame, rate: float, cutoff: float, maxtime: int | None = None) -> DataFrame:
+    """(day, qmin, qmax) of a Poisson clock with ``rate`` features a day up to ``maxtime``, for the distinct days given.
 
-    A day's distribution is one group of ``max_count`` rows, whatever the data's size.
+    A day's distribution is one group of counts up to where its upper tail is below the cutoff by Bernstein's bound, so
+    its length follows the mean and not the data's size.
     """
-    k = F.explode(F.sequence(F.lit(0), F.lit(max_count - 1))).alias("k")
+    mean = (F.col("day") if maxtime is None else F.least("day", F.lit(maxtime))) * F.lit(rate)
+    tail = -math.log(min(cutoff, 1 - cutoff))
+    top = F.greatest(mean, F.lit(0.0)) + tail / 3 + F.sqrt(tail**2 / 9 + 2 * tail * F.greatest(mean, F.lit(0.0)))
+    k = F.explode(F.sequence(F.lit(0), F.ceil(top).cast("int") + 1)).alias("k")
     grid = days.select("day").distinct().select("day", k)
     order = Window.partitionBy("day").orderBy("k")
-    mean = F.col("day") * F.lit(rate)
     logs = F.sum(F.when(F.col("k") > 0, F.log(F.greatest("k", F.lit(1)).cast("double"))).otherwise(0.0)).over(order)
     pmf = F.when(mean > 0, F.exp(F.col("k") * F.log(mean) - mean - logs)).otherwise((F.col("k") == 0).cast("double"))
     cdf = grid.select("day", "k", F.sum(pmf).over(order).alias("cdf"))
     return cdf.groupBy("day").agg(F.count_if(F.col("cdf") <= cutoff).cast("int").alias("qmin"), F.count_if(F.col("cdf") <= 1 - cutoff).cast("int").alias("qmax"))
 
 
-def clock_outliers(samples: DataFrame, rate: float, cutoff: float, origin: date = date(2019, 12, 1), date_col: str = "coldate", count_col: str = "n_features") -> DataFrame:
-    """Adds day, qmin, qmax and outlier: more features than qmax, or not more than qmin. A cutoff of 0 rejects none."""
+def clock_outliers(samples: DataFrame, rate: float, cutoff: float, origin: date = date(2019, 12, 1), date_col: str = "coldate", count_col: str = "n_features", maxtime: int | None = 1000) -> DataFrame:
+    """Adds day, qmin, qmax and outlier: more features than qmax, or not more than qmin. A cutoff of 0 rejects none. Days
+    after ``maxtime`` have its limits; None lets the limits grow on."""
     dated = samples.withColumn("day", F.datediff(F.col(date_col), F.lit(origin)))
     if cutoff <= 0:
         return dated.withColumns({"qmin": F.lit(None).cast("int"), "qmax": F.lit(None).cast("int"), "outlier": F.lit(False)})
-    limits = clock_thresholds(dated.where("day is not null"), rate, cutoff)
+    limits = clock_thresholds(dated.where("day is not null"), rate, cutoff, maxtime)
     out = (F.col(count_col) > F.col("qmax")) | (F.col(count_col) <= F.col("qmin"))
     return dated.join(limits, "day", "left").withColumn("outlier", F.coalesce(out, F.lit(False)))
 

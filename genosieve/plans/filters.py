@@ -47,7 +47,18 @@ cdf as (select day, k, sum(case when mu > 0 then exp(k * ln(mu) - mu - lf) when
 lim as (select day, cast(count_if(cdf <= 0.05) as int) as qmin, cast(count_if(cdf <= 1 - 0.05) as int) as qmax from cdf group by day)
 select accession, day, qmin, qmax, n_features > qmax or n_features <= qmin as outlier from (select *, datediff('day', date '1994-12-01', coldate) as day from encoded) join lim using (day)""")
 def f05_clock_outliers(spark: SparkSession, sf: str) -> DataFrame:
-    found = qc.clock_outliers(encoded(spark, sf), 0.002, 0.05, date(1994, 12, 1))
+    found = qc.clock_outliers(encoded(spark, sf), 0.002, 0.05, date(1994, 12, 1), maxtime=None)
+    return found.select("accession", "day", "qmin", "qmax", "outlier")
+
+
+@register(PRE + """, dated as (select *, datediff('day', date '1994-12-01', coldate) as day, least(datediff('day', date '1994-12-01', coldate), 1600) as d from encoded),
+grid as (select d, k, 0.0655 * d as mu, sum(case when k > 0 then ln(k) else 0 end) over (partition by d order by k) as lf from (select distinct d from dated), range(0, 400) t(k)),
+cdf as (select d, k, sum(case when mu > 0 then exp(k * ln(mu) - mu - lf) when k = 0 then 1.0 else 0.0 end) over (partition by d order by k) as cdf from grid),
+lim as (select d, cast(count_if(cdf <= 0.005) as int) as qmin, cast(count_if(cdf <= 1 - 0.005) as int) as qmax from cdf group by d)
+select accession, day, qmin, qmax, n_features > qmax or n_features <= qmin as outlier from dated join lim using (d)""")
+def f05_clock_outliers_late(spark: SparkSession, sf: str) -> DataFrame:
+    """The reference's rate and cutoff, with limits beyond 100 features and days after the last one of the clock."""
+    found = qc.clock_outliers(encoded(spark, sf), 0.0655, 0.005, date(1994, 12, 1), maxtime=1600)
     return found.select("accession", "day", "qmin", "qmax", "outlier")
 
 
