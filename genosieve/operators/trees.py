@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from genosieve.sources.shared import cut
@@ -249,24 +250,45 @@ def read_newick(trees: DataFrame, text: str = "newick") -> DataFrame:
     return n.select("tree", "node_id", F.when(label != "", label).alias("name"), length.alias("length"), "is_tip").join(parents, ["tree", "node_id"])
 
 
-def to_newick(nodes: DataFrame, max_depth: int = 1000) -> DataFrame:
-    """(tree, newick): children by node id, built level by level from the deepest."""
-    depth = ancestors(nodes).groupBy("tree", "node_id").agg(F.max("hops").alias("depth"))
-    n = cut(nodes.join(depth, ["tree", "node_id"]))
-    top = n.agg(F.max("depth")).first()[0]
-    if top is None:
-        return n.select("tree", F.lit("").alias("newick")).where("false")
+def to_newick(nodes: DataFrame) -> DataFrame:
+    """(tree, newick): children by node id. A tree is one text and so one group, walked depth-first without recursion, in
+    proportion to its nodes whatever its depth. Nodes that no root reaches are an error."""
     label = F.concat(F.coalesce("name", F.lit("")), F.when(F.col("length").isNotNull(), F.concat(F.lit(":"), F.col("length").cast("string"))).otherwise(""))
-    n = n.withColumn("label", label)
-    below = None
-    for d in range(min(top, max_depth), -1, -1):
-        level = n.where(F.col("depth") == d)
-        if below is not None:
-            level = level.join(below, ["tree", "node_id"], "left").withColumn("text", F.concat(F.coalesce(F.concat(F.lit("("), F.col("kids"), F.lit(")")), F.lit("")), F.col("label")))
-        else:
-            level = level.withColumn("text", F.col("label"))
-        below = cut(level.groupBy("tree", F.col("parent_id").alias("node_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("node_id").alias("k"), "text"))), lambda x: x["text"]), ",").alias("kids")))
-    return below.select("tree", F.concat("kids", F.lit(";")).alias("newick"))
+
+    def write(t: pa.Table) -> pa.Table:
+        ids, parents, labels = (t.column(c).to_pylist() for c in ("node_id", "parent_id", "label"))
+        kids: dict[int | None, list[int]] = {}
+        for k in sorted(range(len(ids)), key=ids.__getitem__):
+            kids.setdefault(parents[k], []).append(k)
+        out: list[str] = []
+        stack: list[int | str] = []
+        written = 0
+
+        def push(level: list[int]) -> None:
+            for at in range(len(level) - 1, -1, -1):
+                stack.append(level[at])
+                if at:
+                    stack.append(",")
+
+        push(kids.get(None, []))
+        while stack:
+            x = stack.pop()
+            if isinstance(x, str):
+                out.append(x)
+                continue
+            written += 1
+            if ids[x] in kids:
+                out.append("(")
+                stack.append(")" + labels[x])
+                push(kids.pop(ids[x]))
+            else:
+                out.append(labels[x])
+        if written != len(ids):
+            raise ValueError(f"{len(ids) - written} nodes of a tree are not below a root")
+        return pa.table({"tree": t.column("tree")[:1], "newick": pa.array(["".join(out) + ";"], pa.string())})
+
+    kind = nodes.schema["tree"].dataType.simpleString()
+    return nodes.select("tree", "node_id", "parent_id", label.alias("label")).groupBy("tree").applyInArrow(write, f"tree {kind}, newick string")
 
 
 def reorder_edges(nodes: DataFrame, spans: DataFrame) -> DataFrame:
