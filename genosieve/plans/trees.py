@@ -11,13 +11,14 @@ from genosieve.plans.registry import register
 from genosieve.sources.shared import cut
 
 PRE = M.PRELUDE
-LIMIT, REPLICATES = 30, 3  # the reference's limit on variants is a feature of T02; 30 newest ones here
+LIMIT, REPLICATES = 5000, 100  # the reference's values
+SQL_LIMIT = 30  # the newest variants in the first SQL of T02 and S02
 
 
-def dictionary(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def dictionary(spark: SparkSession, sf: str, limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
     """(variant features long: lineage, variant_no, feature_no; feature dictionary)."""
-    numbered, words = A.recode(A.variants(encoded(spark, sf)), LIMIT)
-    long = numbered.where(F.col("variant_no") < LIMIT).select("lineage", "variant_no", F.explode(F.split("variant_key", ",")).alias("feature"))
+    numbered, words = A.recode(A.variants(encoded(spark, sf)), limit)
+    long = numbered.where(F.col("variant_no") < limit).select("lineage", "variant_no", F.explode(F.split("variant_key", ",")).alias("feature"))
     return long.join(words, ["lineage", "feature"]).select("lineage", "variant_no", "feature_no"), words
 
 
@@ -46,14 +47,26 @@ _LONG = PRE + """, num as (select *, row_number() over (partition by lineage ord
 long as (select lineage, variant_no, unnest(string_split(variant_key, ',')) as feature from num where variant_no < 30 and variant_key <> '')"""
 
 
+def _whole(sql: str) -> str:
+    return sql.replace("variant_no < 30", f"variant_no < {LIMIT}")
+
+
 @register()
 def t01_bootstrap_weights(spark: SparkSession, sf: str) -> DataFrame:
     return T.bootstrap_weights(dictionary(spark, sf)[1], REPLICATES)
 
 
-@register(_LONG + """, w as (select lineage, variant_no, count(*) as w from long group by 1, 2), s as (select a.lineage, a.variant_no as i, b.variant_no as j, count(*) as s from long a join long b on a.lineage = b.lineage and a.feature = b.feature and a.variant_no < b.variant_no group by 1, 2, 3)
-select a.lineage, a.variant_no as i, b.variant_no as j, a.w + b.w - 2 * coalesce(s, 0) as dist from w a join w b on a.lineage = b.lineage and a.variant_no < b.variant_no left join s on s.lineage = a.lineage and s.i = a.variant_no and s.j = b.variant_no""")
+_DISTANCE = _LONG + """, w as (select lineage, variant_no, count(*) as w from long group by 1, 2), s as (select a.lineage, a.variant_no as i, b.variant_no as j, count(*) as s from long a join long b on a.lineage = b.lineage and a.feature = b.feature and a.variant_no < b.variant_no group by 1, 2, 3)
+select a.lineage, a.variant_no as i, b.variant_no as j, a.w + b.w - 2 * coalesce(s, 0) as dist from w a join w b on a.lineage = b.lineage and a.variant_no < b.variant_no left join s on s.lineage = a.lineage and s.i = a.variant_no and s.j = b.variant_no"""
+
+
+@register(_DISTANCE)
 def t02_pairwise_distance(spark: SparkSession, sf: str) -> DataFrame:
+    return T.pairwise_distance(dictionary(spark, sf, SQL_LIMIT)[0])
+
+
+@register(_whole(_DISTANCE))
+def t02_pairwise_distance_whole(spark: SparkSession, sf: str) -> DataFrame:
     return T.pairwise_distance(dictionary(spark, sf)[0])
 
 
@@ -196,10 +209,22 @@ def n03_recent_distances(spark: SparkSession, sf: str) -> DataFrame:
     return T.recent_distances(n, dates(spark, sf), 0.8, 1.0)
 
 
-@register(_LONG + ", f as (select lineage, variant_no, list(feature) as f from long group by 1, 2) select a.lineage, a.variant_no as i, b.variant_no as j, len(a.f) + len(b.f) - 2 * len(list_intersect(a.f, b.f)) as d from f a join f b on a.lineage = b.lineage and b.variant_no = a.variant_no + 1")
+_DIFFERENCE = _LONG + ", f as (select lineage, variant_no, list(feature) as f from long group by 1, 2) select a.lineage, a.variant_no as i, b.variant_no as j, len(a.f) + len(b.f) - 2 * len(list_intersect(a.f, b.f)) as d from f a join f b on a.lineage = b.lineage and b.variant_no = a.variant_no + 1"
+
+
+@register(_DIFFERENCE)
 def s02_symmetric_difference(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbour_differences(spark, sf, SQL_LIMIT)
+
+
+@register(_whole(_DIFFERENCE))
+def s02_symmetric_difference_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbour_differences(spark, sf, LIMIT)
+
+
+def neighbour_differences(spark: SparkSession, sf: str, limit: int) -> DataFrame:
     from genosieve.functions import expressions as X
 
-    f = dictionary(spark, sf)[0].groupBy("lineage", "variant_no").agg(F.collect_list("feature_no").alias("f"))
+    f = dictionary(spark, sf, limit)[0].groupBy("lineage", "variant_no").agg(F.collect_list("feature_no").alias("f"))
     b = f.select("lineage", (F.col("variant_no") - 1).alias("variant_no"), F.col("f").alias("g"), F.col("variant_no").alias("j"))
     return f.join(b, ["lineage", "variant_no"]).select("lineage", F.col("variant_no").alias("i"), "j", X.symmetric_difference("f", "g").cast("long").alias("d"))
