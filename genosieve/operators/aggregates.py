@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from genosieve.functions import expressions as X
@@ -162,10 +165,32 @@ def index_of(samples: DataFrame, key: str, group: str = "lineage") -> DataFrame:
 
 def latest_assignment(log: DataFrame, key: str = "accession") -> DataFrame:
     """Folds a key's assignments in entry order: one replaces the held one if its version is not older and its
-    probability is higher. A key's log is short."""
-    item = F.struct("entry_id", "version", "probability", "lineage")
-    fold = F.aggregate(F.array_sort(F.collect_list(item)), F.lit(None).cast("struct<entry_id:bigint,version:date,probability:double,lineage:string>"), lambda held, x: F.when(held.isNull() | ((x["version"] >= held["version"]) & (x["probability"] > held["probability"])), x).otherwise(held))
-    return log.groupBy(key).agg(fold.alias("a")).select(key, "a.*")
+    probability is higher. Sorted rows pass as a stream that holds one row, however long a key's log is."""
+    names = [key, "entry_id", "version", "probability", "lineage"]
+
+    def replaces(x: dict, held: dict) -> bool:
+        if None in (x["version"], held["version"], x["probability"], held["probability"]) or x["version"] < held["version"]:
+            return False
+        p, q = x["probability"], held["probability"]
+        return q == q and (p > q or p != p)  # NaN is above all numbers
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, schema = None, None
+        for batch in batches:
+            schema, done = batch.schema, []
+            for x in batch.to_pylist():
+                if held is None or held[key] != x[key]:
+                    if held is not None:
+                        done.append(held)
+                    held = x
+                elif replaces(x, held):
+                    held = x
+            yield pa.RecordBatch.from_pylist(done, schema=schema)
+        if held is not None:
+            yield pa.RecordBatch.from_pylist([held], schema=schema)
+
+    rows = log.select(*names)
+    return rows.repartition(key).sortWithinPartitions(*names).mapInArrow(fold, rows.schema)
 
 
 def extents(tips: DataFrame) -> DataFrame:

@@ -310,12 +310,21 @@ def root_to_tip_fit(nodes: DataFrame, dates: DataFrame) -> DataFrame:
 
 
 def recent_distances(nodes: DataFrame, dates: DataFrame, q: float = 0.95, scale: float = 30_000.0, width: float = 1.0) -> DataFrame:
-    """Histogram (tree, bin, n) of path distances between the tips later than a quantile of the dates: the last common
-    ancestor is the common one with the fewest hops."""
+    """Histogram (tree, bin, n) of path distances between the tips later than a quantile of the dates. Two tips part at the
+    ancestor below which their branches differ, so an ancestor's counts by distance are combined: all of them less those
+    of one branch, each pair seen from both sides. Tips are never paired."""
     tips = nodes.where("is_tip").select("tree", "node_id").join(dates, ["tree", "node_id"]).withColumn("t", F.unix_date("date"))
     edge = tips.groupBy("tree").agg(F.percentile("t", q).alias("edge"))
     recent = tips.join(edge, "tree").where("t > edge").select("tree", "node_id")
     up = cut(ancestors(nodes).join(recent, ["tree", "node_id"]))
-    a, b = up.select("tree", "anc", F.col("node_id").alias("i"), F.col("dist").alias("di"), "hops"), up.select("tree", "anc", F.col("node_id").alias("j"), F.col("dist").alias("dj"))
-    pairs = a.join(b, ["tree", "anc"]).where("i < j").groupBy("tree", "i", "j").agg(F.min_by(F.col("di") + F.col("dj"), "hops").alias("d"))
-    return pairs.groupBy("tree", F.floor(F.col("d") * scale / width).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    branch = up.select("tree", "node_id", (F.col("hops") + 1).alias("hops"), F.col("anc").alias("branch"))
+    parts = cut(up.where("hops > 0").join(branch, ["tree", "node_id", "hops"]).groupBy("tree", "anc", "branch", "dist").agg(F.count("*").alias("n")))
+
+    def combined(counts: DataFrame, keys: list[str], sign: int) -> DataFrame:
+        b = counts.select(*keys, F.col("dist").alias("dj"), F.col("n").alias("m"))
+        bin_ = F.floor((F.col("dist") + F.col("dj")) * scale / width).cast("long").alias("bin")
+        return counts.join(b, keys).groupBy("tree", bin_).agg((F.sum(F.col("n") * F.col("m")) * sign).alias("n"))
+
+    whole = parts.groupBy("tree", "anc", "dist").agg(F.sum("n").alias("n"))
+    both = combined(whole, ["tree", "anc"], 1).unionByName(combined(parts, ["tree", "anc", "branch"], -1))
+    return both.groupBy("tree", "bin").agg(F.expr("sum(n) div 2").alias("n")).where("n > 0")

@@ -99,11 +99,13 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_clusters(samples: DataFrame, edges: DataFrame, path: str, group: str = "lineage") -> None:
-    """One JSON line per group: nodes by variant, edges in order. Lines can be read by many tasks."""
-    n = samples.groupBy(group, "variant").agg(F.array_sort(F.collect_list(F.struct("coldate", "accession", "location", "name"))).alias("s"))
-    n = n.groupBy(group).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("variant", "s")))).alias("nodes"))
-    e = edges.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("pos", "parent", "child", "dist", "support"))).alias("edges"))
-    n.join(e, group, "left").select(F.to_json(F.struct(F.col(group).alias("lineage"), "nodes", F.coalesce("edges", F.array().cast(e.schema["edges"].dataType)).alias("edges"))).alias("value")).write.text(path)
+    """JSON lines of nodes by variant and of edges. A group spreads over as many lines as it has samples and edges, so no
+    row grows with it; edges of groups without samples are left out. Order is in the dates and positions."""
+    s = F.array(F.struct("coldate", "accession", "location", "name"))
+    n = samples.select(F.to_json(F.struct(F.col(group).alias("lineage"), F.create_map(F.col("variant"), s).alias("nodes"))).alias("value"))
+    e = edges.join(samples.select(group).distinct(), group, "left_semi")
+    e = e.select(F.to_json(F.struct(F.col(group).alias("lineage"), F.array(F.struct("pos", "parent", "child", "dist", "support")).alias("edges"))).alias("value"))
+    n.unionByName(e).write.text(path)
 
 
 def read_clusters(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
