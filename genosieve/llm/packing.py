@@ -22,8 +22,6 @@ from pyspark.sql import DataFrame
 from genosieve.llm import bpe
 
 WINDOW, END_ID = 2048, 1
-#: Documents that a task encodes at once.
-BATCH_DOCS = 256
 _NAMES = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
@@ -37,16 +35,16 @@ class Levels:
 
     def place(self, size: int) -> int:
         """The level at which a piece of 1 to ``window`` - 1 ids goes; 0 is a new window. Ties: the fullest level."""
-        top = self.window - size
-        n = self.count
+        top, n = self.window - size, self.count
+        levels = np.flatnonzero(n[1 : top + 1])[::-1] + 1  # those with an open window, the fullest first
+        if not len(levels):
+            return 0
         # moving one window from h to h + size changes the sum of squares by 2 * (n[h + size] - n[h] + 1)
-        change = n[size : self.window + 1] - n[: top + 1]
-        change[0] = n[size]  # a new window takes none away and adds 2 * n[size] + 1
-        twice = 2 * change + 2
-        twice[0] -= 1
-        twice[top] = 1 - 2 * n[top]  # a full window is no longer counted
-        twice[1:][n[1 : top + 1] == 0] = 1 << 60
-        return int(top - np.argmin(twice[::-1]))
+        twice = 2 * (n[levels + size] - n[levels]) + 2
+        if levels[0] == top:
+            twice[0] = 1 - 2 * n[top]  # a full window is no longer counted
+        best = int(np.argmin(twice))
+        return int(levels[best]) if twice[best] <= 2 * n[size] + 1 else 0  # a new window takes none away
 
     def add(self, piece: tuple, size: int) -> list | None:
         """Places a piece; returns the window if it is now full."""
@@ -75,38 +73,38 @@ def _powers(n: int) -> Iterator[int]:
             yield 1 << bit
 
 
-def pack_rows(docs: Iterator[tuple[object, bytes]], first_sequence: int = 0, window: int = WINDOW) -> Iterator[tuple]:
-    """(id, ids as u32 bytes) -> (id, start, length, crc32, doc_tokens, sequence_id, offset) in any order of documents."""
+def pack_rows(docs: Iterator[tuple[object, np.ndarray]], first_sequence: int = 0, window: int = WINDOW) -> Iterator[tuple]:
+    """(id, ids as unsigned 32-bit numbers) -> (id, start, length, crc32, doc_tokens, sequence_id, offset) in any order of documents."""
     levels, seq = Levels(window), first_sequence
 
     def sequence(pieces: list) -> Iterator[tuple]:
         nonlocal seq
         at = 0
         for key, start, ids, total in pieces:
-            n = len(ids) // 4
+            n = len(ids)
             yield key, start, n, zlib.crc32(ids), total, seq, at
             at += n
         seq += 1
 
     for key, ids in docs:
-        total = len(ids) // 4
+        total = len(ids)
         whole = total // window * window
         for start in range(0, whole, window):
-            yield from sequence([(key, start, ids[4 * start : 4 * (start + window)], total)])
-        if total > whole and (full := levels.add((key, whole, ids[4 * whole :], total), total - whole)):
+            yield from sequence([(key, start, ids[start : start + window], total)])
+        if total > whole and (full := levels.add((key, whole, ids[whole:].copy(), total), total - whole)):  # a copy, so that its batch can go
             yield from sequence(full)
     left = [p for w in levels.rest() for p in w]
-    sizes = [window] * (sum(len(p[2]) // 4 for p in left) // window)
-    sizes += _powers(sum(len(p[2]) // 4 for p in left) % window)
+    rest = sum(len(p[2]) for p in left)
+    sizes = [window] * (rest // window) + list(_powers(rest % window))
     at, used = 0, 0  # piece, ids of it that are placed
     for size in sizes:
         pieces, room = [], size
         while room:
             key, start, ids, total = left[at]
-            n = min(room, len(ids) // 4 - used)
-            pieces.append((key, start + used, ids[4 * used : 4 * (used + n)], total))
+            n = min(room, len(ids) - used)
+            pieces.append((key, start + used, ids[used : used + n], total))
             used, room = used + n, room - n
-            if used == len(ids) // 4:
+            if used == len(ids):
                 at, used = at + 1, 0
         yield from sequence(pieces)
 
@@ -114,23 +112,14 @@ def pack_rows(docs: Iterator[tuple[object, bytes]], first_sequence: int = 0, win
 def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDOW, end_id: int = END_ID, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset. No shuffle."""
     path = tokenizer_path or bpe.default_path()
-    end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = bpe.encoder(path)
-
-        def encoded() -> Iterator[tuple[object, bytes]]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, BATCH_DOCS):
-                    part = batch.slice(at, BATCH_DOCS)
-                    yield from zip(part.column(0).to_pylist(), (x + end for x in enc.encode(part.column(1).to_pylist())))
-
         def flush() -> pa.RecordBatch:
             cols = list(zip(*rows))
             return pa.RecordBatch.from_arrays([pa.array(cols[0], key_type), *(pa.array(c, pa.int64()) for c in cols[1:])], names=[id_col, *_NAMES])
 
         rows, key_type = [], pa_type
-        for row in pack_rows(encoded(), TaskContext.get().partitionId() << 40, window):
+        for row in pack_rows(bpe.encoded(batches, path, end_id), TaskContext.get().partitionId() << 40, window):
             rows.append(row)
             if len(rows) == 10_000:
                 yield flush()

@@ -39,21 +39,25 @@ _BITS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 _ESCAPE = 15
 #: Selector by the bits of a value; one past the last says that it must escape.
 _NARROWEST = np.searchsorted(_BITS, np.arange(66)).astype(np.uint8)
+#: The same by value, for values below 2 ** 16.
+_SMALL = _NARROWEST[np.frexp(np.arange(1 << 16, dtype=np.float64))[1]]
+#: Values in a word and the bits of each, by selector.
+_STEPS = np.array([*_COUNTS, 1, 1], np.int32)
+_WIDTHS = np.array([*_BITS, 0, 0], np.int64)
 
 
-def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(words, escapes) of unsigned 64-bit values; each word takes as many values as fit."""
-    v = np.asarray(values, np.uint64)
+def _selectors(v: np.ndarray) -> np.ndarray:
+    """For every place the selector of the word that would start there: the one that takes the most values."""
     n = len(v)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    width = np.frexp(v.astype(np.float64))[1]  # bits of a value; doubles are exact up to 53 bits
-    if (wide := np.flatnonzero(width > 50)).size:
-        width[wide] = np.frexp((v[wide] >> np.uint64(20)).astype(np.float64))[1] + 20
-    kind = _NARROWEST[width]  # narrowest selector for a value alone
-    kind = np.concatenate([kind, np.zeros(_COUNTS[0], np.uint8)])  # a last word may be padded
-    sel = np.where(kind[:n] == len(_BITS), _ESCAPE, len(_BITS) - 1).astype(np.uint8)
-    widest, have = kind, 1
+    if v.max() <= 0xFFFF:
+        kind = _SMALL[v.astype(np.intp)]
+    else:
+        width = np.frexp(v.astype(np.float64))[1]  # bits of a value; doubles are exact up to 53 bits
+        if (wide := np.flatnonzero(width > 50)).size:
+            width[wide] = np.frexp((v[wide] >> np.uint64(20)).astype(np.float64))[1] + 20
+        kind = _NARROWEST[width]  # narrowest selector for a value alone
+    sel = np.where(kind == len(_BITS), _ESCAPE, len(_BITS) - 1).astype(np.uint8)
+    widest, have = np.concatenate([kind, np.zeros(_COUNTS[0], np.uint8)]), 1  # a last word may be padded
     for j in range(len(_BITS) - 2, -1, -1):  # more values of fewer bits; widest[i] is over the window that starts at i
         more = _COUNTS[j] - have
         widest, have = np.maximum(widest[: len(widest) - more], widest[more:]), _COUNTS[j]
@@ -61,22 +65,40 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not fits.any():
             break  # nor can a longer window of narrower values
         np.putmask(sel, fits, j)
-    counts = np.array([*_COUNTS, 1, 1], np.int64)
-    steps = counts.astype(np.uint8)[sel].tobytes()  # bytes give their numbers without a list of them
-    at, starts = 0, []
+    return sel
+
+
+def _word_starts(steps: np.ndarray) -> np.ndarray:
+    """The places met from 0 on by going ``steps`` each time: jumps of 16 words are walked, the words between are met by
+    all jumps side by side."""
+    n = len(steps)
+    after = np.minimum(np.arange(n + 1, dtype=np.int32) + np.append(steps, np.int32(0)).astype(np.int32), n)
+    jump = after
+    for _ in range(4):
+        jump = jump.take(jump)
+    leaps, at, heads = memoryview(jump), 0, []
     while at < n:
-        starts.append(at)
-        at += steps[at]
-    pos = np.array(starts)
+        heads.append(at)
+        at = leaps[at]
+    rows = [np.array(heads, np.int32)]
+    for _ in range(15):
+        rows.append(after.take(rows[-1]))
+    met = np.stack(rows, 1).ravel()
+    return met[met < n].astype(np.int64)
+
+
+def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, escapes) of unsigned 64-bit values; each word takes as many values as fit."""
+    v = np.asarray(values, np.uint64)
+    n = len(v)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    sel = _selectors(v)
+    pos = _word_starts(_STEPS[sel])
     chosen = sel[pos]
-    padded = np.concatenate([v, np.zeros(_COUNTS[0], np.uint64)])
-    words = np.zeros(len(pos), np.uint64)
-    for j in range(len(_BITS)):
-        if len(p := np.flatnonzero(chosen == j)):
-            at, word = pos[p], np.full(len(p), j << 60, np.uint64)
-            for k in range(_COUNTS[j]):
-                word |= padded[at + k] << np.uint64(k * _BITS[j])
-            words[p] = word
+    held = np.diff(pos, append=n)  # values of a word; its last place is free if the block ends
+    shift = (np.arange(n) - np.repeat(pos, held)) * np.repeat(_WIDTHS[chosen], held)
+    words = np.bitwise_or.reduceat(v << shift.astype(np.uint64), pos) | (chosen.astype(np.uint64) << np.uint64(60))
     p = np.flatnonzero(chosen == _ESCAPE)
     words[p] = np.arange(len(p), dtype=np.uint64) | np.uint64(_ESCAPE << 60)
     return words, v[pos[p]]
@@ -112,18 +134,18 @@ class Writer:
         self.sink.write(data)
         self.offset += len(data)
 
-    def add(self, key: object, ids: bytes) -> None:
+    def add(self, key: object, ids: np.ndarray) -> None:
         self.keys.append(key)
-        self.sizes.append(len(ids) // 4)
+        self.sizes.append(len(ids))
         self.parts.append(ids)
-        self.held += len(ids) // 4
+        self.held += len(ids)
         if self.held >= BLOCK_IDS:
             self.close_block()
 
     def close_block(self) -> None:
         if not self.parts:
             return
-        words, escapes = encode(np.frombuffer(b"".join(self.parts), "<u4"))
+        words, escapes = encode(np.concatenate(self.parts))
         self.blocks.append((self.offset, len(words), len(escapes), self.held, self.first, len(self.keys) - self.first))
         self._put(words.astype("<u8").tobytes() + escapes.astype("<u8").tobytes())
         self.ids += self.held
@@ -150,23 +172,20 @@ def write(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = END_
     """
     spark = docs.sparkSession
     folder = path or work_dir(spark, "tokens")
-    tok, end = tokenizer_path or bpe.default_path(), np.asarray([end_id], "<u4").tobytes()
+    tok = tokenizer_path or bpe.default_path()
     id_type = to_arrow_type(docs.schema[id_col].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, context = bpe.encoder(tok), TaskContext.get()
+        context = TaskContext.get()
         shard = context.partitionId()
         fs, where = filesystem(folder)
         final, temporary = f"{where}/shard-{shard:06d}.s8b", f"{where}/.shard-{shard:06d}-{context.taskAttemptId()}"
         out = None
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                if out is None:
-                    sink = fs.open_output_stream(temporary)
-                    out = Writer(sink, id_type)
-                for key, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist())):
-                    out.add(key, ids + end)
+        for key, ids in bpe.encoded(batches, tok, end_id):
+            if out is None:
+                sink = fs.open_output_stream(temporary)
+                out = Writer(sink, id_type)
+            out.add(key, ids)
         if out is None:
             return
         out.close()
