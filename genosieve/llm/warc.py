@@ -12,6 +12,7 @@ captures of their own (one of them can be the response, the others revisit it);
 from __future__ import annotations
 
 import base64
+import bisect
 import gzip
 import hashlib
 import re
@@ -32,8 +33,8 @@ MIN_PAYLOAD = 0
 ARCHIVE_BYTES = 64 << 20
 #: Entries of a sorted run, runs merged at once, entries of a batch in a run, entries that a merged range aims at.
 RUN_ENTRIES, FAN_IN, BATCH, RANGE_ENTRIES = 100_000, 64, 1024, 100_000
-#: Bound of the sample of keys from which ranges are cut.
-SAMPLE_KEYS = 100_000
+#: Sampled keys for a range, ranges at most, and the tasks below which merging goes on by key range.
+RANGE_KEYS, MAX_RANGES, WHOLE_TASKS = 16, 5_000, 256
 EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _FIELDS = (("url_key", pa.string()), ("timestamp", pa.string()), ("page_id", pa.int64()), ("archive", pa.string()), ("offset", pa.int64()), ("size", pa.int64()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()))
@@ -281,9 +282,29 @@ def _segment(uri: str, low: tuple | None, high: tuple | None) -> Iterator[tuple]
                     yield e
 
 
-def sort_runs(archives: DataFrame, samples: int) -> tuple[str, DataFrame]:
-    """Reads every archive into sorted runs; (folder, manifest of run, n, keys), computed. ``keys`` are evenly spaced."""
+def _spread(df: DataFrame, key: str, parts: int) -> DataFrame:
+    """Partitions of consecutive keys, in order, as many as there are keys (up to 10,000)."""
+    return df.repartitionByRange(max(1, min(parts, 10_000)), key).sortWithinPartitions(key)
+
+
+def _lower(keys: list[tuple], rate: int) -> list[tuple]:
+    """A share of 1 / ``rate`` of the keys, chosen by their hash."""
+    return [k for k in keys if zlib.crc32(repr(k).encode("utf-8", "surrogatepass")) % rate == 0]
+
+
+_KEY = "struct<a: string, b: string, c: boolean, d: bigint, e: string, f: bigint>"
+_KEY_TYPE = pa.struct([("a", pa.string()), ("b", pa.string()), ("c", pa.bool_()), ("d", pa.int64()), ("e", pa.string()), ("f", pa.int64())])
+
+
+def _structs(keys: list[tuple]) -> list[dict]:
+    return [dict(zip("abcdef", k)) for k in keys]
+
+
+def sort_runs(archives: DataFrame, n_archives: int, rate: int) -> tuple[str, DataFrame]:
+    """Reads every archive into sorted runs; (folder, manifest of run, n, low, high, keys), computed. ``keys`` are a share
+    of 1 / ``rate`` of all keys, chosen by hash."""
     folder = work_dir(archives.sparkSession, "runs")
+    schema = pa.schema([("run", pa.string()), ("n", pa.int64()), ("low", _KEY_TYPE), ("high", _KEY_TYPE), ("keys", pa.list_(_KEY_TYPE))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,11 +314,10 @@ def sort_runs(archives: DataFrame, samples: int) -> tuple[str, DataFrame]:
 
                 def flush(k: int) -> pa.RecordBatch:
                     part.sort(key=_key)
-                    uri = f"{folder}/{name}-{k:04d}"
+                    uri, keys = f"{folder}/{name}-{k:04d}", [_key(e) for e in part]
                     _store(uri, iter(part))
-                    step = max(1, len(part) // samples)
-                    keys = [list(map(str, (e[0], e[1], int(e[2] is not None), e[2] or 0, e[3], e[4]))) for e in part[step // 2 :: step]]
-                    return pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([len(part)]), pa.array([keys], pa.list_(pa.list_(pa.string())))], names=["run", "n", "keys"])
+                    columns = [[uri], [len(part)], _structs(keys[:1]), _structs(keys[-1:]), [_structs(_lower(keys, rate))]]
+                    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
                 k = 0
                 with fs.open_input_stream(where, compression=None) as f:
@@ -309,52 +329,76 @@ def sort_runs(archives: DataFrame, samples: int) -> tuple[str, DataFrame]:
                 if part:
                     yield flush(k)
 
-    return folder, written(archives.select("archive").mapInArrow(run, "run string, n bigint, keys array<array<string>>"), "run-manifest")
+    made = _spread(archives.select("archive"), "archive", n_archives).mapInArrow(run, f"run string, n bigint, low {_KEY}, high {_KEY}, keys array<{_KEY}>")
+    return folder, written(made, "run-manifest")
 
 
-def _parallel(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """One partition per task row."""
-    return spark.createDataFrame(spark.sparkContext.parallelize(rows, max(1, len(rows))), schema)
+def _merge(plan: DataFrame, folder: str, name: str, parts: int, cuts: list[tuple | None] | None) -> DataFrame:
+    """Every row (r, g, runs) of a plan becomes one run, cut to range ``r`` if there are cuts: (run, r), computed."""
 
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r, g, uris in zip(*(c.to_pylist() for c in batch.columns)):
+                lo, hi = (cuts[r], cuts[r + 1]) if cuts else (None, None)
+                uri = f"{folder}/{name}-{r:05d}-{g:06d}"
+                _store(uri, iter(LoserTree([_segment(u, lo, hi) for u in uris])))
+                yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([r], pa.int64())], names=["run", "r"])
 
-def index(archives: DataFrame, fan_in: int = FAN_IN, range_entries: int = RANGE_ENTRIES) -> DataFrame:
-    """All captures of the archives in order of url key, timestamp and id; partitions are consecutive key ranges."""
-    spark = archives.sparkSession
-    names = [r.archive for r in archives.select("archive").toLocalIterator()]  # one row per archive of ARCHIVE_BYTES
-    if not names:
-        return spark.createDataFrame([], _DDL)
-    folder, manifest = sort_runs(_parallel(spark, [(n,) for n in names], "archive string"), max(1, SAMPLE_KEYS // len(names)))
-    found = manifest.collect()  # one row per run; the keys are bounded by SAMPLE_KEYS
-    runs, total = sorted(r.run for r in found), sum(r.n for r in found)
-    keys = sorted((k[0], k[1], bool(int(k[2])), int(k[3]), k[4], int(k[5])) for r in found for k in r["keys"])
-    ranges = max(1, min(len(keys), -(-total // range_entries), 10_000))
-    cuts = [None, *(keys[i * len(keys) // ranges] for i in range(1, ranges)), None]
+    return written(_spread(plan, "task", parts).select("r", "g", "runs").mapInArrow(merge, "run string, r bigint"), "pass")
 
-    def bounds(r: int) -> tuple:
-        return cuts[r], cuts[r + 1]
 
-    inputs = {r: runs for r in range(ranges)}
-    first, level = True, 0
-    while len(inputs[0]) > fan_in:  # passes of bounded fan-in; a range's groups of runs become one run each
-        tasks = [(r, g, inputs[r][g : g + fan_in]) for r in range(ranges) for g in range(0, len(inputs[r]), fan_in)]
-        split, depth = first, level
+def _plan(runs: DataFrame, groups: int) -> DataFrame:
+    """runs(run, r) -> (task, r, g, runs): about as many runs in a group as a merge takes, by hash; no list of all runs
+    is made anywhere."""
+    g = F.pmod(F.xxhash64("run"), F.lit(groups)).alias("g")
+    return runs.groupBy("r", g).agg(F.sort_array(F.collect_list("run")).alias("runs")).withColumn("task", F.col("r") * groups + F.col("g"))
 
-        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for r, g, uris in zip(*(c.to_pylist() for c in batch.columns)):
-                    lo, hi = bounds(r) if split else (None, None)
-                    uri = f"{folder}/pass-{depth}-{r:05d}-{g:06d}"
-                    _store(uri, iter(LoserTree([_segment(u, lo, hi) for u in uris])))
-                    yield pa.RecordBatch.from_arrays([pa.array([r]), pa.array([uri])], names=["r", "uri"])
 
-        made = written(_parallel(spark, tasks, "r bigint, g bigint, uris array<string>").mapInArrow(merge, "r bigint, uri string"), "pass").collect()
-        inputs = {r: sorted(x.uri for x in made if x.r == r) for r in range(ranges)}
-        first, level = False, level + 1
+def index(archives: DataFrame, fan_in: int = FAN_IN, range_entries: int = RANGE_ENTRIES) -> DataFrame:
+    """All captures of the archives in order of url key, timestamp and id; partitions are consecutive key ranges.
+
+    Many runs are first merged whole, ``fan_in`` at a time, while that keeps WHOLE_TASKS tasks busy; then by key range,
+    where a range takes the runs that reach into it. Lists of runs and tasks are tables. The driver knows sampled keys:
+    about RANGE_KEYS for a range, MAX_RANGES ranges at most.
+    """
+    spark = archives.sparkSession
+    n_archives, total = archives.agg(F.count("*"), F.coalesce(F.sum("records"), F.lit(0))).first()
+    if not n_archives:
+        return spark.createDataFrame([], _DDL)
+    ranges = max(1, min(-(-total // range_entries), MAX_RANGES))
+    folder, manifest = sort_runs(archives, n_archives, max(1, total // (ranges * RANGE_KEYS)))
+    count = manifest.count()
+    sample = manifest.select(F.explode("keys").alias("k")).limit(4 * MAX_RANGES * RANGE_KEYS).collect()  # some RANGE_KEYS a range are there
+    keys = sorted(tuple(r.k) for r in sample)
+    ranges = max(1, min(ranges, len(keys)))
+    cuts = [None, *(keys[i * len(keys) // ranges] for i in range(1, ranges)), None]
+    inner = cuts[1:-1]
+    runs, level = manifest.select("run", "low", "high"), 0
+    whole = count > fan_in and -(-count // fan_in) >= WHOLE_TASKS
+    while count > fan_in and (groups := -(-count // fan_in)) >= WHOLE_TASKS:
+        runs = _merge(_plan(runs.select("run", F.lit(0).cast("long").alias("r")), groups), folder, f"whole-{level}", groups, None)
+        count, level = runs.count(), level + 1
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run, low, high in zip(*(c.to_pylist() for c in batch.columns)):
+                a, b = bisect.bisect_right(inner, tuple(low.values())), bisect.bisect_right(inner, tuple(high.values()))
+                yield pa.RecordBatch.from_arrays([pa.array([run] * (b - a + 1)), pa.array(range(a, b + 1), pa.int64())], names=["run", "r"])
+
+    if whole:  # a merged run reaches nearly everywhere
+        runs = runs.select("run", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ranges - 1).cast("long"))).alias("r"))
+    else:
+        runs = runs.mapInArrow(reach, "run string, r bigint")
+    split = True
+    while count > fan_in:
+        groups = -(-count // fan_in)
+        runs = _merge(_plan(runs, groups), folder, f"range-{level}", ranges * groups, cuts if split else None)
+        split, count, level = False, groups, level + 1
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r, uris in zip(*(c.to_pylist() for c in batch.columns)):
-                lo, hi = bounds(r) if first else (None, None)
+                lo, hi = (cuts[r], cuts[r + 1]) if split else (None, None)
                 yield from _batches(iter(LoserTree([_segment(u, lo, hi) for u in uris])))
 
-    return _parallel(spark, [(r, inputs[r]) for r in range(ranges)], "r bigint, uris array<string>").mapInArrow(last, _DDL)
+    return _spread(_plan(runs, 1), "task", ranges).select("r", "runs").mapInArrow(last, _DDL)

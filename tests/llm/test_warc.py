@@ -62,3 +62,18 @@ def test_damage_is_found(tmp_path):
         next(W.entries(io.BytesIO(gzip.compress(good.replace(b"payload\r\n", b"pAyload\r\n"))), "x"))
     with pytest.raises(ValueError):
         list(W.entries(io.BytesIO(gzip.compress(good)[:-9]), "x"))
+
+
+def test_whole_merges_come_before_ranges(spark, monkeypatch):
+    monkeypatch.setattr(W, "WHOLE_TASKS", 2)
+    monkeypatch.setattr(W, "RUN_ENTRIES", 3)
+    df = spark.createDataFrame(ROWS, "page_id long, url string, html string").repartition(4)
+    rows = W.index(W.write(W.captures(df)), 2, 4).collect()
+    keys = [W._key(tuple(r)) for r in rows]
+    assert keys == sorted(keys) and len({(r.archive, r.offset) for r in rows}) == len(ROWS)
+
+
+def test_odd_rows_and_clashing_names(spark, odd):
+    pages = odd.withColumnsRenamed({"doc_id": "page_id", "text": "html", "fp": "url", "component_id": "sha1", "#ledger": "payload"})
+    rows = W.index(W.write(W.captures(pages))).collect()
+    assert len(rows) == 10 and sum(r.record_type == "response" for r in rows) == len({r.html or "" for r in pages.collect()})
