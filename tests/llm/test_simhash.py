@@ -96,3 +96,34 @@ def test_a_large_group_stays_linear():
     codes = np.unique(np.uint64(12345) ^ np.array([(1 << i) ^ (1 << j) for i in range(64) for j in range(64)], np.uint64))
     u, v = S.links_between(codes, None)
     assert len(u) == len(codes) - 1 and len(set(v.tolist())) == 1
+
+
+def test_keep_first_on_repeated_ids(spark):
+    """One id with two texts, and each text under more ids: what stays is held against a plain walk over the rows."""
+    a, b, c = ("alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight nine", "rain on the plain stays in the lane today")
+    cases = [[(1, a), (2, a), (2, b)], [(2, a), (2, b), (1, b)], [(5, a), (5, a), (5, b), (5, c), (4, c), (None, a)], [(None, a), (None, a), (3, b), (3, b), (3, b)], [(7, None), (7, ""), (8, None)]]
+    for rows in cases:
+        df = spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(rows)], "doc_id long, text string, n int")
+        groups = {}
+        for k, t in rows:
+            groups.setdefault(S.fingerprint(t), []).append((k, t))
+        want = []
+        for members in groups.values():
+            named = [m for m in members if m[0] is not None]
+            want.append(min((k, t or "") for k, t in named) if named else (None, members[0][1] or ""))
+        got = [(r.doc_id, r.text or "") for r in S.keep_first(df).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_blocks_of_any_number_give_the_same_links(spark):
+    import numpy as np
+
+    r = np.random.default_rng(9)
+    base = r.integers(0, 2**63, 60)
+    fps = sorted({int(x) ^ (1 << int(i)) ^ (1 << int(j)) for x in base for i, j in r.integers(0, 63, (12, 2))})
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    roots = []
+    for block in (8, 64, 1 << 16):
+        found = {row.node: row.root for row in S.components(S.link_forest(df, 2, block)).collect()}
+        roots.append(found)
+    assert roots[0] == roots[1] == roots[2] and roots[0]
