@@ -1,11 +1,12 @@
 """Media columns: payloads in archives, read back through a data source of byte ranges.
 
 Archives are zip files of WAV members (8-bit mono samples), written by the tasks that hold the payloads and closed at a
-bounded size. The data source knows archives by name and size only; it plans byte ranges over them. A task reads its
-archives' directories, takes the members whose headers lie in its range, opens each at its own offset and streams Arrow
+bounded size. The data source knows archives by name and size only; it plans byte ranges over them. A task reads
+its part of the archive's directory, takes the members whose headers lie in its range, opens each at its own offset and streams Arrow
 batches of bounded bytes. A member that can't be read is tried again at its offset, alone; what its neighbours gave stays.
 
-Defined results: a null or empty text is 64 zero bytes; repeated rows are members of their own; an empty table gives no
+Defined results: a null or empty text is 64 zero bytes; very long texts are one member each;
+repeated rows are members of their own; extra columns are not touched; an empty table gives no
 archives and no rows; a member that stays unreadable fails the task (``mode=failfast``) or comes as a row with an error.
 """
 
@@ -91,6 +92,7 @@ def write_archives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         def finish() -> None:
             name, sink, archive, (n, size) = out
+            archive.comment = _range_table(archive.filelist)
             archive.close()
             sink.close()
             fs.move(f"{where}/.{name}-{context.taskAttemptId()}", f"{where}/{name}")
@@ -129,6 +131,45 @@ class ByteRange(InputPartition):
     stop: int
 
 
+def _range_table(members: list[zipfile.ZipInfo]) -> bytes:
+    """The archive's comment: where in its directory the members of each RANGE_BYTES begin, so that a range is read
+    without the rest of the directory."""
+    at, places = 0, []
+    for m in members:
+        places += [at] * (m.header_offset // RANGE_BYTES + 1 - len(places))
+        at += 46 + len(m.filename.encode()) + len(m.comment)
+    return json.dumps({"step": RANGE_BYTES, "at": [*places, at]}).encode()
+
+
+def members_between(f, start: int, stop: int) -> list[zipfile.ZipInfo]:
+    """The members whose headers begin in a range of bytes, in order. Of archives with a table of ranges that fits, only
+    the range's part of the directory is read; of others the whole directory."""
+    size = f.size()
+    tail = f.read_at(min(size, 22 + 65_535), max(0, size - 22 - 65_535))
+    end = tail.rfind(b"PK\5\6")
+    try:
+        length, first, n = *struct.unpack_from("<II", tail, end + 12), struct.unpack_from("<H", tail, end + 20)[0]
+        table = json.loads(tail[end + 22 : end + 22 + n])
+        step, at = table["step"], table["at"]
+        if start % step or (stop % step and stop < first) or at[-1] != length:
+            raise ValueError("ranges of another size")
+    except (struct.error, ValueError, TypeError, KeyError, IndexError):  # not an archive of this module
+        directory = zipfile.ZipFile(io.BufferedReader(_Seekable(f))).infolist()
+        return sorted((m for m in directory if start <= m.header_offset < stop), key=lambda m: m.header_offset)
+    a, b = (at[min(i, len(at) - 1)] for i in (start // step, -(-stop // step)))
+    part, i, out = f.read_at(b - a, first + a), 0, []
+    while i < len(part):
+        sign, method, crc, packed, plain, names, extra, comment, offset = struct.unpack_from("<4s6xH4xIIIHHH8xI", part, i)
+        if sign != b"PK\1\2":
+            raise ValueError("the archive's directory is damaged")
+        m = zipfile.ZipInfo(part[i + 46 : i + 46 + names].decode())
+        m.compress_type, m.CRC, m.compress_size, m.file_size, m.header_offset = method, crc, packed, plain, offset
+        m.comment = part[i + 46 + names + extra : i + 46 + names + extra + comment]
+        out.append(m)
+        i += 46 + names + extra + comment
+    return out
+
+
 def read_member(f, info: zipfile.ZipInfo, attempts: int = ATTEMPTS, wait: Callable[[float], None] = time.sleep) -> bytes:
     """One member by its offset, checked against its CRC and size; only this member is tried again on an error."""
     for k in range(attempts):
@@ -169,10 +210,7 @@ class MediaReader(DataSourceReader):
         fs, where = pafs.FileSystem.from_uri(partition.path)
         rows, held = [], 0
         with fs.open_input_file(where) as f:
-            directory = zipfile.ZipFile(io.BufferedReader(_Seekable(f))).infolist()
-            for info in sorted(directory, key=lambda m: m.header_offset):
-                if not partition.start <= info.header_offset < partition.stop:
-                    continue
+            for info in members_between(f, partition.start, partition.stop):
                 media, error = None, None
                 try:
                     media = read_member(f, info)

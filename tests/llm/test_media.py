@@ -64,3 +64,18 @@ def test_damage_fails_or_is_told(spark, documents, tmp_path):
     assert len(rows) == 20 and sum(r.error is not None for r in rows) == 1
     with pytest.raises(Exception):
         M.read_archives(spark, folder).collect()
+
+
+def test_a_range_reads_its_part_of_the_directory(spark, documents, monkeypatch, tmp_path):
+    import pyarrow as pa
+    import zipfile
+
+    monkeypatch.setattr(M, "RANGE_BYTES", 1 << 14)
+    folder, made = M.write_archives(documents.coalesce(1), path=f"file://{tmp_path}")
+    path = next(tmp_path.glob("*.zip"))
+    whole = sorted((m.header_offset, m.filename, m.CRC, m.comment) for m in zipfile.ZipFile(path).infolist())
+    size, calls = path.stat().st_size, []
+    with pa.OSFile(str(path)) as f:
+        for step in (1 << 14, 1 << 15, 10_000):  # the last size has no table and falls back
+            found = [(m.header_offset, m.filename, m.CRC, m.comment) for a in range(0, size, step) for m in M.members_between(f, a, min(a + step, size))]
+            assert found == whole
