@@ -18,6 +18,8 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get(SHARED_CONF, None) or sc.getConf().get(SHARED_CONF)
     if not root:
         known = sc._jsc.sc().getCheckpointDir()
+        if not known.isDefined() and not sc.master.startswith("local"):
+            raise ValueError(f"set {SHARED_CONF} to a folder that the driver and all executors share")
         root = known.get() if known.isDefined() else "file://" + tempfile.mkdtemp(prefix="spark-")
         if not known.isDefined():
             sc.setCheckpointDir(root)

@@ -24,6 +24,8 @@ MARK = "▁"
 #: Distinct words, and pairs of pieces, that a Python worker remembers before it starts afresh.
 MEMORY = 700_000
 #: Before a word that no space precedes. A lone surrogate, so no text holds it.
+#: Longer words are encoded each time and never remembered, so that text without spaces takes no memory.
+LONGEST = 64
 _BARE = "\ud800"
 _UNITS = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 _ODD = re.compile(r"[ \n] | \n|^[ \n]|[ \n]$|\n\n|" + MARK)
@@ -124,6 +126,8 @@ class TrieEncoder:
                             if ok or ok is None and self._follows(last[i - n], piece):
                                 last.append(piece)
                                 break
+                    else:
+                        raise ValueError(f"no piece ends at letter {i} of {word[:50]!r}")
                     continue
                 best, chosen = score[i - 1] + lowest, word[i - 1 : i]
                 for start in range(max(0, i - longest), i):
@@ -166,7 +170,11 @@ class TrieEncoder:
             for word, pieces in self.sorted_words(sorted(marked)):
                 self.known[marked[word]] = b"".join([data.get(p) or self._bytes(p) for p in pieces])
         get = self.known.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        found = [b"".join(map(get, c)) for c in cut]
+        for w in new:
+            if len(w) > LONGEST:
+                del self.known[w]
+        return found
 
 
 class Decoder:

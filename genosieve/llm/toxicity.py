@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bound of the training sample: at most so many labelled documents of each label.
 MAX_TOXIC, MAX_CLEAN = 1000, 1500
+#: Longer documents (in bytes) are scored but not taken for training, so that the sample's bytes are bounded, too.
+MAX_SAMPLE_BYTES = 128 << 10
 MAX_LANDMARKS, BACKGROUND = 56, 16
 THRESHOLD = 0.3
 #: Share of a landmark's letters that a token must have to meet it at all.
@@ -35,6 +37,7 @@ DECAY = 0.6
 PIECE = 24
 #: Distinct tokens that a Python worker remembers before it starts afresh.
 MEMORY = 400_000
+LONGEST = 64
 _SINGLES = re.compile(r"(?<!\S)\w(?:[ .\-_*]\w){3,}(?!\S)")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _STOP = (".", "!", "?")
@@ -181,6 +184,11 @@ class Scorer:
                 self.rows.append(k[found].max(axis=0)[None])
             self.number[w] = 2 * row + w.endswith(_STOP)
 
+    def drop_long(self, texts: list[list[str]]) -> None:
+        """Forgets tokens above LONGEST letters, so that text without spaces takes no memory."""
+        for w in {w for t in texts for w in t if len(w) > LONGEST}:
+            self.number.pop(w, None)
+
     def sentences(self, text: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
         """Of one tokenised text that :meth:`learn` has seen: the values of the sentences that meet a landmark, their
         numbers in the text, and the number of all sentences. Other sentences' values are 0."""
@@ -207,6 +215,7 @@ class Scorer:
                 if len(values):
                     best = np.sort(values @ self.model.weights)[::-1][:3]
                     out[i, : len(best)] += np.maximum(best, 0) if len(values) < count else best
+            self.drop_long(cut)
         return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -329,13 +338,14 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fits on at most MAX_TOXIC + MAX_CLEAN labelled documents, those with the least hash of their id per label, never
-    on held-out ones. That bounded sample is all that reaches the driver."""
+    on held-out ones, of MAX_SAMPLE_BYTES at most. That bounded sample is all that reaches the driver."""
     use = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).alias("y"))
-    use = use.join(docs.select(id_col).distinct(), id_col, "left_semi")
+    usable = docs.where(F.coalesce(F.octet_length(text_col), F.lit(0)) <= MAX_SAMPLE_BYTES).select(F.col(id_col), F.coalesce(text_col, F.lit("")).alias("t"))
+    use = use.join(usable.select(id_col).distinct(), id_col, "left_semi")
     parts = [use.where(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(most) for y, most in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
     chosen = parts[0].unionByName(parts[1])
-    found = docs.select(F.col(id_col), F.col(text_col).alias("t")).join(F.broadcast(chosen), id_col).select("t", "y")  # bounded by the limits above
-    rows = found.collect()
+    # chosen has at most MAX_TOXIC + MAX_CLEAN rows; of rows that share an id the least text counts
+    rows = usable.join(F.broadcast(chosen), id_col).groupBy(id_col).agg(F.min("t").alias("t"), F.first("y").alias("y")).collect()
     return fit([r.t for r in rows], [r.y for r in rows])
 
 
