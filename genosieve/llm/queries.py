@@ -84,5 +84,36 @@ select q.page_id, q.host, q.path, best.rule, coalesce(best.verdict, 'allow') as
 """
 
 
+_OP5 = """
+with p as (select page_id, coalesce(html, '') as payload from pages),
+d as (select page_id, payload, sha1(payload) as h, max(page_id) over (partition by payload) as top from p),
+b as (select *, list_transform(range(8), lambda g: ('0x' || substr(h, (5 * g + 1)::int, 5))::int) as five from d)
+select page_id, strlen(payload)::bigint as payload_bytes,
+       array_to_string(list_transform(five, lambda v: substr(a, (v >> 15) + 1, 1) || substr(a, ((v >> 10) & 31) + 1, 1) || substr(a, ((v >> 5) & 31) + 1, 1) || substr(a, (v & 31) + 1, 1)), '') as payload_digest,
+       case when page_id = top then 'response' else 'revisit' end as record_type, case when page_id <> top then top end as refers_to
+from b, (select 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567' as a)
+"""
+
+_OP7 = """
+with d as (select doc_id, coalesce(text, '') as t from documents),
+w as (select doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as words from d),
+lines as (select doc_id, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines from (select doc_id, unnest(string_split(t, chr(10))) as line from d) where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by 1),
+windows as (select doc_id, i, list_slice(words, i, i + 7) as win from (select doc_id, words, unnest(range(1, len(words) - 6)) as i from w)),
+again as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, win) as n from windows) where n > 1),
+covered as (select doc_id, count(distinct place) as n_repeat_words from (select doc_id, unnest(range(i, i + 8)) as place from again) group by 1),
+m as (
+  select doc_id, len(words)::bigint as n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+         coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(n_lines, 0) as n_lines, length(regexp_replace(t, '[^A-Z]', '', 'g')) as n_upper,
+         length(regexp_replace(t, '[^A-Za-z]', '', 'g')) as n_letters, (length(t) - length(replace(t, '!!', ''))) // 2 as n_bangs, length(t) - length(replace(t, '|', '')) as n_bars
+  from w left join lines using (doc_id) left join covered using (doc_id)
+), f as (
+  select *, (n_words < 20)::bigint + 2 * (n_repeat_words * 100 > n_words * 30)::bigint + 4 * (n_words > 0 and (word_chars < n_words * 2 or word_chars > n_words * 20))::bigint + 8 * ((n_symbols - n_bars) * 100 > n_words * 25)::bigint
+            + 16 * (n_upper * 100 > n_letters * 60)::bigint + 32 * (n_bangs * 100 > n_words * 25)::bigint + 64 * (n_lines > 3 and n_dup_lines * 100 > n_lines * 50)::bigint + 128 * (n_bars * 100 > n_words * 25)::bigint as failure_bits
+  from m
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failure_bits & 3) <> 0 as base_failed, failure_bits = 0 as kept, failure_bits from f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_urls": _OP4}
+    return {"op4_urls": _OP4, "op5_warc": _OP5, "op7_quality": _OP7}
