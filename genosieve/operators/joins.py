@@ -80,6 +80,11 @@ def map_tips(tips: DataFrame, clusters: DataFrame, key: str) -> tuple[DataFrame,
     return tips.join(clusters, key), clusters.join(tips.select(key), key, "left_anti")
 
 
+def tips_by_class(tips: DataFrame, stats: DataFrame, key: str, display: Column) -> DataFrame:
+    """Tips widened with their group's statistics and routed by display class; tips without statistics stay."""
+    return tips.join(stats, key, "left").withColumn("class", display)
+
+
 def region_map(df: DataFrame, order: str) -> DataFrame:
     """First region seen of each country."""
     return df.groupBy("country").agg(F.min_by("region", order).alias("region"))
@@ -111,19 +116,41 @@ def fill(counts: DataFrame, keys: DataFrame, key: str, n: str = "n") -> DataFram
     return counts.join(keys, key, "right").withColumn(n, F.coalesce(n, F.lit(0).cast("long")))
 
 
-def nearest_hit(ids: DataFrame, hits: DataFrame, group: list[str], id_col: str = "id") -> DataFrame:
-    """For every id the nearest hit of its group (ties: the larger), the last at or before and the first at or after.
+def _same(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join in which null keys are equal; the keys come back once."""
+    right = b.withColumnsRenamed({k: f"#{k}" for k in keys})
+    return a.join(right, [a[k].eqNullSafe(right[f"#{k}"]) for k in keys], how).drop(*(f"#{k}" for k in keys))
+
 
-    Both tables meet in one window over (group, id); the running frames keep one value each.
+def nearest_hit(ids: DataFrame, hits: DataFrame, group: list[str], id_col: str = "id", first: int | None = None, last: int | None = None, slices: int = 64) -> DataFrame:
+    """For every id the nearest hit of its group (ties: the larger), the last at or before and the first at or after;
+    only hits from ``first`` to ``last`` count.
+
+    A group is cut into ranges of ids, each one window partition, so a hot group is many tasks; a range takes one hit
+    over from the ranges before it and one from those after. Every window runs from its start to the current row.
     """
+    if first is not None:
+        hits = hits.where(F.col(id_col) >= first)
+    if last is not None:
+        hits = hits.where(F.col(id_col) <= last)
     both = ids.select(*group, id_col, F.lit(None).cast("long").alias("hit")).unionByName(hits.select(*group, id_col, F.col(id_col).cast("long").alias("hit")).distinct())
-    w = Window.partitionBy(*group).orderBy(id_col)
-    back = F.last("hit", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    ahead = F.first("hit", ignorenulls=True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))
-    found = both.select(*group, id_col, "hit", back.alias("before"), ahead.alias("after")).where("hit is null").drop("hit")
+    span = both.groupBy(*group).agg(F.min(id_col).alias("#low"), F.max(id_col).alias("#high"))
+    share = (F.col(id_col) - F.col("#low")).cast("double") / (F.col("#high") - F.col("#low") + 1)
+    both = _same(both, span, group).withColumn("#slice", F.floor(share * slices)).drop("#low", "#high")
+    edge = both.groupBy(*group, "#slice").agg(F.min("hit").alias("#least"), F.max("hit").alias("#most"))  # at most ``slices`` rows a group
+    w = lambda *order: Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    carry = edge.select(*group, "#slice", F.last("#most", True).over(w("#slice")).alias("#before"), F.last("#least", True).over(w(F.desc("#slice"))).alias("#after"))
+    rows = _same(both, carry, [*group, "#slice"])
+    v = lambda order: Window.partitionBy(*group, "#slice").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.select(*group, id_col, "hit", F.coalesce(F.last("hit", True).over(v(F.asc(id_col))), "#before").alias("before"), F.coalesce(F.last("hit", True).over(v(F.desc(id_col))), "#after").alias("after"))
     closer = (F.col("after") - F.col(id_col)) <= (F.col(id_col) - F.col("before"))
     nearest = F.when(F.col("before").isNull() | closer, F.col("after")).otherwise(F.col("before"))
-    return found.withColumn("nearest", nearest)
+    return rows.where("hit is null").drop("hit").withColumn("nearest", nearest)
+
+
+def segment_dates(segments: DataFrame, dates: DataFrame) -> DataFrame:
+    """Segments with their node's date, null at nodes without one."""
+    return segments.join(dates.select("node_id", "date"), "node_id", "left")
 
 
 def tree_segments(nodes: DataFrame, rectangular: bool = True) -> DataFrame:
