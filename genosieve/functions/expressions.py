@@ -15,8 +15,8 @@ def clean_name(c: Column | str) -> Column:
 
 
 def fasta_name(c: Column | str, accession: Column | str) -> Column:
-    """Blanks become underscores, quotes go, the accession follows two underscores."""
-    return F.concat(F.regexp_replace(F.regexp_replace(c, " ", "_"), "'", ""), F.lit("__"), accession)
+    """Blanks become underscores, quotes are doubled, the accession follows a fixed mark."""
+    return F.concat(F.regexp_replace(F.regexp_replace(c, " ", "_"), "'", "''"), F.lit("__accession__"), accession)
 
 
 def parse_iso(c: Column | str) -> Column:
@@ -39,6 +39,11 @@ def date_to_axis(d: Column | str, earliest: Column | str) -> Column:
     return F.datediff(d, earliest) / F.lit(365.25)
 
 
+def date_to_scaled_axis(d: Column | str, first: Column | str, earliest: Column | str, latest: Column | str, x: Column | str) -> Column:
+    """The older form: days since the first tip's date over a third of all tips' span, from that tip's place on."""
+    return F.datediff(d, first) / (F.datediff(latest, earliest) / F.lit(3.0)) + (F.col(x) if isinstance(x, str) else x)
+
+
 def axis_to_date(x: Column | str, earliest: Column | str) -> Column:
     x = F.col(x) if isinstance(x, str) else x
     return F.date_add(earliest, F.round(x * 365.25).cast("int"))

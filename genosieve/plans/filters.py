@@ -14,7 +14,7 @@ from genosieve.plans.registry import register
 PRE = M.PRELUDE
 
 
-@register("select p_partkey, replace(replace(trim(p_name || ', ' || p_type || '|'), ',', '_'), '|', '_') as clean, replace(p_name, ' ', '_') || '__' || p_partkey as fasta from part")
+@register("select p_partkey, replace(replace(trim(p_name || ', ' || p_type || '|'), ',', '_'), '|', '_') as clean, replace(replace(p_name, ' ', '_'), '''', '''''') || '__accession__' || p_partkey as fasta from part")
 def f01_clean_name(spark: SparkSession, sf: str) -> DataFrame:
     p = M.table(spark, sf, "part")
     return p.select("p_partkey", X.clean_name(F.concat("p_name", F.lit(", "), "p_type", F.lit("|"))).alias("clean"), X.fasta_name(F.col("p_name"), F.col("p_partkey").cast("string")).alias("fasta"))
