@@ -44,7 +44,7 @@ def a05_lineage_stats(spark: SparkSession, sf: str) -> DataFrame:
     samples, features = encoded(spark, sf), M.features(spark, sf)
     mutations = A.lineage_mutations(A.common_features(samples, features, min_freq=0.05), _name())
     none = samples.select("lineage").where("false").withColumn("residual", F.lit(0.0))
-    stats = A.lineage_stats(samples, mutations, none, F.substring("lineage", 3, 100))
+    stats = A.lineage_stats(samples, mutations, none, F.expr("substring(lineage, 3)"))
     return stats.select("lineage", "nsamples", "lastcoldate", "max_ndiffs", F.round("mean_ndiffs", 6).alias("mean_ndiffs"), F.size("mutations").cast("long").alias("n_mutations"), "residual", "raw_lineage")
 
 

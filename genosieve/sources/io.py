@@ -93,7 +93,7 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     """(mutation, effects) from text files of constellations: a line ``> effect`` and below it lines of mutations."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
     w = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)  # files are short
-    t = lines.withColumn("effect", F.last(F.when(F.col("value").startswith(">"), F.trim(F.substring("value", 2, 1000))), ignorenulls=True).over(w))
+    t = lines.withColumn("effect", F.last(F.when(F.col("value").startswith(">"), F.trim(F.expr("substring(value, 2)"))), ignorenulls=True).over(w))
     m = t.where(~F.col("value").startswith(">")).select("effect", F.explode(F.regexp_extract_all("value", F.lit(r"(aa:[^:\s]+:[A-Z]?\d+[A-Z*-])"), F.lit(1))).alias("mutation"))
     return m.groupBy("mutation").agg(F.array_sort(F.collect_set("effect")).alias("effects"))
 
@@ -125,6 +125,11 @@ def export_csv(df: DataFrame, path: str, digits: int = 2) -> None:
     df.select(*(F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes)).write.option("header", "true").csv(path)
 
 
+def export_mutations(stats: DataFrame, path: str, group: str = "lineage") -> None:
+    """Group, mutation and frequency of every group's map as CSV with a header."""
+    stats.select(F.col(group).alias("lineage"), F.explode("mutations").alias("mutation", "frequency")).write.option("header", "true").csv(path)
+
+
 def write_serving(tables: dict[str, DataFrame], path: str, version: str, cluster_key: str = "cid") -> None:
     """All serving tables below ``path/version``, those with a cluster key partitioned by it. Readers switch by version."""
     for name, df in tables.items():
