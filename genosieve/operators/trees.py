@@ -74,24 +74,49 @@ def neighbor_joining(d: np.ndarray) -> list[tuple[int, int | None, float | None]
 
 
 def nj_trees(distances: DataFrame, keys: list[str]) -> DataFrame:
-    """Neighbour-joining trees, one per key: (keys, node_id, parent_id, name, length, is_tip). A group is one matrix; its
-    size is bounded by the limit on variants."""
+    """Neighbour-joining trees, one per key: (keys, node_id, parent_id, name, length, is_tip). Rows sorted by key pass as a
+    stream; one matrix at a time is held, whose size is bounded by the limit on variants."""
     kinds = ", ".join(f"`{k}` {distances.schema[k].dataType.simpleString()}" for k in keys)
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = np.unique(np.concatenate([pdf["i"], pdf["j"]]))
-        i, j = np.searchsorted(names, pdf["i"]), np.searchsorted(names, pdf["j"])
-        d = np.zeros((len(names), len(names)))
-        d[i, j] = d[j, i] = pdf["dist"]
-        rows = neighbor_joining(d)
-        out = pd.DataFrame(rows, columns=["node_id", "parent_id", "length"])
-        out["name"] = [str(names[k]) if k < len(names) else None for k in out["node_id"]]
-        out["is_tip"] = out["node_id"] < len(names)
-        for k in keys:
-            out[k] = pdf[k].iat[0]
-        return out.astype({"parent_id": "Int64"})[[*keys, "node_id", "parent_id", "name", "length", "is_tip"]]
-
-    return distances.groupBy(*keys).applyInPandas(build, f"{kinds}, node_id bigint, parent_id bigint, name string, length double, is_tip boolean")
+    names = [*keys, "node_id", "parent_id", "name", "length", "is_tip"]
+
+    def tree(key: tuple, i: np.ndarray, j: np.ndarray, dist: np.ndarray) -> list[tuple]:
+        labels = np.unique(np.concatenate([i, j]))
+        a, b = np.searchsorted(labels, i), np.searchsorted(labels, j)
+        d = np.zeros((len(labels), len(labels)))
+        d[a, b] = d[b, a] = dist
+        return [(*key, node, parent, str(labels[node]) if node < len(labels) else None, length, node < len(labels)) for node, parent, length in neighbor_joining(d)]
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key, rows, types = [], None, [], None
+
+        def close() -> None:
+            if held:
+                rows.extend(tree(key, *(np.concatenate(c) for c in zip(*held))))
+                held.clear()
+
+        def flush() -> pa.RecordBatch:
+            kinds = [*types, pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.bool_()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+
+        for batch in batches:
+            types = [batch.schema.field(k).type for k in keys]
+            own = list(zip(*(batch.column(k).to_pylist() for k in keys)))
+            i, j, dist = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("i", "j", "dist"))
+            starts = [0, *(x for x in range(1, len(own)) if own[x] != own[x - 1]), len(own)]
+            for a, b in zip(starts, starts[1:]):
+                if own[a] != key:
+                    close()
+                    key = own[a]
+                held.append((i[a:b], j[a:b], dist[a:b]))
+            if len(rows) > 50_000:
+                yield flush()
+                rows.clear()
+        close()
+        if rows:
+            yield flush()
+
+    sorted_rows = distances.select(*keys, "i", "j", "dist").repartition(*keys).sortWithinPartitions(*keys)
+    return sorted_rows.mapInArrow(build, f"{kinds}, node_id bigint, parent_id bigint, name string, length double, is_tip boolean")
 
 
 def ancestors(nodes: DataFrame, max_rounds: int = 20) -> DataFrame:
@@ -170,6 +195,45 @@ def annotate(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     return parts.join(n, ["tree", "name"], "left").groupBy("tree", "node_id").agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("n_labels"), F.bool_and(F.col("name").isNull()).alias("unsampled"))
 
 
+def node_labels(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(tree, node_id, name, label): the sample labels of every part of a node's name, one row each; a node without any
+    is unsampled and has one row without a label. labels(tree, name, label)."""
+    parts = nodes.select("tree", "node_id", F.explode_outer(F.split("name", r"\|")).alias("name"))
+    found = parts.join(labels, ["tree", "name"])
+    bare = nodes.join(found.select("tree", "node_id").distinct(), ["tree", "node_id"], "left_anti")
+    return found.select("tree", "node_id", "name", "label").unionByName(bare.select("tree", "node_id", F.lit(None).cast("string").alias("name"), F.lit(None).cast(labels.schema["label"].dataType).alias("label")))
+
+
+def bead_names(nodes: DataFrame, samples: DataFrame) -> DataFrame:
+    """(tree, node_id, variant, n): a node is named after its first sample by date and accession; nodes without samples
+    are ``unsampled0``, ``unsampled1``, … in level order. samples(tree, name, accession, coldate)."""
+    parts = nodes.select("tree", "node_id", F.explode_outer(F.split("name", r"\|")).alias("name"))
+    first = parts.join(samples, ["tree", "name"]).groupBy("tree", "node_id").agg(F.min_by(F.col("accession").cast("string"), F.struct("coldate", "accession")).alias("variant"), F.count("*").alias("n"))
+    depth = ancestors(nodes).groupBy("tree", "node_id").agg(F.max("hops").alias("depth"))
+    named = nodes.select("tree", "node_id").join(depth, ["tree", "node_id"]).join(first, ["tree", "node_id"], "left")
+    k = F.row_number().over(Window.partitionBy("tree", F.col("variant").isNull()).orderBy("depth", "node_id")) - 1
+    return named.select("tree", "node_id", F.coalesce("variant", F.concat(F.lit("unsampled"), k.cast("string"))).alias("variant"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
+def bead_tree(nodes: DataFrame, names: DataFrame, supports: DataFrame) -> DataFrame:
+    """(tree, pos, parent, child, dist, support): edges between named nodes in level order, lengths to two decimals.
+    names(tree, node_id, variant), supports(tree, node_id, support)."""
+    v = nodes.drop("name").join(names.select("tree", "node_id", F.col("variant").alias("name")), ["tree", "node_id"])
+    e = bead_edges(v)
+    child = v.select("tree", F.col("name").alias("child"), "node_id").join(supports.select("tree", "node_id", "support"), ["tree", "node_id"], "left").drop("node_id")
+    return e.join(child, ["tree", "child"]).select("tree", "pos", "parent", "child", "dist", "support")
+
+
+def consensus_nodes(found: DataFrame, group: str = "group") -> tuple[DataFrame, DataFrame]:
+    """A consensus as a node table (tips named by their key, ids from the largest split down) and its supports."""
+    ids = found.select(group, "key", (F.row_number().over(Window.partitionBy(group).orderBy(F.desc("size"), "key")) - 1).cast("long").alias("node_id"))
+    up = ids.select(group, F.col("key").alias("parent"), F.col("node_id").alias("parent_id"))
+    t = cut(found.join(ids, [group, "key"]).join(up, [group, "parent"], "left"))
+    tip = F.col("size") == 1
+    nodes = t.select(F.col(group).alias("tree"), "node_id", "parent_id", F.when(tip, F.col("key")).alias("name"), "length", tip.alias("is_tip"))
+    return nodes, t.select(F.col(group).alias("tree"), "node_id", "support")
+
+
 def bead_edges(nodes: DataFrame) -> DataFrame:
     """(tree, pos, parent, child, dist, depth): edges in level order, lengths to two decimals; the root has none."""
     depth = ancestors(nodes).groupBy("tree", "node_id").agg(F.max("hops").alias("depth"))
@@ -190,8 +254,8 @@ def node_dates(text: Column) -> Column:
 
 
 def collapse_low_support(nodes: DataFrame, cutoff: float = 0.5) -> DataFrame:
-    """Inner nodes below a support go; their children move to the nearest ancestor that stays, with the lengths passed."""
-    weak = ~F.col("is_tip") & F.col("parent_id").isNotNull() & (F.coalesce("support", F.lit(0.0)) < cutoff)
+    """Inner nodes below a support go (those without one stay); their children move to the nearest ancestor that stays, with the lengths passed."""
+    weak = ~F.col("is_tip") & F.col("parent_id").isNotNull() & F.coalesce(F.col("support") < cutoff, F.lit(False))
     stays = nodes.where(~weak)
     alive = stays.select("tree", F.col("node_id").alias("anc"))
     up = ancestors(nodes).where("hops > 0").join(alive, ["tree", "anc"]).groupBy("tree", "node_id").agg(F.min_by(F.struct("anc", "dist"), "hops").alias("u"))
@@ -217,6 +281,39 @@ def rect_layout(nodes: DataFrame) -> DataFrame:
     return x.join(y, ["tree", "node_id"])
 
 
+def suppress_single(nodes: DataFrame, up: DataFrame | None = None) -> DataFrame:
+    """Inner nodes with one child are passed over, lengths summed; a root with one child goes, too. ``up`` are ancestors
+    of these nodes, if they are at hand."""
+    up = cut(ancestors(nodes)) if up is None else up
+    kids = nodes.where("parent_id is not null").groupBy("tree", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("kids"))
+    kept = nodes.join(kids, ["tree", "node_id"], "left").where("is_tip or kids > 1").drop("kids")
+    target = up.where("hops > 0").join(kept.select("tree", F.col("node_id").alias("anc")), ["tree", "anc"]).groupBy("tree", "node_id").agg(F.min_by(F.struct("anc", "dist"), "hops").alias("u"))
+    return kept.drop("parent_id", "length").join(target, ["tree", "node_id"], "left").select("tree", "node_id", F.col("u.anc").alias("parent_id"), "name", F.col("u.dist").alias("length"), "is_tip")
+
+
+def drop_outgroup(nodes: DataFrame, name: str = "reference") -> DataFrame:
+    """Every tree rooted where the tip of that name joins it, and without that tip: edges on the path to the old root are
+    turned round and keep their lengths. Trees without such a tip stay as they are."""
+    out = nodes.where(F.col("is_tip") & (F.col("name") == name)).groupBy("tree").agg(F.min(F.struct("node_id", "parent_id")).alias("o")).select("tree", F.col("o.node_id").alias("out_id"), F.col("o.parent_id").alias("start"))
+    path = ancestors(nodes).join(out.select("tree", F.col("start").alias("node_id")), ["tree", "node_id"]).select("tree", F.col("anc").alias("node_id"), "hops")
+    path = cut(path.join(nodes.select("tree", "node_id", "length"), ["tree", "node_id"]))
+    below = path.select("tree", (F.col("hops") + 1).alias("hops"), F.col("node_id").alias("turned"), F.col("length").alias("turned_length"))
+    turn = path.select("tree", "node_id", "hops").join(below, ["tree", "hops"], "left").withColumn("on_path", F.lit(True)).drop("hops")
+    left = nodes.join(out.select("tree", F.col("out_id").alias("node_id")), ["tree", "node_id"], "left_anti").join(turn, ["tree", "node_id"], "left")
+    moved = left.select("tree", "node_id", F.when(F.col("on_path"), F.col("turned")).otherwise(F.col("parent_id")).alias("parent_id"), "name", F.when(F.col("on_path"), F.col("turned_length")).otherwise(F.col("length")).alias("length"), "is_tip")
+    return suppress_single(cut(moved))
+
+
+def renumber(nodes: DataFrame) -> DataFrame:
+    """Node ids from 0 without gaps in their old order, parents with them, and the layout of the tree that is left:
+    (tree, node_id, parent_id, name, length, is_tip, x, y)."""
+    new = nodes.select("tree", "node_id", (F.row_number().over(Window.partitionBy("tree").orderBy("node_id")) - 1).cast("long").alias("new_id"))
+    own = nodes.join(new, ["tree", "node_id"])
+    up = new.select("tree", F.col("node_id").alias("parent_id"), F.col("new_id").alias("new_parent"))
+    fresh = cut(own.join(up, ["tree", "parent_id"], "left").select("tree", F.col("new_id").alias("node_id"), F.col("new_parent").alias("parent_id"), "name", "length", "is_tip"))
+    return fresh.join(rect_layout(fresh), ["tree", "node_id"])
+
+
 def prune_before(nodes: DataFrame, dates: DataFrame, cutoff: Column) -> DataFrame:
     """Tips dated at or after a cutoff with their ancestors, single-child nodes passed over; a tree without such tips
     stays as it is. dates(tree, node_id, date). Ids are kept; lengths are summed over the nodes passed over."""
@@ -224,10 +321,7 @@ def prune_before(nodes: DataFrame, dates: DataFrame, cutoff: Column) -> DataFram
     up = cut(ancestors(nodes))
     live = up.join(good, ["tree", "node_id"]).select("tree", F.col("anc").alias("node_id")).distinct()
     alive = cut(nodes.join(live, ["tree", "node_id"], "left_semi"))
-    kids = alive.where("parent_id is not null").groupBy("tree", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("kids"))
-    kept = alive.join(kids, ["tree", "node_id"], "left").where("is_tip or kids > 1").drop("kids")
-    target = up.where("hops > 0").join(kept.select("tree", F.col("node_id").alias("anc")), ["tree", "anc"]).groupBy("tree", "node_id").agg(F.min_by(F.struct("anc", "dist"), "hops").alias("u"))
-    pruned = kept.drop("parent_id", "length").join(target, ["tree", "node_id"], "left").select("tree", "node_id", F.col("u.anc").alias("parent_id"), "name", F.col("u.dist").alias("length"), "is_tip")
+    pruned = suppress_single(alive, up)
     rest = nodes.join(good.select("tree").distinct(), "tree", "left_anti").select("tree", "node_id", "parent_id", "name", "length", "is_tip")
     return pruned.unionByName(rest)
 
@@ -245,11 +339,23 @@ def read_newick(trees: DataFrame, text: str = "newick") -> DataFrame:
     # the parent closes one level up: of the nodes at that level the next one that is no tip
     inner = n.where("not is_tip").select("tree", (F.col("level") + 1).alias("level"), "i", F.col("node_id").alias("pid"))
     both = n.select("tree", "level", "i", "node_id", F.lit(None).cast("long").alias("pid")).unionByName(inner.select("tree", "level", "i", F.lit(None).cast("long").alias("node_id"), "pid"))
-    nxt = F.first("pid", ignorenulls=True).over(Window.partitionBy("tree", "level").orderBy("i").rowsBetween(1, Window.unboundedFollowing))
+    nxt = F.last("pid", ignorenulls=True).over(Window.partitionBy("tree", "level").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, -1))
     parents = both.withColumn("parent_id", nxt).where("node_id is not null").select("tree", "node_id", "parent_id")
     return n.select("tree", "node_id", F.when(label != "", label).alias("name"), length.alias("length"), "is_tip").join(parents, ["tree", "node_id"])
 
 
+def dated_labels(nodes: DataFrame, dates: DataFrame) -> DataFrame:
+    """Names for writing: tips ``name|first date``, inner nodes their support. dates(tree, node_id, date)."""
+    j = nodes.join(dates.select("tree", "node_id", "date"), ["tree", "node_id"], "left")
+    return j.withColumn("name", F.when(F.col("is_tip"), F.concat_ws("|", "name", F.col("date").cast("string"))).otherwise(F.col("support").cast("string"))).drop("date")
+
+
+def support_names(nodes: DataFrame) -> DataFrame:
+    """Inner nodes without a name take their support as one and give it up; a support of 0 counts as none."""
+    use = ~F.col("is_tip") & F.col("name").isNull() & (F.coalesce("support", F.lit(0.0)) != 0)
+    return nodes.withColumns({"name": F.when(use, F.col("support").cast("string")).otherwise(F.col("name")), "support": F.when(~use, F.col("support"))})
+
+
 def to_newick(nodes: DataFrame) -> DataFrame:
     """(tree, newick): children by node id. A tree is one text and so one group, walked depth-first without recursion, in
     proportion to its nodes whatever its depth. Nodes that no root reaches are an error."""

@@ -16,8 +16,12 @@ SQL_LIMIT = 30  # the newest variants in the first SQL of T02 and S02
 
 
 def dictionary(spark: SparkSession, sf: str, limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
+    return dictionary_of(encoded(spark, sf), limit)
+
+
+def dictionary_of(samples: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     """(variant features long: lineage, variant_no, feature_no; feature dictionary)."""
-    numbered, words = A.recode(A.variants(encoded(spark, sf)), limit)
+    numbered, words = A.recode(A.variants(samples), limit)
     long = numbered.where(F.col("variant_no") < limit).select("lineage", "variant_no", F.explode(F.split("variant_key", ",")).alias("feature"))
     return long.join(words, ["lineage", "feature"]).select("lineage", "variant_no", "feature_no"), words
 
@@ -65,20 +69,33 @@ def t02_pairwise_distance(spark: SparkSession, sf: str) -> DataFrame:
     return T.pairwise_distance(dictionary(spark, sf, SQL_LIMIT)[0])
 
 
-@register(_whole(_DISTANCE))
+def families(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples with one customer's orders as a lineage: many groups of bounded size, as pairs and trees ask for."""
+    return encoded(spark, sf).withColumn("lineage", F.substring_index("name", "#", -1))
+
+
+def family_dictionary(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return dictionary_of(families(spark, sf), LIMIT)
+
+
+_FAMILY_DISTANCE = _whole(_DISTANCE).replace("from variants)", "from (select split_part(name, '#', 2) as lineage, variant_key, max(coldate) as last_date from encoded group by 1, 2))", 1)
+
+
+@register(_FAMILY_DISTANCE)
 def t02_pairwise_distance_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return T.pairwise_distance(dictionary(spark, sf)[0])
+    return T.pairwise_distance(family_dictionary(spark, sf)[0])
 
 
-def bootstrap_trees(spark: SparkSession, sf: str) -> DataFrame:
-    long, words = dictionary(spark, sf)
+def family_trees(spark: SparkSession, sf: str) -> DataFrame:
+    """Bootstrap trees of every family: (lineage, replicate, node_id, parent_id, name, length, is_tip)."""
+    long, words = family_dictionary(spark, sf)
     d = T.pairwise_distance(long, T.bootstrap_weights(words, REPLICATES))
     return T.nj_trees(d, ["lineage", "replicate"])
 
 
 @register()
 def t03_nj_trees(spark: SparkSession, sf: str) -> DataFrame:
-    return bootstrap_trees(spark, sf)
+    return family_trees(spark, sf)
 
 
 @register(NODES + "select a.tree, a.anc as node_id, count(*) as n_tips, md5(string_agg(t.name, ',' order by t.name)) as tips from anc a join nodes t on t.tree = a.tree and t.node_id = a.node_id and t.is_tip where hops > 0 group by 1, 2")
@@ -86,17 +103,20 @@ def t04_clades(spark: SparkSession, sf: str) -> DataFrame:
     return T.clades(nodes(spark, sf)).select("tree", "node_id", F.size("tips").cast("long").alias("n_tips"), F.md5(F.array_join("tips", ",").cast("binary")).alias("tips"))
 
 
-@register()
-def t05_consensus(spark: SparkSession, sf: str) -> DataFrame:
-    """Consensus of the bootstrap trees of every lineage."""
-    n = bootstrap_trees(spark, sf).withColumn("tree", F.concat_ws("#", "lineage", "replicate"))
-    n = cut(n.withColumn("name", F.lpad("name", 4, "0")))
+def consensus_of(found: DataFrame) -> DataFrame:
+    """Consensus of the bootstrap trees of every lineage: (group, key, parent, support, length, size)."""
+    n = cut(found.withColumn("tree", F.concat_ws("#", "lineage", "replicate")).withColumn("name", F.lpad("name", 4, "0")))
     group = F.substring_index("tree", "#", 1).alias("group")
     splits = T.clades(n).select(group, "tree", "tips", "length")
     tips = n.where("is_tip").select(group, "tree", "name", "length")
     return T.consensus(splits, tips, n.groupBy(group).agg(F.count_distinct("tree").alias("n")))
 
 
+@register()
+def t05_consensus(spark: SparkSession, sf: str) -> DataFrame:
+    return consensus_of(family_trees(spark, sf))
+
+
 @register("""with tips as (select n_nationkey as k, n_name as name from nation), trees as (select unnest(range(4)) as tree), splits as (select tree, (k + (case when tree = 3 then 1 else 0 end)) // 5 as part, string_agg(name, ',' order by name) as key, count(*) as size from tips, trees group by 1, 2),
 kept as (select key, count(*) / 4 as support, any_value(size) as size from splits group by key having count(*) / 4 >= 0.5) select key, support, size from kept union all select name, null, 1 from tips""")
 def t05_consensus_splits(spark: SparkSession, sf: str) -> DataFrame:
