@@ -57,13 +57,16 @@ def lineage_mutations(common: DataFrame, name: Column, group: str = "lineage") -
     return common.select(group, name.alias("mutation"), "freq").where("mutation is not null").groupBy(group, "mutation").agg(F.max("freq").alias("freq"))
 
 
-def lineage_stats(samples: DataFrame, mutations: DataFrame, residuals: DataFrame | None = None, raw: Column | None = None, group: str = "lineage", date: str = "coldate") -> DataFrame:
-    """One row per group: size, last date, most and mean features, residual (0 if absent), mutations, raw name."""
+def lineage_stats(samples: DataFrame, mutations: DataFrame, residuals: DataFrame | None = None, raw: Column | None = None, group: str = "lineage", date: str = "coldate", infections: DataFrame | None = None) -> DataFrame:
+    """One row per group: size, last date, most and mean features, residual (0 if absent), mutations, raw name, and the
+    predicted infections where they are given (-1 if a group has none)."""
     base = samples.groupBy(group).agg(F.count("*").alias("nsamples"), F.max(date).alias("lastcoldate"), F.max("n_features").alias("max_ndiffs"), F.avg("n_features").alias("mean_ndiffs"))
     named = mutations.groupBy(group).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("mutation", "freq")))).alias("mutations"))
     out = base.join(named, group, "left").withColumn("mutations", F.coalesce("mutations", F.create_map().cast("map<string,double>")))
     if residuals is not None:
         out = out.join(residuals, group, "left").withColumn("residual", F.coalesce("residual", F.lit(0.0)))
+    if infections is not None:
+        out = out.join(infections, group, "left").withColumn("infections", F.coalesce("infections", F.lit(-1.0)))
     return out if raw is None else out.withColumn("raw_lineage", raw)
 
 
@@ -142,6 +145,29 @@ def cluster_summary(samples: DataFrame, group: str = "lineage") -> DataFrame:
     return mode.join(words, group).join(count_map(samples, [group], "region", "regions"), group).join(count_map(samples, [group], "country", "countries"), group)
 
 
+def variant_tables(samples: DataFrame, group: str = "lineage", date: str = "coldate") -> DataFrame:
+    """Per variant: the label of its first sample, and its count maps of countries and regions."""
+    keys = [group, "variant_key"]
+    label = samples.groupBy(*keys).agg(F.min_by(X.short_label(F.col("name")), F.struct(date, "accession", "location", "name")).alias("label"))
+    return label.join(count_map(samples, keys, "country", "countries"), keys).join(count_map(samples, keys, "region", "regions"), keys)
+
+
+def first_label(samples: DataFrame, group: str = "lineage", date: str = "coldate") -> DataFrame:
+    """Per group the label of its first sample, and the earliest and latest date."""
+    return samples.groupBy(group).agg(F.min_by("name", F.struct(date, "accession", "name")).alias("label1"), F.min(date).alias("first_date"), F.max(date).alias("last_date"))
+
+
+def tip_span(tips: DataFrame, year_days: float = 3.154e10 / 8.64e7) -> DataFrame:
+    """Where a tip's bar begins and ends: its x less the years between its dates, and its x."""
+    return tips.withColumns({"x1": F.col("x") - F.datediff("last_date", "first_date") / F.lit(year_days), "x2": F.col("x")})
+
+
+def cluster_extents(edges: DataFrame, samples: DataFrame, group: str = "lineage", date: str = "coldate") -> DataFrame:
+    """Per group the longest edge and the date span, null where there is none."""
+    longest = edges.groupBy(group).agg(F.max("dist").alias("max_dist"))
+    return samples.groupBy(group).agg(F.min(date).alias("min_date"), F.max(date).alias("max_date")).join(longest, group, "left")
+
+
 def tip_stats(samples: DataFrame, rate: float = 0.0655342, origin: int = 18231, group: str = "lineage", date: str = "coldate") -> DataFrame:
     """Per group: dates, count, number of variants and the clock residual of its mean date."""
     day = F.unix_date(date)
@@ -158,9 +184,10 @@ def clock_residuals(estimates: DataFrame, dates: DataFrame, key: str = "name") -
 
 
 def index_of(samples: DataFrame, key: str, group: str = "lineage") -> DataFrame:
-    """(key, cid): the number of the group a key belongs to, groups numbered by name."""
+    """(key, cid): the number of the group a key belongs to, groups numbered by name. Spark broadcasts the numbers if they
+    are few."""
     cid = samples.select(group).distinct().withColumn("cid", F.row_number().over(Window.orderBy(group)) - 1)  # one row per group
-    return samples.select(F.col(key).alias("key"), group).distinct().join(F.broadcast(cid), group).select("key", "cid")
+    return samples.select(F.col(key).alias("key"), group).distinct().join(cid, group).select("key", "cid")
 
 
 def latest_assignment(log: DataFrame, key: str = "accession") -> DataFrame:
@@ -193,6 +220,16 @@ def latest_assignment(log: DataFrame, key: str = "accession") -> DataFrame:
     return rows.repartition(key).sortWithinPartitions(*names).mapInArrow(fold, rows.schema)
 
 
+def newest_first(rows: DataFrame, order: str) -> DataFrame:
+    """Rows with ``nth``, the newest first: a global sort, whose partitions are numbered on their own and shifted by the
+    sizes of those before them (one row per partition)."""
+    ranged = rows.repartitionByRange(F.desc(order)).withColumn("#part", F.spark_partition_id())
+    w = Window.partitionBy("#part").orderBy(F.desc(order))
+    sizes = ranged.groupBy("#part").agg(F.count("*").alias("n"))
+    before = sizes.select("#part", F.coalesce(F.sum("n").over(Window.orderBy("#part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return ranged.withColumn("nth", F.row_number().over(w) - 1).join(before, "#part").withColumn("nth", F.col("nth") + F.col("before")).drop("#part", "before")
+
+
 def extents(tips: DataFrame) -> DataFrame:
     return tips.agg(F.min(F.log10("n")).alias("min_log_n"), F.max(F.log10("n")).alias("max_log_n"), F.min("last_date").alias("min_date"), F.max("last_date").alias("max_date"), F.min("residual").alias("min_residual"), F.max("residual").alias("max_residual"))
 

@@ -89,6 +89,12 @@ def qc_strict(df: DataFrame, header: str, sequence: str, accession: str, date_co
     return df.select(F.col(accession).alias("accession"), reason.alias("reason"))
 
 
+def reason_lists(judged: DataFrame) -> DataFrame:
+    """(reason, accession): the rejected rows of every reason, in order over all partitions; rows, so that no list is one
+    value or one task."""
+    return judged.where("reason is not null").select("reason", "accession").repartitionByRange("reason", "accession").sortWithinPartitions("reason", "accession")
+
+
 def edges_within(edges: DataFrame, max_dist: float | None = None, default: float = 2.0, col: str = "dist") -> DataFrame:
     """Edges up to a distance; without one, up to ``default`` or the largest there is, whichever is less."""
     if max_dist is not None:

@@ -12,6 +12,11 @@ def representative(samples: DataFrame, order: list[Column], group: str = "lineag
     return samples.groupBy(group).agg(pick(F.struct(*[c for c in samples.columns if c != group]), key).alias("s")).select(group, "s.*")
 
 
+def with_reference(rows: DataFrame, reference: DataFrame) -> DataFrame:
+    """A reference (or outgroup) row before the representatives: its missing columns are null, ``ord`` puts it first."""
+    return reference.withColumn("ord", F.lit(0)).unionByName(rows.withColumn("ord", F.lit(1)), allowMissingColumns=True)
+
+
 def newest_variants(variants: DataFrame, n: int, group: str = "lineage") -> DataFrame:
     w = Window.partitionBy(group).orderBy(F.desc("last_date"), F.desc("variant_key"))
     return variants.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)

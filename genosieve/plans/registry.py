@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-_MODULES = ("filters", "expressions", "joins", "aggregates", "ranking", "sets", "trees", "serving", "incremental", "inputs", "models")
+_MODULES = ("filters", "expressions", "joins", "aggregates", "ranking", "sets", "trees", "beads", "extended", "serving", "incremental", "inputs", "models")
 
 
 def register(sql: str | None = None, dates: str = "") -> Callable[[Query], Query]:
