@@ -5,9 +5,6 @@ A block's index has levels of nodes; a node holds the bits that all fingerprints
 holds yet. A query adds up differences from the top down and drops a whole group as soon as its sum exceeds the limit.
 Blocks are joined with blocks: their own top patterns decide which pairs of blocks can hold a link at all.
 
-Blocks are runs of a range-partitioned sort; how often a fingerprint is copied, once for every block that its own block
-meets, is the number of patterns within the limit of a block's (README.md has it measured).
-
 Defined results: null texts count as empty; very long texts are hashed whole, in bounded pieces; extra columns, also ones
 named like the operator's own, are not touched; no words give fingerprint 0, which links like any other; repeated rows and
 null ids keep their rows (a component's id is its least non-null id); an empty table gives an empty result.
@@ -21,7 +18,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from genosieve.llm.common import written
@@ -164,50 +160,36 @@ def _rank_column(fp: F.Column) -> F.Column:
     return r.bitwiseXOR(F.lit(-(1 << 63)))
 
 
-def _blocks(classes: DataFrame, n: int, block: int) -> DataFrame:
-    """(fp, block): ranges of Gray rank, sorted by Spark and cut every ``block`` fingerprints. No bound is known outside
-    the sort."""
-    parts = max(1, min(-(-n // (16 * block)), 10_000))
-    ranked = classes.select("fp", _rank_column(F.col("fp")).alias("rank")).repartitionByRange(parts, "rank").sortWithinPartitions("rank")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, at = TaskContext.get().partitionId() << 32, 0
-        for batch in batches:
-            number = first + (at + np.arange(batch.num_rows, dtype=np.int64)) // block
-            at += batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(number)], names=["fp", "block"])
-
-    return written(ranked.select("fp").mapInArrow(cut, "fp bigint, block bigint"), "blocks")
-
-
-def block_pairs(blocked: DataFrame, limit: int = MAX_DISTANCE) -> DataFrame:
-    """(a, b), a <= b: the pairs of blocks whose patterns allow a link. A task compares its blocks with the table of all
-    patterns, which has one row for every ``BLOCK`` fingerprints and is all that the driver knows."""
-    tops = written(blocked.groupBy("block").agg(F.bit_and("fp").alias("ands"), F.bit_or("fp").alias("ors")), "tops")
-    found = tops.toPandas()
-    ids = found["block"].to_numpy(np.int64)
-    ands, ors = (found[c].to_numpy(np.int64).view(np.uint64) for c in ("ands", "ors"))
-    shared = ~(ands ^ ors)
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = np.asarray(batch.column(1)).view(np.uint64), np.asarray(batch.column(2)).view(np.uint64)
-            for i, x, y in zip(batch.column(0).to_pylist(), *own):
-                j = np.flatnonzero((np.bitwise_count((x ^ ands) & ~(x ^ y) & shared) <= limit) & (ids >= i))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), i)), pa.array(ids[j])], names=["a", "b"])
-
-    return tops.repartition(max(1, min(-(-len(ids) // 64), 10_000))).mapInArrow(meet, "a bigint, b bigint")
-
-
 def link_forest(classes: DataFrame, limit: int = MAX_DISTANCE, block: int = BLOCK) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints ``fp`` whose components are those of all pairs within ``limit``."""
-    schema = "u bigint, v bigint"
+    """Edges (u, v) between distinct fingerprints ``fp`` whose components are those of all pairs within ``limit``.
+
+    Blocks are ranges of Gray rank with near-equal counts. Only their bounds, patterns and the pairs of blocks that may
+    hold links are known to the driver: one row per ``block`` fingerprints.
+    """
+    spark = classes.sparkSession
     n = classes.count()
+    schema = "u bigint, v bigint"
     if n < 2:
-        return classes.sparkSession.createDataFrame([], schema)
-    blocked = _blocks(classes, n, block)
-    plan = block_pairs(blocked, limit)
-    sides = plan.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("block"), "a", "b")
+        return spark.createDataFrame([], schema)
+    ranked = classes.select("fp", _rank_column(F.col("fp")).alias("rank"))
+    k = -(-n // block)
+    # near-equal ranges of counts; the bounds are approximate percentiles, so any bounds give the same links
+    bounds = sorted(set(ranked.agg(F.percentile_approx("rank", [i / k for i in range(1, k)], 10 * k + 1000)).first()[0])) if k > 1 else []
+    at = F.lit(0)
+    if bounds:
+        cuts = F.array(*(F.lit(b) for b in bounds))
+        at = F.size(F.filter(cuts, lambda c: c < F.col("rank"))) if len(bounds) < 64 else _bucket(F.col("rank"), bounds)
+    blocked = written(ranked.withColumn("block", at.cast("int")).select("fp", "block"), "blocks")
+    tops = blocked.groupBy("block").agg(F.bit_and("fp").alias("ands"), F.bit_or("fp").alias("ors")).collect()  # one row a block
+    ids = np.array([r.block for r in tops])
+    ands, ors = (np.array([r[c] for r in tops], np.int64).view(np.uint64) for c in ("ands", "ors"))
+    shared = ~(ands ^ ors)
+    pairs = []
+    for i in range(len(tops)):  # prune pairs of whole blocks by the bits that both of them share
+        j = np.flatnonzero((np.bitwise_count((ands[i] ^ ands) & shared[i] & shared) <= limit) & (ids >= ids[i]))
+        pairs += [(int(ids[i]), int(ids[x])) for x in j]
+    plan = spark.createDataFrame(pd.DataFrame(pairs, columns=["a", "b"]), "a int, b int")
+    sides = plan.select(F.col("a").alias("block"), "a", "b").unionByName(plan.where("a != b").select(F.col("b").alias("block"), "a", "b"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         fp, own = pdf["fp"].to_numpy(np.int64).view(np.uint64), (pdf["block"] == pdf["a"]).to_numpy()
@@ -218,6 +200,17 @@ def link_forest(classes: DataFrame, limit: int = MAX_DISTANCE, block: int = BLOC
     return blocked.join(sides, "block").groupBy("a", "b").applyInPandas(run, schema)
 
 
+def _bucket(rank: F.Column, bounds: list[int]) -> F.Column:
+    """Number of bounds below the rank, by halving."""
+    def half(lo: int, hi: int) -> F.Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(rank > F.lit(bounds[mid]), half(mid + 1, hi)).otherwise(half(lo, mid))
+
+    return half(0, len(bounds))
+
+
 def _classes(prints: DataFrame, limit: int, block: int, id_col: str) -> DataFrame:
     """(fp, root, component_id, n_same) of the distinct fingerprints; component_id is null if no document has an id."""
     classes = written(prints.groupBy("fp").agg(F.min(id_col).alias("first_id"), F.count("*").alias("n_same")), "classes")
@@ -244,7 +237,8 @@ def keep_first(docs: DataFrame, limit: int = MAX_DISTANCE, block: int = BLOCK, t
     rows = prints.groupBy(F.col(id_col).alias("#id")).agg(F.count("*").alias("#rows"))
     heads = written(heads.join(rows, "#id").select("#id", "#own", "#rows"), "heads")
     once = heads.where("`#rows` = 1").select("#id")
-    kept = docs.join(once, docs[id_col] == F.col("#id"), "left_semi").select(*names)
+    # sorted on both sides at every size: the heads grow with the documents and have no bound that a broadcast could rely on
+    kept = docs.join(once.hint("merge"), docs[id_col] == F.col("#id"), "left_semi").select(*names)
     again = heads.where("`#rows` > 1").select("#id", "#own")
     if not again.isEmpty():  # ids that several rows share: their texts tell which row it is
         shared = _with_fingerprint(docs.join(again, docs[id_col] == F.col("#id"), "left_semi").select(*names), text_col)
