@@ -16,9 +16,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of chunks and their ids that a Python worker remembers; beyond that, those not met since the last time go.
-MEMORY = 64 << 20
+MEMORY = 48 << 20
 #: Texts encoded at once: so many bytes, or one text.
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 3 << 20
 #: Before a chunk that no space precedes, and the chunk that stands for the end of a text. Texts that hold one of these
 #: control characters go through the library whole.
 _BARE, _STOP = "\x01", "\x02"
@@ -189,6 +189,7 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
                 yield key, ids[start:stop]
                 start = stop
             at = to
+    pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
 
 def default_path() -> str:
