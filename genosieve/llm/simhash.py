@@ -233,22 +233,22 @@ def keep_first(docs: DataFrame, limit: int = MAX_DISTANCE, block: int = BLOCK, t
     prints = written(fingerprints(docs, text_col, id_col), "prints")
     classes = written(_classes(prints, limit, block, id_col), "named")
     names = [F.col(f"`{c}`") for c in docs.columns]
-    heads = prints.join(classes, "fp").where(F.col(id_col) == F.col("component_id")).groupBy("root").agg(F.min(id_col).alias("#id"), F.min("fp").alias("#own"))
-    rows = prints.groupBy(F.col(id_col).alias("#id")).agg(F.count("*").alias("#rows"))
-    heads = written(heads.join(rows, "#id").select("#id", "#own", "#rows"), "heads")
-    once = heads.where("`#rows` = 1").select("#id")
+    head, own, n_rows, row, root = (f"#{x}" + "#" * max(map(len, docs.columns)) for x in ("id", "own", "rows", "row", "root"))  # names that are free
+    heads = prints.join(classes, "fp").where(F.col(id_col) == F.col("component_id")).groupBy("root").agg(F.min(id_col).alias(head), F.min("fp").alias(own))
+    rows = prints.groupBy(F.col(id_col).alias(head)).agg(F.count("*").alias(n_rows))
+    heads = written(heads.join(rows, head).select(head, own, n_rows), "heads")
+    once = heads.where(F.col(n_rows) == 1).select(head)
     # sorted on both sides at every size: the heads grow with the documents and have no bound that a broadcast could rely on
-    kept = docs.join(once.hint("merge"), docs[id_col] == F.col("#id"), "left_semi").select(*names)
-    again = heads.where("`#rows` > 1").select("#id", "#own")
+    kept = docs.join(once.hint("merge"), docs[id_col] == F.col(head), "left_semi").select(*names)
+    again = heads.where(F.col(n_rows) > 1).select(head, own)
     if not again.isEmpty():  # ids that several rows share: their texts tell which row it is
-        shared = _with_fingerprint(docs.join(again, docs[id_col] == F.col("#id"), "left_semi").select(*names), text_col)
-        own = shared[shared.columns[-1]]
-        met = shared.join(again, (shared[id_col] == F.col("#id")) & (own == F.col("#own")))
-        one = met.groupBy("#id", "#own").agg(F.min_by(F.struct(*(shared[c] for c in docs.columns)), F.coalesce(shared[text_col], F.lit(""))).alias("#row"))
-        kept = kept.unionByName(one.select(*(F.col("#row")[c].alias(c) for c in docs.columns)))
+        shared = _with_fingerprint(docs.join(again, docs[id_col] == F.col(head), "left_semi").select(*names), text_col)
+        met = shared.join(again, (shared[id_col] == F.col(head)) & (shared[shared.columns[-1]] == F.col(own)))
+        one = met.groupBy(head, own).agg(F.min_by(F.struct(*(shared[c] for c in docs.columns)), F.coalesce(shared[text_col], F.lit(""))).alias(row))
+        kept = kept.unionByName(one.select(*(F.col(row)[c].alias(c) for c in docs.columns)))
     nameless = _with_fingerprint(docs.where(F.col(id_col).isNull()), text_col)
-    alone = classes.where("component_id is null").select(F.col("fp").alias("#own"), F.col("root").alias("#root"))
-    rest = nameless.join(alone, nameless[nameless.columns[-1]] == F.col("#own")).dropDuplicates(["#root"])
+    alone = classes.where("component_id is null").select(F.col("fp").alias(own), F.col("root").alias(root))
+    rest = nameless.join(alone, nameless[nameless.columns[-1]] == F.col(own)).dropDuplicates([root])
     return kept.unionByName(rest.select(*(nameless[c] for c in docs.columns)))
 
 
