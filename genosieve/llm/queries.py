@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from genosieve.llm import licenses, media, packing, pieces, quality, simhash, tokenfile, toxicity, url_filter, warc
+from genosieve.llm import align, fim, licenses, media, packing, pieces, quality, simhash, tokenfile, toxicity, url_filter, warc
 from genosieve.llm.common import table
 
 
@@ -57,6 +57,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, labels))
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(), 256).alias("restored_sha256"))
+
+
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents")).drop("groups")
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -64,7 +73,7 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op2_simhash, op3_tokens, op4_urls, op5_warc, op6_pieces, op7_quality, op8_licenses, op9_packing, op10_toxicity)} | {"pipeline": _pipeline}
+    return {f.__name__: f for f in (op1_media, op2_simhash, op3_tokens, op4_urls, op5_warc, op6_pieces, op7_quality, op8_licenses, op9_packing, op10_toxicity, op11_fim, op12_align)} | {"pipeline": _pipeline}
 
 
 _OP4 = """
@@ -114,6 +123,22 @@ m as (
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failure_bits & 3) <> 0 as base_failed, failure_bits = 0 as kept, failure_bits from f
 """
 
+_OP11 = """
+with d as (select doc_id, coalesce(text, '') as t, sha256('7:' || coalesce(doc_id::varchar, '')) as h from documents),
+u as (
+  select *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') as lines, ('0x' || substr(h, 1, 8))::bigint as h1, ('0x' || substr(h, 9, 8))::bigint as h2,
+         ('0x' || substr(h, 17, 8))::bigint as h3, ('0x' || substr(h, 25, 8))::bigint as h4 from d
+), c as (select *, len(lines)::bigint as n, least(h1 % (len(lines) + 1), h2 % (len(lines) + 1)) as a, greatest(h1 % (len(lines) + 1), h2 % (len(lines) + 1)) as b from u),
+p as (
+  select *, array_to_string(lines[1:a], '') as prefix, array_to_string(lines[a + 1:b], '') as middle, array_to_string(lines[b + 1:], '') as suffix,
+         case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 100 then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end as form from c
+)
+select doc_id, n, form, case when form <> 'plain' then length(prefix) end as prefix_chars, case when form <> 'plain' then length(middle) end as middle_chars,
+       sha256(case form when 'plain' then t when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+       sha256(t) as restored_sha256
+from p
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_urls": _OP4, "op5_warc": _OP5, "op7_quality": _OP7}
+    return {"op4_urls": _OP4, "op5_warc": _OP5, "op7_quality": _OP7, "op11_fim": _OP11}
