@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from genosieve.llm import align, fim, licenses, media, packing, pieces, quality, simhash, tokenfile, toxicity, url_filter, warc
+from genosieve.llm import align, fim, licenses, media, packing, pieces, quality, repeats, simhash, tokenfile, toxicity, url_filter, warc
 from genosieve.llm.common import table
 
 
@@ -66,6 +66,11 @@ def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(table(spark, sf_dir, "documents")).drop("groups")
 
 
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = repeats.remove(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,7 +78,7 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op2_simhash, op3_tokens, op4_urls, op5_warc, op6_pieces, op7_quality, op8_licenses, op9_packing, op10_toxicity, op11_fim, op12_align)} | {"pipeline": _pipeline}
+    return {f.__name__: f for f in (op1_media, op2_simhash, op3_tokens, op4_urls, op5_warc, op6_pieces, op7_quality, op8_licenses, op9_packing, op10_toxicity, op11_fim, op12_align, op13_repeats)} | {"pipeline": _pipeline}
 
 
 _OP4 = """
