@@ -1,7 +1,7 @@
 """Set distances, neighbour joining, and trees as node tables.
 
 nodes: tree, node_id, parent_id (null at the root), name, length, is_tip. All operators work on many trees at once. What
-recursion would do is done by pointer doubling: after k rounds every node knows its ancestors up to 2^k steps away.
+recursion would do is done by pointer jumping over linear tables (``tours``).
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from genosieve.operators import tours
 from genosieve.sources.shared import cut
 
 MIN_LENGTH = 0.5
@@ -136,10 +137,19 @@ def ancestors(nodes: DataFrame, max_rounds: int = 20) -> DataFrame:
 
 
 def clades(nodes: DataFrame) -> DataFrame:
-    """(tree, node_id, length, tips): sorted names of the tips below every inner node."""
-    tips = nodes.where("is_tip").select("tree", "node_id", "name")
-    below = ancestors(nodes).where("hops > 0").join(tips, ["tree", "node_id"]).groupBy("tree", F.col("anc").alias("node_id")).agg(F.array_sort(F.collect_list("name")).alias("tips"))
-    return nodes.where("not is_tip").select("tree", "node_id", "length").join(below, ["tree", "node_id"])
+    """(tree, node_id, length, tips): sorted names of the tips below every inner node; as many rows meet as the lists have names."""
+    t = cut(tours.tour(nodes).select("tree", "node_id", "pre", "size").join(nodes.select("tree", "node_id", "name", "length", "is_tip"), ["tree", "node_id"]))
+    tips = t.where("is_tip").select("tree", "pre", "name")
+    below = t.where("not is_tip").select("tree", "node_id", "length", F.explode(F.expr("sequence(pre, pre + size - 1)")).alias("pre")).join(tips, ["tree", "pre"])
+    return below.groupBy("tree", "node_id").agg(F.first("length").alias("length"), F.array_sort(F.collect_list("name")).alias("tips"))
+
+
+def clade_signatures(nodes: DataFrame) -> DataFrame:
+    """(tree, node_id, pre, size, n_tips, sig1, sig2) of every node: 128 bits that stand for the set of tip names below it, the
+    exclusive or of the tips' hashes, and their number."""
+    tip = lambda c: F.when(F.col("is_tip"), c)
+    xors = {"sig1": tip(F.xxhash64("name")), "sig2": tip(F.xxhash64(F.concat("name", F.lit("#"))))}
+    return tours.tour(nodes, sums={"n_tips": tip(F.lit(1))}, xors=xors).select("tree", "node_id", "pre", "size", "n_tips", "sig1", "sig2")
 
 
 def consensus(splits: DataFrame, tip_lengths: DataFrame, trees: DataFrame, cutoff: float = 0.5, group: str = "group") -> DataFrame:
@@ -151,20 +161,41 @@ def consensus(splits: DataFrame, tip_lengths: DataFrame, trees: DataFrame, cutof
     """
     key = F.array_join("tips", ",")
     s = splits.withColumn("key", key).groupBy(group, "key").agg(F.count_distinct("tree").alias("k"), F.avg(F.coalesce("length", F.lit(0.0))).alias("length"), F.first("tips").alias("tips"))
-    s = cut(s.join(trees, group).withColumns({"support": F.col("k") / F.col("n"), "size": F.size("tips")}).where(F.col("support") >= cutoff))
+    s = s.join(trees, group).withColumns({"support": F.col("k") / F.col("n"), "size": F.size("tips")}).where(F.col("support") >= cutoff)
+    return _assembled(cut(s), tip_lengths, trees, cutoff, group)
+
+
+def consensus_trees(nodes: DataFrame, cutoff: float = 0.5, group: str = "group") -> DataFrame:
+    """As ``consensus``, from the nodes of whole trees, numbered depth-first (group, tree, node_id, pre, size, n_tips, sig1, sig2,
+    name, length, is_tip): splits are counted by signature, and only kept ones get their lists of tips, from one tree that
+    has them."""
+    trees = nodes.groupBy(group).agg(F.count_distinct("tree").alias("n"))
+    n = nodes.select(group, "tree", "pre", "size", "n_tips", "sig1", "sig2", "name", F.coalesce("length", F.lit(0.0)).alias("length"), "is_tip")
+    s = n.where("not is_tip and n_tips > 0").groupBy(group, "sig1", "sig2", F.col("n_tips").alias("size")).agg(F.count_distinct("tree").alias("k"), F.avg("length").alias("length"), F.min(F.struct("tree", "pre", F.col("size").alias("nodes"))).alias("one"))
+    s = cut(s.join(trees, group).withColumn("support", F.col("k") / F.col("n")).where(F.col("support") >= cutoff))
+    places = s.select(group, "sig1", "sig2", "size", "one.tree", F.explode(F.expr("sequence(one.pre, one.pre + one.nodes - 1)")).alias("pre"))
+    lists = places.join(n.where("is_tip").select("tree", "pre", "name"), ["tree", "pre"]).groupBy(group, "sig1", "sig2", "size").agg(F.array_sort(F.collect_list("name")).alias("tips"))
+    s = s.drop("one").join(lists, [group, "sig1", "sig2", "size"]).withColumn("key", F.array_join("tips", ",")).select(group, "key", "k", "length", "tips", "n", "support", F.col("size").cast("int").alias("size"))
+    return _assembled(cut(s), n.where("is_tip").select(group, "tree", "name", "length"), trees, cutoff, group)
+
+
+def _assembled(s: DataFrame, tip_lengths: DataFrame, trees: DataFrame, cutoff: float, group: str) -> DataFrame:
+    """The consensus from counted splits (group, key, tips, length, support, size). Splits that are seen in more than
+    1 - cutoff of the trees meet any other one in some tree and can't contradict it, so only the others are compared."""
     member = cut(s.select(group, "key", "size", "support", F.explode("tips").alias("tip")))
-    other = member.select(group, F.col("key").alias("key2"), F.col("size").alias("size2"), F.col("support").alias("support2"), "tip")
-    meets = member.join(other, [group, "tip"]).where("key != key2").groupBy(group, "key", "size", "support", "key2", "size2", "support2").agg(F.count("*").alias("both"))
+    weak = member.where(F.col("support") <= 1 - cutoff)
+    other = weak.select(group, F.col("key").alias("key2"), F.col("size").alias("size2"), F.col("support").alias("support2"), "tip")
+    meets = weak.join(other, [group, "tip"]).where("key != key2").groupBy(group, "key", "size", "support", "key2", "size2", "support2").agg(F.count("*").alias("both"))
     worse = (F.col("support") < F.col("support2")) | ((F.col("support") == F.col("support2")) & ((F.col("size") < F.col("size2")) | ((F.col("size") == F.col("size2")) & (F.col("key") > F.col("key2")))))
     lost = meets.where((F.col("both") < F.least("size", "size2")) & worse).select(group, "key").distinct()
-    kept = s.join(lost, [group, "key"], "left_anti").select(group, "key", "support", "length", "size", F.col("tips")[0].alias("tip"))
+    kept = s.join(lost, [group, "key"], "left_anti").select(group, "key", "support", "length", "size")
     tips = tip_lengths.groupBy(group, "name").agg(F.sum(F.coalesce("length", F.lit(0.0))).alias("total")).join(trees, group)
-    tips = tips.select(group, F.col("name").alias("key"), F.lit(None).cast("double").alias("support"), (F.col("total") / F.col("n")).alias("length"), F.lit(1).alias("size"), F.col("name").alias("tip"))
-    holder = kept.select(group, F.col("key").alias("pk")).join(member.select(group, F.col("key").alias("pk"), F.col("size").alias("ps"), "tip"), [group, "pk"])
-    nodes = kept.unionByName(tips.join(kept.where("size = 1").select(group, "key"), [group, "key"], "left_anti"))
-    up = nodes.join(holder, [group, "tip"], "left").where("ps is null or ps > size or key = pk")
-    up = up.groupBy(group, "key").agg(F.min_by("pk", F.when(F.col("ps") > F.col("size"), F.col("ps"))).alias("parent"))
-    return nodes.drop("tip").join(up, [group, "key"], "left")
+    tips = tips.select(group, F.col("name").alias("key"), F.lit(None).cast("double").alias("support"), (F.col("total") / F.col("n")).alias("length"), F.lit(1).alias("size"))
+    nodes = cut(kept.unionByName(tips.join(kept.where("size = 1").select(group, "key"), [group, "key"], "left_anti")))
+    # the kept splits that hold a tip lie in each other: the next larger one is the parent
+    chain = member.join(lost, [group, "key"], "left_anti").select(group, "key", "size", "tip").unionByName(nodes.where("size = 1 and support is null").select(group, "key", "size", F.col("key").alias("tip")))
+    up = chain.withColumn("parent", F.lead("key").over(Window.partitionBy(group, "tip").orderBy("size"))).groupBy(group, "key").agg(F.min("parent").alias("parent"))
+    return nodes.join(up, [group, "key"], "left")
 
 
 def contract(nodes: DataFrame, min_length: float = MIN_LENGTH, passes: int = 1) -> DataFrame:
@@ -178,8 +209,7 @@ def contract(nodes: DataFrame, min_length: float = MIN_LENGTH, passes: int = 1)
         flagged = flagged.join(left, ["tree", "node_id"], "left").withColumn("kids", F.coalesce("kids", F.lit(0).cast("long")))
         stays = F.when(F.col("is_tip"), ~F.col("short")).otherwise(~F.col("short") | (F.col("kids") == 0))
         flagged = cut(flagged.withColumn("stays", stays))
-        alive = flagged.where("stays").select("tree", F.col("node_id").alias("anc"))
-        target = ancestors(nodes).where("hops > 0").join(alive, ["tree", "anc"]).groupBy("tree", "node_id").agg(F.min_by("anc", "hops").alias("target"))
+        target = tours.up(flagged, F.col("stays")).where("anc is not null").select("tree", "node_id", F.col("anc").alias("target"))
         gone = flagged.where("not stays and name is not null").join(target, ["tree", "node_id"])
         merged = gone.groupBy("tree", F.col("target").alias("node_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "name"))), lambda x: x["name"]), "|").alias("more"))
         kept = flagged.where("stays").join(target, ["tree", "node_id"], "left").join(merged, ["tree", "node_id"], "left")
@@ -209,7 +239,7 @@ def bead_names(nodes: DataFrame, samples: DataFrame) -> DataFrame:
     are ``unsampled0``, ``unsampled1``, … in level order. samples(tree, name, accession, coldate)."""
     parts = nodes.select("tree", "node_id", F.explode_outer(F.split("name", r"\|")).alias("name"))
     first = parts.join(samples, ["tree", "name"]).groupBy("tree", "node_id").agg(F.min_by(F.col("accession").cast("string"), F.struct("coldate", "accession")).alias("variant"), F.count("*").alias("n"))
-    depth = ancestors(nodes).groupBy("tree", "node_id").agg(F.max("hops").alias("depth"))
+    depth = tours.levels(nodes).select("tree", "node_id", "depth")
     named = nodes.select("tree", "node_id").join(depth, ["tree", "node_id"]).join(first, ["tree", "node_id"], "left")
     k = F.row_number().over(Window.partitionBy("tree", F.col("variant").isNull()).orderBy("depth", "node_id")) - 1
     return named.select("tree", "node_id", F.coalesce("variant", F.concat(F.lit("unsampled"), k.cast("string"))).alias("variant"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
@@ -236,7 +266,7 @@ def consensus_nodes(found: DataFrame, group: str = "group") -> tuple[DataFrame,
 
 def bead_edges(nodes: DataFrame) -> DataFrame:
     """(tree, pos, parent, child, dist, depth): edges in level order, lengths to two decimals; the root has none."""
-    depth = ancestors(nodes).groupBy("tree", "node_id").agg(F.max("hops").alias("depth"))
+    depth = tours.levels(nodes).select("tree", "node_id", F.col("depth").cast("int").alias("depth"))
     p = nodes.select("tree", F.col("node_id").alias("parent_id"), F.col("name").alias("parent"))
     e = nodes.join(p, ["tree", "parent_id"]).join(depth, ["tree", "node_id"])
     pos = F.row_number().over(Window.partitionBy("tree").orderBy("depth", "node_id")) - 1
@@ -256,10 +286,8 @@ def node_dates(text: Column) -> Column:
 def collapse_low_support(nodes: DataFrame, cutoff: float = 0.5) -> DataFrame:
     """Inner nodes below a support go (those without one stay); their children move to the nearest ancestor that stays, with the lengths passed."""
     weak = ~F.col("is_tip") & F.col("parent_id").isNotNull() & F.coalesce(F.col("support") < cutoff, F.lit(False))
-    stays = nodes.where(~weak)
-    alive = stays.select("tree", F.col("node_id").alias("anc"))
-    up = ancestors(nodes).where("hops > 0").join(alive, ["tree", "anc"]).groupBy("tree", "node_id").agg(F.min_by(F.struct("anc", "dist"), "hops").alias("u"))
-    return stays.drop("parent_id", "length").join(up, ["tree", "node_id"], "left").select("tree", "node_id", F.col("u.anc").alias("parent_id"), "name", "support", F.col("u.dist").alias("length"), "is_tip")
+    up = tours.up(nodes, ~weak).select("tree", "node_id", F.col("anc").alias("parent_id"), F.col("dist").alias("length"))
+    return nodes.where(~weak).drop("parent_id", "length").join(up, ["tree", "node_id"], "left").select("tree", "node_id", "parent_id", "name", "support", "length", "is_tip")
 
 
 def tree_table(nodes: DataFrame) -> DataFrame:
@@ -272,30 +300,27 @@ def tree_table(nodes: DataFrame) -> DataFrame:
 
 def rect_layout(nodes: DataFrame) -> DataFrame:
     """(tree, node_id, x, y): x is the distance from the root; tips are numbered from the left (children by node id), an
-    inner node lies at the mean of its children: a sum of its tips' y by their shares, so no level is walked."""
-    up = cut(ancestors(nodes))
-    x = up.groupBy("tree", "node_id").agg(F.max_by("dist", "hops").alias("x"))
-    path = up.groupBy("tree", "node_id").agg(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("hops", "anc")))), lambda s: s["anc"]).alias("path"))
-    tips = nodes.where("is_tip").join(path, ["tree", "node_id"]).select("tree", "node_id", (F.row_number().over(Window.partitionBy("tree").orderBy("path")) - 1).alias("tip_y"))
-    y = up.join(tips, ["tree", "node_id"]).groupBy("tree", F.col("anc").alias("node_id")).agg(F.sum(F.col("share") * F.col("tip_y")).alias("y"))
-    return x.join(y, ["tree", "node_id"])
-
-
-def suppress_single(nodes: DataFrame, up: DataFrame | None = None) -> DataFrame:
-    """Inner nodes with one child are passed over, lengths summed; a root with one child goes, too. ``up`` are ancestors
-    of these nodes, if they are at hand."""
-    up = cut(ancestors(nodes)) if up is None else up
+    inner node lies at the mean of its children. A childless node that is no tip lies where the next tip would."""
+    place = tours.tour(nodes, sums={"tips": F.col("is_tip").cast("int")}).select("tree", "node_id", F.col("before_tips").alias("#tip"))
+    y = tours.mean_of_children(cut(nodes.join(place, ["tree", "node_id"])), F.col("#tip"))
+    return tours.levels(nodes).select("tree", "node_id", "x").join(y, ["tree", "node_id"])
+
+
+def suppress_single(nodes: DataFrame) -> DataFrame:
+    """Inner nodes with one child are passed over, lengths summed; a root with one child goes, too."""
     kids = nodes.where("parent_id is not null").groupBy("tree", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("kids"))
-    kept = nodes.join(kids, ["tree", "node_id"], "left").where("is_tip or kids > 1").drop("kids")
-    target = up.where("hops > 0").join(kept.select("tree", F.col("node_id").alias("anc")), ["tree", "anc"]).groupBy("tree", "node_id").agg(F.min_by(F.struct("anc", "dist"), "hops").alias("u"))
-    return kept.drop("parent_id", "length").join(target, ["tree", "node_id"], "left").select("tree", "node_id", F.col("u.anc").alias("parent_id"), "name", F.col("u.dist").alias("length"), "is_tip")
+    flagged = cut(nodes.join(kids, ["tree", "node_id"], "left").withColumn("stays", F.col("is_tip") | F.coalesce(F.col("kids") > 1, F.lit(False))))
+    target = tours.up(flagged, F.col("stays")).where("anc is not null").select("tree", "node_id", F.col("anc").alias("parent_id"), F.col("dist").alias("length"))
+    return flagged.where("stays").select("tree", "node_id", "name", "is_tip").join(target, ["tree", "node_id"], "left").select("tree", "node_id", "parent_id", "name", "length", "is_tip")
 
 
 def drop_outgroup(nodes: DataFrame, name: str = "reference") -> DataFrame:
     """Every tree rooted where the tip of that name joins it, and without that tip: edges on the path to the old root are
     turned round and keep their lengths. Trees without such a tip stay as they are."""
     out = nodes.where(F.col("is_tip") & (F.col("name") == name)).groupBy("tree").agg(F.min(F.struct("node_id", "parent_id")).alias("o")).select("tree", F.col("o.node_id").alias("out_id"), F.col("o.parent_id").alias("start"))
-    path = ancestors(nodes).join(out.select("tree", F.col("start").alias("node_id")), ["tree", "node_id"]).select("tree", F.col("anc").alias("node_id"), "hops")
+    starts = nodes.join(out.select("tree", F.col("start").alias("node_id"), F.lit(1).alias("start")), ["tree", "node_id"], "left")
+    path = tours.tour(starts, sums={"holds": F.col("start")}).where("holds > 0").select("tree", "node_id", "depth")
+    path = path.withColumn("hops", F.max("depth").over(Window.partitionBy("tree")) - F.col("depth")).drop("depth")
     path = cut(path.join(nodes.select("tree", "node_id", "length"), ["tree", "node_id"]))
     below = path.select("tree", (F.col("hops") + 1).alias("hops"), F.col("node_id").alias("turned"), F.col("length").alias("turned_length"))
     turn = path.select("tree", "node_id", "hops").join(below, ["tree", "hops"], "left").withColumn("on_path", F.lit(True)).drop("hops")
@@ -318,10 +343,9 @@ def prune_before(nodes: DataFrame, dates: DataFrame, cutoff: Column) -> DataFram
     """Tips dated at or after a cutoff with their ancestors, single-child nodes passed over; a tree without such tips
     stays as it is. dates(tree, node_id, date). Ids are kept; lengths are summed over the nodes passed over."""
     good = nodes.where("is_tip").join(dates.where(F.col("date") >= cutoff).select("tree", "node_id"), ["tree", "node_id"], "left_semi").select("tree", "node_id")
-    up = cut(ancestors(nodes))
-    live = up.join(good, ["tree", "node_id"]).select("tree", F.col("anc").alias("node_id")).distinct()
-    alive = cut(nodes.join(live, ["tree", "node_id"], "left_semi"))
-    pruned = suppress_single(alive, up)
+    marked = nodes.join(good.withColumn("#good", F.lit(1)), ["tree", "node_id"], "left")
+    live = tours.tour(marked, sums={"good": F.col("#good")}).where("good > 0").select("tree", "node_id")
+    pruned = suppress_single(nodes.join(live, ["tree", "node_id"], "left_semi"))
     rest = nodes.join(good.select("tree").distinct(), "tree", "left_anti").select("tree", "node_id", "parent_id", "name", "length", "is_tip")
     return pruned.unionByName(rest)
 
@@ -400,17 +424,12 @@ def to_newick(nodes: DataFrame) -> DataFrame:
 def reorder_edges(nodes: DataFrame, spans: DataFrame) -> DataFrame:
     """(tree, node_id, pos): depth-first order with children sorted by (span, first date, id).
     spans(tree, node_id, span, first_date)."""
-    j = nodes.join(spans, ["tree", "node_id"])
-    rank = F.row_number().over(Window.partitionBy("tree", "parent_id").orderBy("span", "first_date", "node_id"))
-    ranked = j.select("tree", "node_id", rank.alias("rank"))
-    up = ancestors(nodes).join(ranked.select("tree", F.col("node_id").alias("anc"), "rank"), ["tree", "anc"])
-    path = up.groupBy("tree", "node_id").agg(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("hops", "rank")))), lambda s: s["rank"]).alias("path"))
-    return path.select("tree", "node_id", (F.row_number().over(Window.partitionBy("tree").orderBy("path")) - 1).alias("pos"))
+    return tours.tour(nodes.join(spans, ["tree", "node_id"]), ["span", "first_date", "node_id"]).select("tree", "node_id", F.col("pre").alias("pos"))
 
 
 def root_to_tip_fit(nodes: DataFrame, dates: DataFrame) -> DataFrame:
     """Least squares of the distance from the root over the date in days: (tree, n, slope, intercept)."""
-    x = ancestors(nodes).groupBy("tree", "node_id").agg(F.max_by("dist", "hops").alias("d"))
+    x = tours.levels(nodes).select("tree", "node_id", F.col("x").alias("d"))
     tips = nodes.where("is_tip").select("tree", "node_id").join(x, ["tree", "node_id"]).join(dates, ["tree", "node_id"]).withColumn("t", F.unix_date("date").cast("double"))
     return tips.groupBy("tree").agg(F.count("*").alias("n"), F.regr_slope("d", "t").alias("slope"), F.regr_intercept("d", "t").alias("intercept"))
 
