@@ -29,60 +29,69 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
-from genosieve.llm.bpe import _alphabet, default_path
+from genosieve.llm.bpe import _alphabet, _spans, default_path
 from genosieve.llm.common import filesystem, shared_root, written
-
-#: Bytes, about, of chunks that a worker remembers before it starts afresh; longer chunks are aligned anew each time.
-MEMORY, LONGEST = 96 << 20, 512
-#: Pairs of one task that are counted before they go to the shuffle.
-PENDING = 400_000
+from genosieve.llm.fim import ExceptionIndex
+
+#: Bytes of chunks and their alignments that a worker remembers; beyond that, those not met since the last time go.
+MEMORY = 96 << 20
+#: Bytes of texts aligned at once, or one text; and of new chunks tokenized at once.
+BATCH_BYTES, JOINED_BYTES = 2 << 20, 1 << 18
+#: Links of one task whose pairs are summed before they go to the shuffle.
+PENDING = 2_000_000
 #: Pairs that a worker may hold as arrays: 20 bytes each. Beyond, documents' pairs are joined.
 MAX_PAIRS = 4_000_000
 #: A pair with more than one in so many links is joined without a shuffle.
 HOT_SHARE = 1000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_MARK = "\u2581"
 _ALIGNERS: dict[tuple, "Aligner"] = {}
 
 
-def byte_ends(spans: list[tuple[int, int]], sizes: list[int]) -> list[int]:
+def byte_ends(starts: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Ends of tokens in bytes, from coarse byte spans and the tokens' decoded lengths.
 
-    A span that starts where the token before it ended and is as long as the token's bytes gives the end; any other is
+    A span that starts where the one before it ended and is as long as the token's bytes gives the end; any other is
     refined: the token ends its decoded length after the one before."""
-    ends, at = [], 0
-    for (start, end), size in zip(spans, sizes):
-        at = end if start == at and end - start == size else at + size
-        ends.append(at)
-    return ends
+    exact = (starts == np.concatenate([[0], ends[:-1]])) & (ends - starts == sizes)
+    if exact.all():
+        return ends
+    reach = np.cumsum(sizes)
+    last = np.maximum.accumulate(np.where(exact, np.arange(len(ends)), -1))  # the exact token before each one
+    return np.where(last < 0, reach, ends[last] - reach[last] + reach)
+
+
+class Chunks:
+    """Alignments of chunks: tokens and groups of each, its groups as text, and its links (a << 32 | b) as a part of one array."""
+
+    def __init__(self, n_a: np.ndarray, n_b: np.ndarray, n_groups: np.ndarray, n_links: np.ndarray, bad: np.ndarray, links: np.ndarray, groups: pa.Array):
+        self.n_a, self.n_b, self.n_groups, self.n_links, self.bad, self.links, self.groups = n_a, n_b, n_groups, n_links, bad, links, groups
+        self.first = np.cumsum(n_links) - n_links
 
+    @classmethod
+    def joined(cls, parts: list["Chunks"]) -> "Chunks":
+        flat = [np.concatenate([getattr(p, k) for p in parts]) for k in ("n_a", "n_b", "n_groups", "n_links", "bad", "links")]
+        return cls(*flat, pa.concat_arrays([p.groups for p in parts]))
 
-def overlaps(a: list[int], b: list[int]) -> Iterator[tuple[int, int, bool]]:
-    """(token of A, token of B, whether both end here) of all pairs whose ranges overlap; ends ascend and the last ones meet."""
-    i = j = 0
-    while i < len(a) and j < len(b):
-        x, y = a[i], b[j]
-        yield i, j, x == y
-        i, j = i + (x <= y), j + (y <= x)
+    def take(self, at: np.ndarray) -> "Chunks":
+        links = self.links[_spans(self.first[at], self.n_links[at])]
+        return Chunks(self.n_a[at], self.n_b[at], self.n_groups[at], self.n_links[at], self.bad[at], links, self.groups.take(pa.array(at)))
 
+    @property
+    def nbytes(self) -> int:
+        return self.links.nbytes + self.groups.nbytes + 40 * len(self.n_a)
 
-class Chunk:
-    """The alignment of one chunk: numbers of tokens and groups, groups as text, linked id pairs as a << 32 | b."""
 
-    __slots__ = ("n_a", "n_b", "n_groups", "groups", "links", "best", "total")
+NOTHING = Chunks(*(np.zeros(0, np.int64) for _ in range(4)), np.zeros(0, bool), np.zeros(0, np.int64), pa.array([], pa.string()))
+_BAD = Chunks(*(np.zeros(1, np.int64) for _ in range(4)), np.ones(1, bool), np.zeros(0, np.int64), pa.array([""], pa.string()))
 
-    def __init__(self, a_ids: list[int], b_ids: list[int], a_ends: list[int], b_ends: list[int]):
-        groups, at, links, i0, j0 = [], 0, [], 0, 0
-        for i, j, both in overlaps(a_ends, b_ends):
-            links.append(a_ids[i] << 32 | b_ids[j])
-            if both:
-                groups.append(",".join(map(str, a_ids[i0 : i + 1])) + "|" + ",".join(map(str, b_ids[j0 : j + 1])))
-                i0, j0 = i + 1, j + 1
-        self.n_a, self.n_b, self.n_groups, self.groups, self.links = len(a_ids), len(b_ids), len(groups), ";".join(groups), links
-        self.best = self.total = None  # known in the second pass
+
+def _lists(values: pa.Array, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), values)
 
 
 class Aligner:
@@ -95,74 +104,146 @@ class Aligner:
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
         back = {c: b for b, c in _alphabet().items()}
-        self.a_bytes = {i: bytes(back[c] for c in token) for token, i in self.a.get_vocab(with_added_tokens=False).items()}
+        tokens = self.a.get_vocab(with_added_tokens=False)
+        self.a_bytes = [b""] * (max(tokens.values()) + 1)
+        for token, i in tokens.items():
+            self.a_bytes[i] = bytes(back[c] for c in token)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         byte = re.compile(r"<0x([0-9A-F]{2})>")
         self.b_bytes = [
-            bytes.fromhex(byte.fullmatch(p)[1]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i in range(self.b.get_piece_size()) for p in [self.b.id_to_piece(i)]
+            bytes.fromhex(byte.fullmatch(p)[1]) if self.b.is_byte(i) else p.replace(_MARK, " ").encode() for i in range(self.b.get_piece_size()) for p in [self.b.id_to_piece(i)]
         ]
-        self.known: dict[str, Chunk | None] = {}
-        self.size = 0
-
-    def chunks(self, text: str) -> list[str]:
-        """A text's chunks; each stands for a space and itself."""
-        return _CUT.split(text)
-
-    def learn(self, chunks: set[str]) -> dict[str, Chunk | None]:
-        """Alignments of new chunks; None where the bytes of a tokenizer differ from the chunk's. Remembers the short ones."""
-        new = [c for c in chunks if c not in self.known]
-        if self.size > MEMORY:
-            self.known, self.size, new = {}, 0, list(chunks)
-        out = {}
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for c, e, p in zip(part, self.a.encode_batch([" " + c for c in part], add_special_tokens=False), self.b.encode(part, return_type="proto", num_threads=1)):
-                found = self._chunk(c, e, p)
-                if len(c) <= LONGEST:
-                    self.known[c] = found
-                    self.size += 400 + 2 * len(c) + (48 * len(found.links) + len(found.groups) if found else 0)
-                else:
-                    out[c] = found
-        return out
-
-    def _chunk(self, chunk: str, encoding, proto) -> Chunk | None:
-        whole = (" " + chunk).encode()
-        a_ids = encoding.ids
-        a_tokens = [self.a_bytes.get(i, b"") for i in a_ids]
-        b_ids = [p.id for p in proto.pieces]
-        b_tokens = [self.b_bytes[i] for i in b_ids]
-        if b"".join(a_tokens) != whole or b"".join(b_tokens) != whole:
-            return None
-        spans = encoding.offsets
-        if len(whole) > len(chunk) + 1:  # code points to bytes
-            reach = np.concatenate([[0], np.flatnonzero((np.frombuffer(whole, np.uint8) & 0xC0) != 0x80)[1:], [len(whole)]]).tolist()
-            spans = [(reach[s], reach[e]) for s, e in spans]
-        a_ends = byte_ends(spans, list(map(len, a_tokens)))
-        b_ends = byte_ends([(p.begin + 1 if p.begin or k else 0, p.end + 1) for k, p in enumerate(proto.pieces)], list(map(len, b_tokens)))
-        return Chunk(a_ids, b_ids, a_ends, b_ends)
-
-    def document(self, text: str) -> list[Chunk] | None:
-        """The text's chunks in order; None if it has no tokens."""
-        if not text:
-            return None
-        parts = self.chunks(text)
-        known = self.known
-        try:
-            found = [known[c] for c in parts]
-        except KeyError:
-            extra = self.learn(set(parts))
-            known = self.known
-            found = [extra[c] if c in extra else known[c] for c in parts]
-        return None if None in found else found
-
-
-def aligner(a_path: str, b_path: str, lookup: str | None = None) -> Aligner:
-    """One per worker, files and table of counts."""
+        self.sizes = [np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes)]
+        self.known, self.chunks, self.met = pa.array([], pa.string()), NOTHING, np.zeros(0, bool)
+        self.counts: Lookup | None = None
+        self.best = self.total = np.zeros(0, np.int64)  # of the known chunks, by ``counts``
+
+    def use(self, counts: "Lookup") -> None:
+        """From now on chunks are also valued by a table of counts."""
+        if counts is not self.counts:
+            self.counts = counts
+            self.best, self.total = counts.values(self.chunks)
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places of the chunks of all texts among the known ones, where each text's chunks end, whether it has tokens)."""
+        self._forget()
+        empty = pc.fill_null(pc.equal(texts, ""), True).to_numpy(zero_copy_only=False)
+        texts = pc.fill_null(texts, "")
+        cut = pc.split_pattern(texts, " ")
+        pieces, ends = cut.values, cut.offsets.to_numpy()[1:].astype(np.int64)
+        odd = pc.not_equal(pc.utf8_trim_whitespace(pieces), pieces).to_numpy(zero_copy_only=False) | (pc.binary_length(pieces).to_numpy() == 0)
+        careful = np.flatnonzero(np.add.reduceat(np.append(odd, False).astype(np.int64), np.concatenate([[0], ends[:-1]])) > 0) if len(ends) else ends
+        if len(careful):  # spaces beside white space: cut by the rule itself
+            sizes, parts, last = np.diff(ends, prepend=0), [], 0
+            for i in careful.tolist():
+                own = [] if empty[i] else _CUT.split(texts[i].as_py())
+                parts += [pieces.slice(last, ends[i] - sizes[i] - last), pa.array(own, pa.string())]
+                last, sizes[i] = ends[i], len(own)
+            pieces, ends = pa.concat_arrays([*parts, pieces.slice(last)]), np.cumsum(sizes)
+        at = self._places(pieces)
+        wrong = np.concatenate([[0], np.cumsum(self.chunks.bad[at])])
+        return at, ends, ~empty & (wrong[ends] == wrong[np.concatenate([[0], ends[:-1]])])
+
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        numbered = pa.concat_arrays([self.known, pieces]).dictionary_encode()
+        old = len(self.known)
+        new = numbered.dictionary.slice(old)
+        if len(new):
+            found = self._learn(new)
+            self.known, self.chunks = pa.concat_arrays([self.known, new]), Chunks.joined([self.chunks, found])
+            self.met = np.concatenate([self.met, np.ones(len(new), bool)])
+            if self.counts:
+                best, total = self.counts.values(found)
+                self.best, self.total = np.concatenate([self.best, best]), np.concatenate([self.total, total])
+        at = numbered.indices.slice(old).to_numpy()
+        self.met[at] = True
+        return at
+
+    def _forget(self) -> None:
+        if self.known.nbytes + self.chunks.nbytes < MEMORY:
+            return
+        if self.met.mean() > 0.5:
+            self.met[:] = False
+        kept = np.flatnonzero(self.met)
+        self.known, self.chunks = self.known.take(pa.array(kept)), self.chunks.take(kept)
+        if self.counts:
+            self.best, self.total = self.best[kept], self.total[kept]
+        self.met = np.zeros(len(kept), bool)
+
+    def _learn(self, new: pa.Array) -> Chunks:
+        """Alignments of new chunks, many at once: a line feed, which is a token of its own, parts them."""
+        alone = pc.or_(pc.not_equal(pc.utf8_trim_whitespace(new), new), pc.match_substring(new, _MARK)).to_numpy(zero_copy_only=False)
+        alone |= pc.binary_length(new).to_numpy() == 0
+        parts, order = [], []
+        plain = np.flatnonzero(~alone)
+        reach = np.cumsum(pc.binary_length(new).to_numpy().astype(np.int64)[plain] + 2)
+        at = 0
+        while at < len(plain):
+            to = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + JOINED_BYTES, side="right")))
+            some = plain[at:to]
+            parts.append(self._align(new.take(pa.array(some)).to_pylist()))
+            order.append(some)
+            at = to
+        for i in np.flatnonzero(alone).tolist():
+            parts.append(self._align([new[i].as_py()]))
+            order.append(np.array([i]))
+        found = Chunks.joined(parts)
+        back = np.empty(len(new), np.int64)
+        back[np.concatenate(order)] = np.arange(len(new))
+        return found.take(back)
+
+    def _align(self, chunks: list[str]) -> Chunks:
+        text = " " + "\n ".join(chunks)
+        data = np.frombuffer(text.encode(), np.uint8)
+        encoding, proto = self.a.encode(text, add_special_tokens=False), self.b.encode(text[1:], return_type="proto")
+        a, b = np.array(encoding.ids, np.int64), np.array([p.id for p in proto.pieces], np.int64)
+        same = all(len(x) == len(data) and (np.frombuffer(x, np.uint8) == data).all() for x in (b"".join(map(self.a_bytes.__getitem__, a.tolist())), b"".join(map(self.b_bytes.__getitem__, b.tolist()))))
+        if same:
+            spans = ExceptionIndex(data).to_bytes(np.array(encoding.offsets, np.int64).reshape(-1))
+            a_ends = byte_ends(spans[::2], spans[1::2], self.sizes[0][a])
+            stops = np.array([p.end for p in proto.pieces], np.int64) + 1  # the proto does not count the space before the text
+            starts = np.array([p.begin for p in proto.pieces], np.int64) + 1
+            starts[0] = 0
+            b_ends = byte_ends(starts, stops, self.sizes[1][b])
+            size = np.array([len(c.encode()) for c in chunks], np.int64) + 1
+            stop = np.cumsum(size + 1) - 1  # ends of the chunks; a line feed follows all but the last
+            met = [e[np.minimum(np.searchsorted(e, stop), len(e) - 1)] == stop for e in (a_ends, b_ends)]
+            feed = [e[np.minimum(np.searchsorted(e, stop[:-1] + 1), len(e) - 1)] == stop[:-1] + 1 for e in (a_ends, b_ends)]
+            if all(x.all() for x in (*met, *feed)):
+                return self._cut(a, b, a_ends, b_ends, stop)
+        if len(chunks) == 1:
+            return _BAD
+        half = len(chunks) // 2  # some chunk's bytes differ
+        return Chunks.joined([self._align(chunks[:half]), self._align(chunks[half:])])
+
+    def _cut(self, a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray, stop: np.ndarray) -> Chunks:
+        """Chunks from their tokens, each chunk's last token ending at its stop and a line feed after all but the last."""
+        feeds = stop[:-1] + 1
+        a_kept, b_kept = ~np.isin(a_ends, feeds), ~np.isin(b_ends, feeds)
+        a, b, a_ends, b_ends = a[a_kept], b[b_kept], a_ends[a_kept], b_ends[b_kept]
+        ends = np.union1d(a_ends, b_ends)  # between two of them lies one link
+        links = a[np.searchsorted(a_ends, ends)] << 32 | b[np.searchsorted(b_ends, ends)]
+        groups = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        count = [np.diff(np.searchsorted(e, stop, side="right"), prepend=0) for e in (a_ends, b_ends, groups, ends)]
+        sides = [pc.binary_join(_lists(pc.cast(pa.array(x), pa.string()), np.searchsorted(e, groups, side="right")), ",") for x, e in ((a, a_ends), (b, b_ends))]
+        texts = pc.binary_join(_lists(pc.binary_join_element_wise(*sides, "|"), np.cumsum(count[2])), ";")
+        return Chunks(*count, np.zeros(len(stop), bool), links, texts)
+
+
+def aligner(a_path: str, b_path: str) -> Aligner:
+    """One per worker process and files; tasks that reuse the worker reuse what it remembers."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if (a_path, b_path, lookup) not in _ALIGNERS:
-        _ALIGNERS.clear()  # what another pass remembered
-        _ALIGNERS[a_path, b_path, lookup] = Aligner(a_path, b_path)
-    return _ALIGNERS[a_path, b_path, lookup]
+    if (a_path, b_path) not in _ALIGNERS:
+        _ALIGNERS[a_path, b_path] = Aligner(a_path, b_path)
+    return _ALIGNERS[a_path, b_path]
+
+
+def _parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    reach, at = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + BATCH_BYTES, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def piece_path() -> str:
@@ -177,22 +258,21 @@ def link_counts(docs: DataFrame, a_path: str, b_path: str, text_col: str = "text
     Tasks send sums; a pair's rows are as many as tasks, whatever its frequency."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(pairs), pa.int64()), pa.array(list(pairs.values()), pa.int64())], names=["pair", "n"])
-            pairs.clear()
-            return out
-
-        own, pairs = aligner(a_path, b_path), Counter()
+        own, pending, size = aligner(a_path, b_path), [], 0
         for batch in batches:
-            times: Counter = Counter()  # chunks of this batch
-            for value in batch.column(0):
-                times.update(own.document(value.as_py()) or ())
-            for chunk, n in times.items():
-                for pair in chunk.links:
-                    pairs[pair] += n
-            if len(pairs) > PENDING:
-                yield flush()
-        yield flush()
+            for part in _parts(batch, 0):
+                at, ends, good = own.column(part.column(0))
+                at = at[np.repeat(good, np.diff(ends, prepend=0))]
+                times = np.bincount(at, minlength=len(own.known))
+                met = np.flatnonzero(times)
+                found = own.chunks.n_links[met]
+                pending.append((own.chunks.links[_spans(own.chunks.first[met], found)], np.repeat(times[met], found)))
+                size += len(pending[-1][0])
+                if size > PENDING:
+                    yield _summed(pending)
+                    pending, size = [], 0
+        if pending:
+            yield _summed(pending)
 
     total = docs.select(F.col(f"`{text_col}`")).mapInArrow(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
     total = total.withColumn("b", F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)))
@@ -200,8 +280,22 @@ def link_counts(docs: DataFrame, a_path: str, b_path: str, text_col: str = "text
     return total.join(top, "b").select("pair", "n", (F.col("n") == F.col("top")).alias("best"))
 
 
-class _Lookup:
-    """Counts by pair as sorted arrays."""
+def _summed(pending: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    pair, at = np.unique(np.concatenate([p for p, _ in pending]), return_inverse=True)
+    n = np.zeros(len(pair), np.int64)
+    np.add.at(n, at, np.concatenate([t for _, t in pending]))
+    return pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], names=["pair", "n"])
+
+
+def _sums(values: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Sums of ``count`` values in a row each."""
+    reach = np.concatenate([[0], np.cumsum(values)])
+    ends = np.cumsum(count)
+    return reach[ends] - reach[ends - count]
+
+
+class Lookup:
+    """Counts by pair as sorted arrays, of bounded number."""
 
     def __init__(self, path: str):
         fs, p = filesystem(path)
@@ -209,12 +303,16 @@ class _Lookup:
         order = np.argsort(t["pair"].to_numpy())
         self.pair, self.n, self.best = t["pair"].to_numpy()[order], t["n"].to_numpy()[order], t["best"].to_numpy()[order]
 
-    def fill(self, chunk: Chunk) -> None:
-        at = np.searchsorted(self.pair, np.array(chunk.links, np.int64))
-        chunk.best, chunk.total = int(self.best[at].sum()), int(self.n[at].sum())
+    def values(self, chunks: Chunks) -> tuple[np.ndarray, np.ndarray]:
+        """(links with the highest count, sum of counts) of each chunk. Chunks of texts without tokens may have pairs that were
+        not counted; what they give is not used."""
+        if not len(self.pair):
+            return np.zeros(len(chunks.n_a), np.int64), np.zeros(len(chunks.n_a), np.int64)
+        at = np.minimum(np.searchsorted(self.pair, chunks.links), len(self.pair) - 1)
+        return _sums(self.best[at].astype(np.int64), chunks.n_links), _sums(self.n[at], chunks.n_links)
 
 
-_LOOKUPS: dict[str, _Lookup] = {}
+_LOOKUPS: dict[str, Lookup] = {}
 _NAMES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "groups")
 
 
@@ -222,35 +320,30 @@ def _numbers(docs: DataFrame, a_path: str, b_path: str, lookup: str | None, id_c
     """A row per document; without a lookup n_best and count_sum are null and ``links`` has its distinct pairs."""
     kind = docs.schema[id_col].dataType
     pairs_type = pa.list_(pa.struct([("pair", pa.int64()), ("times", pa.int64())]))
-    types = [to_arrow_type(kind), *[pa.int64()] * 6, pa.string(), pa.string(), pairs_type]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = aligner(a_path, b_path, lookup)
-        if lookup and lookup not in _LOOKUPS:
-            _LOOKUPS.clear()
-            _LOOKUPS[lookup] = _Lookup(lookup)
-        counts = _LOOKUPS.get(lookup)
-
-        def row(key: object, text: str | None) -> tuple:
-            found = own.document(text)
-            if found is None:
-                return key, 0, 0, 0, 0, 0, 0, "", "", []
-            n_a = n_b = n_groups = n_links = best = total = 0
-            for c in found:
-                if counts and c.best is None:
-                    counts.fill(c)
-                n_a, n_b, n_groups, n_links = n_a + c.n_a, n_b + c.n_b, n_groups + c.n_groups, n_links + len(c.links)
-                if counts:
-                    best, total = best + c.best, total + c.total
-            groups = ";".join(c.groups for c in found)
-            links = None if counts else [{"pair": p, "times": n} for p, n in Counter(p for c in found for p in c.links).items()]
-            return key, n_a, n_b, n_groups, n_links, *((best, total) if counts else (None, None)), hashlib.sha256(groups.encode()).hexdigest(), groups if with_groups else "", links
-
+        own = aligner(a_path, b_path)
+        if lookup:
+            if lookup not in _LOOKUPS:
+                _LOOKUPS.clear()
+                _LOOKUPS[lookup] = Lookup(lookup)
+            own.use(_LOOKUPS[lookup])
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                cols = zip(*[row(k, v.as_py()) for k, v in zip(part.column(0).to_pylist(), part.column(1))])
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[id_col, *_NAMES, "links"])
+            for part in _parts(batch, 1):
+                at, ends, good = own.column(part.column(1))
+                size = np.where(good, np.diff(ends, prepend=0), 0)
+                at = at[np.repeat(good, np.diff(ends, prepend=0))]
+                c, ends = own.chunks, np.cumsum(size)
+                sums = [pa.array(_sums(x[at], size)) for x in (c.n_a, c.n_b, c.n_groups, c.n_links)]
+                values = [pa.array(_sums(x[at], size)) for x in (own.best, own.total)] if lookup else [pa.nulls(len(size), pa.int64())] * 2
+                groups = pc.binary_join(_lists(c.groups.take(pa.array(at)), ends), ";")
+                digest = [hashlib.sha256(g.as_buffer()).hexdigest() if ok else "" for g, ok in zip(groups, good.tolist())]
+                links = pa.nulls(len(size), pairs_type)
+                if not lookup:
+                    rows = [Counter(c.links[_spans(c.first[own_at], c.n_links[own_at])].tolist()) for own_at in np.split(at, ends[:-1])]
+                    links = pa.array([[{"pair": p, "times": n} for p, n in r.items()] for r in rows], pairs_type)
+                shown = groups if with_groups else pa.array([""] * len(size), pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), *sums, *values, pa.array(digest, pa.string()), shown, links], names=[id_col, *_NAMES, "links"])
 
     schema = f"`{id_col}` {kind.simpleString()}, " + ", ".join(f"{n} bigint" for n in _NAMES[:6]) + ", groups_sha256 string, groups string, links array<struct<pair: bigint, times: bigint>>"
     return docs.select(id_col, F.col(f"`{text_col}`")).mapInArrow(run, schema)

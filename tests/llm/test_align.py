@@ -1,6 +1,8 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 
 from genosieve.llm import align as A, queries
@@ -77,22 +79,25 @@ ALPHABET = ["a", "the ", " of", "é", "日本", "😀", "𓀀", " ", "  ", "\n",
 def test_chunks_equal_whole_texts(parts):
     text = "".join(parts)
     a, b = TOOLS
-    found, whole = OWN.document(text), tokens(a, b, text)
-    assert (found is None) == (whole is None)
-    if found:
+    at, ends, good = OWN.column(pa.array([text, None, text]))
+    whole = tokens(a, b, text)
+    assert good.tolist() == [whole is not None, False, whole is not None]
+    if whole:
+        found = OWN.chunks.take(at[: ends[0]])
         (ia, ea), (ib, eb) = whole
-        assert sum(c.n_a for c in found) == len(ia) and sum(c.n_b for c in found) == len(ib)
+        assert found.n_a.sum() == len(ia) and found.n_b.sum() == len(ib) and at[ends[1] :].tolist() == at[: ends[0]].tolist()
         sa, sb = [0, *ea[:-1]], [0, *eb[:-1]]
-        assert sorted(x for c in found for x in c.links) == sorted(ia[i] << 32 | ib[j] for i in range(len(ia)) for j in range(len(ib)) if sa[i] < eb[j] and sb[j] < ea[i])
+        assert sorted(found.links.tolist()) == sorted(ia[i] << 32 | ib[j] for i in range(len(ia)) for j in range(len(ib)) if sa[i] < eb[j] and sb[j] < ea[i])
 
 
 TOOLS, OWN = tools(), A.aligner(default_path(), A.piece_path())
 
 
 def test_spans_are_refined():
-    assert A.byte_ends([(0, 2), (0, 2), (2, 5)], [1, 1, 3]) == [1, 2, 5]  # two tokens of one character
-    assert A.byte_ends([(1, 4), (4, 6)], [4, 2]) == [4, 6]  # a space trimmed from the span
-    assert list(A.overlaps([2, 5], [3, 5])) == [(0, 0, False), (1, 0, False), (1, 1, True)]
+    ends = lambda spans, sizes: A.byte_ends(*np.array(spans).T, np.array(sizes)).tolist()
+    assert ends([(0, 2), (0, 2), (2, 5)], [1, 1, 3]) == [1, 2, 5]  # two tokens of one character
+    assert ends([(1, 4), (4, 6)], [4, 2]) == [4, 6]  # a space trimmed from the span
+    assert ends([(0, 1), (1, 1), (1, 1), (1, 5), (5, 6)], [1, 1, 2, 1, 1]) == [1, 2, 4, 5, 6]  # bytes of one character
 
 
 def test_registered_query(spark, sf, documents):
@@ -108,10 +113,14 @@ def test_registered_query(spark, sf, documents):
 
 def test_memory_starts_afresh(monkeypatch):
     own = A.Aligner(default_path(), A.piece_path())
-    monkeypatch.setattr(A, "MEMORY", 2000)
-    for i in range(40):
-        text = f"word{i} and other{i} words " + "x" * 600
-        assert [c.groups for c in own.document(text)] == [c.groups for c in OWN.document(text)]
+    monkeypatch.setattr(A, "MEMORY", 6000)
+    monkeypatch.setattr(A, "JOINED_BYTES", 40)
+    for i in range(60):
+        text = pa.array([f"word{i} and other{i} words,\nand \u2581 " + "x" * i, f" two  spaces{i}\n", "ends here "])
+        a, b = own.column(text), OWN.column(text)
+        assert a[1].tolist() == b[1].tolist() and a[2].tolist() == b[2].tolist() == [False, True, True]
+        assert own.chunks.groups.take(pa.array(a[0])).to_pylist() == OWN.chunks.groups.take(pa.array(b[0])).to_pylist()
+    assert len(own.known) < 100
 
 
 def test_odd_rows(odd, none):
