@@ -8,9 +8,9 @@ ranges overlap are links.
 
 Neither tokenizer joins a character and the space after it, so both end before every single space that stands between
 two other characters. A text is cut there, and each distinct chunk is tokenized and aligned once per worker, while a memory of
-bounded bytes lasts. How often an id pair is linked in the corpus is counted from chunks: numbers per worker, then per
-pair. The finished pairs are written; a second pass looks them up, from arrays in the worker as long as
-``max_pairs`` bounds their number, else by joining each document's distinct pairs.
+bounded bytes lasts. Each document is written with its distinct linked id pairs and how often it has them; these are summed over
+the corpus, per task and then per pair, and looked up again, in arrays of the worker as long as ``max_pairs`` bounds their
+number, else by joining each document's pairs.
 
 Defined results: a text that is null or empty, or for which either tokenizer's bytes are not the space and the text (such as
 one with U+2581), has no tokens: zeros and empty groups, and adds nothing to the counts. Texts of any length are whole;
@@ -24,7 +24,6 @@ import hashlib
 import os
 import re
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -115,14 +114,6 @@ class Aligner:
         ]
         self.sizes = [np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes)]
         self.known, self.chunks, self.met = pa.array([], pa.string()), NOTHING, np.zeros(0, bool)
-        self.counts: Lookup | None = None
-        self.best = self.total = np.zeros(0, np.int64)  # of the known chunks, by ``counts``
-
-    def use(self, counts: "Lookup") -> None:
-        """From now on chunks are also valued by a table of counts."""
-        if counts is not self.counts:
-            self.counts = counts
-            self.best, self.total = counts.values(self.chunks)
 
     def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(places of the chunks of all texts among the known ones, where each text's chunks end, whether it has tokens)."""
@@ -152,9 +143,6 @@ class Aligner:
             found = self._learn(new)
             self.known, self.chunks = pa.concat_arrays([self.known, new]), Chunks.joined([self.chunks, found])
             self.met = np.concatenate([self.met, np.ones(len(new), bool)])
-            if self.counts:
-                best, total = self.counts.values(found)
-                self.best, self.total = np.concatenate([self.best, best]), np.concatenate([self.total, total])
         at = numbered.indices.slice(old).to_numpy()
         self.met[at] = True
         return at
@@ -166,8 +154,6 @@ class Aligner:
             self.met[:] = False
         kept = np.flatnonzero(self.met)
         self.known, self.chunks = self.known.take(pa.array(kept)), self.chunks.take(kept)
-        if self.counts:
-            self.best, self.total = self.best[kept], self.total[kept]
         self.met = np.zeros(len(kept), bool)
 
     def _learn(self, new: pa.Array) -> Chunks:
@@ -221,9 +207,10 @@ class Aligner:
         feeds = stop[:-1] + 1
         a_kept, b_kept = ~np.isin(a_ends, feeds), ~np.isin(b_ends, feeds)
         a, b, a_ends, b_ends = a[a_kept], b[b_kept], a_ends[a_kept], b_ends[b_kept]
-        ends = np.union1d(a_ends, b_ends)  # between two of them lies one link
+        ends = np.sort(np.concatenate([a_ends, b_ends]), kind="stable")
+        groups = ends[1:][ends[1:] == ends[:-1]]  # ends of both
+        ends = ends[np.concatenate([[True], ends[1:] != ends[:-1]])]  # between two of them lies one link
         links = a[np.searchsorted(a_ends, ends)] << 32 | b[np.searchsorted(b_ends, ends)]
-        groups = np.intersect1d(a_ends, b_ends, assume_unique=True)
         count = [np.diff(np.searchsorted(e, stop, side="right"), prepend=0) for e in (a_ends, b_ends, groups, ends)]
         sides = [pc.binary_join(_lists(pc.cast(pa.array(x), pa.string()), np.searchsorted(e, groups, side="right")), ",") for x, e in ((a, a_ends), (b, b_ends))]
         texts = pc.binary_join(_lists(pc.binary_join_element_wise(*sides, "|"), np.cumsum(count[2])), ";")
@@ -252,29 +239,54 @@ def piece_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def link_counts(docs: DataFrame, a_path: str, b_path: str, text_col: str = "text") -> DataFrame:
-    """(pair, n, best): how many links hold an id pair, over all texts, and whether no pair of its B id has more.
+def tokenized(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", with_groups: bool = False) -> DataFrame:
+    """(id, n_a, n_b, n_groups, n_links, groups_sha256, groups, pairs, times) of every document: its distinct linked id pairs in
+    order, as 64-bit numbers, and how many links hold each, as 32-bit ones."""
+    kind = docs.schema[id_col].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = aligner(a_path, b_path)
+        for batch in batches:
+            for part in _parts(batch, 1):
+                at, ends, good = own.column(part.column(1))
+                size = np.where(good, np.diff(ends, prepend=0), 0)
+                at = at[np.repeat(good, np.diff(ends, prepend=0))]
+                c, ends = own.chunks, np.cumsum(size)
+                sums = [pa.array(_sums(x[at], size)) for x in (c.n_a, c.n_b, c.n_groups, c.n_links)]
+                groups = pc.binary_join(_lists(c.groups.take(pa.array(at)), ends), ";")
+                digest = [hashlib.sha256(g.as_buffer()).hexdigest() if ok else "" for g, ok in zip(groups, good.tolist())]
+                links, stop = c.links[_spans(c.first[at], c.n_links[at])], np.cumsum(_sums(c.n_links[at], size)).tolist()
+                found = [np.unique(links[i:j], return_counts=True) for i, j in zip([0, *stop[:-1]], stop)]
+                pairs, times = (pa.array([f[k].astype(t).tobytes() for f in found], pa.binary()) for k, t in enumerate(("<i8", "<i4")))
+                shown = groups if with_groups else pa.array([""] * len(size), pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), *sums, pa.array(digest, pa.string()), shown, pairs, times], names=[id_col, *_NAMES, "pairs", "times"])
+
+    schema = f"`{id_col}` {kind.simpleString()}, " + ", ".join(f"{n} bigint" for n in _NAMES[:4]) + ", groups_sha256 string, groups string, pairs binary, times binary"
+    return docs.select(id_col, F.col(f"`{text_col}`")).mapInArrow(run, schema)
+
+
+def _numbers(column: pa.Array, kind: str) -> np.ndarray:
+    """The numbers of all values of a binary column in a row."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
 
-    Tasks send sums; a pair's rows are as many as tasks, whatever its frequency."""
+
+def link_counts(rows: DataFrame) -> DataFrame:
+    """(pair, n, best): how many links hold an id pair, over all documents, and whether no pair of its B id has more.
+
+    Tasks send sums; a pair's rows are as many as tasks send, whatever its frequency."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, pending, size = aligner(a_path, b_path), [], 0
+        pending, size = [], 0
         for batch in batches:
-            for part in _parts(batch, 0):
-                at, ends, good = own.column(part.column(0))
-                at = at[np.repeat(good, np.diff(ends, prepend=0))]
-                times = np.bincount(at, minlength=len(own.known))
-                met = np.flatnonzero(times)
-                found = own.chunks.n_links[met]
-                pending.append((own.chunks.links[_spans(own.chunks.first[met], found)], np.repeat(times[met], found)))
-                size += len(pending[-1][0])
-                if size > PENDING:
-                    yield _summed(pending)
-                    pending, size = [], 0
+            pending.append((_numbers(batch.column(0), "<i8"), _numbers(batch.column(1), "<i4")))
+            size += len(pending[-1][0])
+            if size > PENDING:
+                yield _summed(pending)
+                pending, size = [], 0
         if pending:
             yield _summed(pending)
 
-    total = docs.select(F.col(f"`{text_col}`")).mapInArrow(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    total = rows.select("pairs", "times").mapInArrow(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
     total = total.withColumn("b", F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)))
     top = total.groupBy("b").agg(F.max("n").alias("top"))
     return total.join(top, "b").select("pair", "n", (F.col("n") == F.col("top")).alias("best"))
@@ -303,64 +315,55 @@ class Lookup:
         order = np.argsort(t["pair"].to_numpy())
         self.pair, self.n, self.best = t["pair"].to_numpy()[order], t["n"].to_numpy()[order], t["best"].to_numpy()[order]
 
-    def values(self, chunks: Chunks) -> tuple[np.ndarray, np.ndarray]:
-        """(links with the highest count, sum of counts) of each chunk. Chunks of texts without tokens may have pairs that were
-        not counted; what they give is not used."""
-        if not len(self.pair):
-            return np.zeros(len(chunks.n_a), np.int64), np.zeros(len(chunks.n_a), np.int64)
-        at = np.minimum(np.searchsorted(self.pair, chunks.links), len(self.pair) - 1)
-        return _sums(self.best[at].astype(np.int64), chunks.n_links), _sums(self.n[at], chunks.n_links)
+    def values(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether no pair of its B id has more, count) of pairs that are all known."""
+        at = np.searchsorted(self.pair, pairs)
+        return self.best[at], self.n[at]
 
 
 _LOOKUPS: dict[str, Lookup] = {}
-_NAMES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "groups")
+_NAMES = ("n_a", "n_b", "n_groups", "n_links", "groups_sha256", "groups")
+_RESULT = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "groups")
 
 
-def _numbers(docs: DataFrame, a_path: str, b_path: str, lookup: str | None, id_col: str, text_col: str, with_groups: bool) -> DataFrame:
-    """A row per document; without a lookup n_best and count_sum are null and ``links`` has its distinct pairs."""
-    kind = docs.schema[id_col].dataType
-    pairs_type = pa.list_(pa.struct([("pair", pa.int64()), ("times", pa.int64())]))
+def _valued(rows: DataFrame, lookup: str, id_col: str) -> DataFrame:
+    """Documents with n_best and count_sum from a table of counts that each worker holds."""
+    kind = rows.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = aligner(a_path, b_path)
-        if lookup:
-            if lookup not in _LOOKUPS:
-                _LOOKUPS.clear()
-                _LOOKUPS[lookup] = Lookup(lookup)
-            own.use(_LOOKUPS[lookup])
+        if lookup not in _LOOKUPS:
+            _LOOKUPS.clear()
+            _LOOKUPS[lookup] = Lookup(lookup)
         for batch in batches:
-            for part in _parts(batch, 1):
-                at, ends, good = own.column(part.column(1))
-                size = np.where(good, np.diff(ends, prepend=0), 0)
-                at = at[np.repeat(good, np.diff(ends, prepend=0))]
-                c, ends = own.chunks, np.cumsum(size)
-                sums = [pa.array(_sums(x[at], size)) for x in (c.n_a, c.n_b, c.n_groups, c.n_links)]
-                values = [pa.array(_sums(x[at], size)) for x in (own.best, own.total)] if lookup else [pa.nulls(len(size), pa.int64())] * 2
-                groups = pc.binary_join(_lists(c.groups.take(pa.array(at)), ends), ";")
-                digest = [hashlib.sha256(g.as_buffer()).hexdigest() if ok else "" for g, ok in zip(groups, good.tolist())]
-                links = pa.nulls(len(size), pairs_type)
-                if not lookup:
-                    rows = [Counter(c.links[_spans(c.first[own_at], c.n_links[own_at])].tolist()) for own_at in np.split(at, ends[:-1])]
-                    links = pa.array([[{"pair": p, "times": n} for p, n in r.items()] for r in rows], pairs_type)
-                shown = groups if with_groups else pa.array([""] * len(size), pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0), *sums, *values, pa.array(digest, pa.string()), shown, links], names=[id_col, *_NAMES, "links"])
+            pairs, times = _numbers(batch.column("pairs"), "<i8"), _numbers(batch.column("times"), "<i4").astype(np.int64)
+            count = pc.binary_length(batch.column("pairs")).to_numpy() // 8
+            best, n = _LOOKUPS[lookup].values(pairs)
+            sums = {"n_best": pa.array(_sums(np.where(best, times, 0), count)), "count_sum": pa.array(_sums(times * n, count))}
+            yield pa.RecordBatch.from_arrays([sums[k] if k in sums else batch.column(k) for k in (id_col, *_RESULT)], names=[id_col, *_RESULT])
 
-    schema = f"`{id_col}` {kind.simpleString()}, " + ", ".join(f"{n} bigint" for n in _NAMES[:6]) + ", groups_sha256 string, groups string, links array<struct<pair: bigint, times: bigint>>"
-    return docs.select(id_col, F.col(f"`{text_col}`")).mapInArrow(run, schema)
+    schema = f"`{id_col}` {kind.simpleString()}, " + ", ".join(f"{n} bigint" for n in _RESULT[:6]) + ", groups_sha256 string, groups string"
+    return rows.mapInArrow(run, schema)
 
 
 def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, max_pairs: int = MAX_PAIRS, id_col: str = "doc_id", text_col: str = "text", with_groups: bool = False) -> DataFrame:
     """(id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256, groups) of every row; ``groups`` is empty unless asked for."""
     a_path, b_path = a_path or default_path(), b_path or piece_path()
     spark = docs.sparkSession
+    rows = written(tokenized(docs, a_path, b_path, id_col, text_col, with_groups).withColumn("#row", F.monotonically_increasing_id()), "aligned")
     path = f"{shared_root(spark).rstrip('/')}/links-{uuid.uuid4().hex}"
-    link_counts(docs, a_path, b_path, text_col).write.parquet(path)
+    link_counts(rows).write.parquet(path)
     counts = spark.read.schema("pair bigint, n bigint, best boolean").parquet(path)
     if counts.count() <= max_pairs:
-        return _numbers(docs, a_path, b_path, path, id_col, text_col, with_groups).drop("links")
-    rows = written(_numbers(docs, a_path, b_path, None, id_col, text_col, with_groups).withColumn("#row", F.monotonically_increasing_id()), "aligned")
+        return _valued(rows.drop("#row"), path, id_col)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            count = pc.binary_length(batch.column(1)).to_numpy() // 8
+            row = np.repeat(batch.column(0).to_numpy(), count)
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(_numbers(batch.column(1), "<i8")), pa.array(_numbers(batch.column(2), "<i4").astype(np.int64))], names=["row", "pair", "times"])
+
     hot = counts.where(F.col("n") * HOT_SHARE > F.lit(counts.agg(F.sum("n")).first()[0]))  # fewer than HOT_SHARE pairs, whatever the corpus
-    links = rows.select("#row", F.explode("links").alias("l")).select("#row", "l.pair", "l.times").join(F.broadcast(hot), "pair", "left")
-    found = links.where("n is not null").unionByName(links.where("n is null").select("#row", "pair", "times").join(counts, "pair"))
-    sums = found.groupBy("#row").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("n")).alias("count_sum"))
-    return rows.drop("n_best", "count_sum").join(sums, "#row", "left").na.fill(0, ["n_best", "count_sum"]).select(id_col, *_NAMES)
+    links = rows.select("#row", "pairs", "times").mapInArrow(listed, "`row` bigint, pair bigint, times bigint").join(F.broadcast(hot), "pair", "left")
+    found = links.where("n is not null").unionByName(links.where("n is null").select("row", "pair", "times").join(counts, "pair"))
+    sums = found.groupBy(F.col("row").alias("#row")).agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("n")).alias("count_sum"))
+    return rows.join(sums, "#row", "left").na.fill(0, ["n_best", "count_sum"]).select(id_col, *_RESULT)
