@@ -13,7 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from genosieve.operators import tours
+from genosieve.operators import joining, tours
 from genosieve.sources.shared import cut
 
 MIN_LENGTH = 0.5
@@ -50,30 +50,6 @@ def pairwise_distance(long: DataFrame, weights: DataFrame | None = None, keys: t
     return pairs.select(*ks, "i", "j", (F.col("wi") + F.col("wj") - 2 * F.coalesce("s", F.lit(0).cast("long"))).alias("dist"))
 
 
-def neighbor_joining(d: np.ndarray) -> list[tuple[int, int | None, float | None]]:
-    """(node, parent, length) of the tree of a distance matrix; tips are 0 … n-1, the root is the last node; negative
-    lengths are 0."""
-    n = len(d)
-    if n == 1:
-        return [(0, 1, 0.0), (1, None, None)]
-    d = d.astype(float).copy()
-    ids, out, new = list(range(n)), [], n
-    while len(ids) > 2:
-        m, r = len(ids), d.sum(axis=1)
-        q = (m - 2) * d - r[:, None] - r[None, :]
-        np.fill_diagonal(q, np.inf)
-        i, j = divmod(int(np.argmin(q)), m)
-        li = d[i, j] / 2 + (r[i] - r[j]) / (2 * (m - 2))
-        out += [(ids[i], new, max(li, 0.0)), (ids[j], new, max(d[i, j] - li, 0.0))]
-        u = (d[i] + d[j] - d[i, j]) / 2
-        keep = [k for k in range(m) if k not in (i, j)]
-        d = np.block([[d[np.ix_(keep, keep)], u[keep][:, None]], [u[keep][None], np.zeros((1, 1))]])
-        ids = [ids[k] for k in keep] + [new]
-        new += 1
-    a, b = ids
-    return out + [(a, new, max(d[0, 1] / 2, 0.0)), (b, new, max(d[0, 1] / 2, 0.0)), (new, None, None)]
-
-
 def nj_trees(distances: DataFrame, keys: list[str]) -> DataFrame:
     """Neighbour-joining trees, one per key: (keys, node_id, parent_id, name, length, is_tip). Rows sorted by key pass as a
     stream; one matrix at a time is held, whose size is bounded by the limit on variants."""
@@ -85,7 +61,9 @@ def nj_trees(distances: DataFrame, keys: list[str]) -> DataFrame:
         a, b = np.searchsorted(labels, i), np.searchsorted(labels, j)
         d = np.zeros((len(labels), len(labels)))
         d[a, b] = d[b, a] = dist
-        return [(*key, node, parent, str(labels[node]) if node < len(labels) else None, length, node < len(labels)) for node, parent, length in neighbor_joining(d)]
+        n = len(labels)
+        parents, lengths = (x[0] for x in joining.in_step(d[None])) if n <= joining.IN_STEP else joining.bounded(d)
+        return [(*key, node, None if up < 0 else int(up), str(labels[node]) if node < n else None, None if up < 0 else float(x), node < n) for node, (up, x) in enumerate(zip(parents, lengths))]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key, rows, types = [], None, [], None

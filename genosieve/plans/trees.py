@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from genosieve.operators import aggregates as A, trees as T
+from genosieve.operators import aggregates as A, joining as J, trees as T
 from genosieve.plans import mapping as M
 from genosieve.plans.filters import encoded
 from genosieve.plans.registry import register
@@ -87,15 +87,13 @@ def t02_pairwise_distance_whole(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def family_trees(spark: SparkSession, sf: str) -> DataFrame:
-    """Bootstrap trees of every family: (lineage, replicate, node_id, parent_id, name, length, is_tip)."""
-    long, words = family_dictionary(spark, sf)
-    d = T.pairwise_distance(long, T.bootstrap_weights(words, REPLICATES))
-    return T.nj_trees(d, ["lineage", "replicate"])
+    """Bootstrap trees of every family: (lineage, replicate, node_id, parent_id, name, length, is_tip) and places of the nodes."""
+    return J.bootstrap_trees(*family_dictionary(spark, sf), REPLICATES)
 
 
 @register()
 def t03_nj_trees(spark: SparkSession, sf: str) -> DataFrame:
-    return family_trees(spark, sf)
+    return family_trees(spark, sf).select("lineage", "replicate", "node_id", "parent_id", "name", "length", "is_tip")
 
 
 @register(NODES + "select a.tree, a.anc as node_id, count(*) as n_tips, md5(string_agg(t.name, ',' order by t.name)) as tips from anc a join nodes t on t.tree = a.tree and t.node_id = a.node_id and t.is_tip where hops > 0 group by 1, 2")
@@ -105,11 +103,11 @@ def t04_clades(spark: SparkSession, sf: str) -> DataFrame:
 
 def consensus_of(found: DataFrame) -> DataFrame:
     """Consensus of the bootstrap trees of every lineage: (group, key, parent, support, length, size)."""
-    n = cut(found.withColumn("tree", F.concat_ws("#", "lineage", "replicate")).withColumn("name", F.lpad("name", 4, "0")))
-    group = F.substring_index("tree", "#", 1).alias("group")
-    splits = T.clades(n).select(group, "tree", "tips", "length")
-    tips = n.where("is_tip").select(group, "tree", "name", "length")
-    return T.consensus(splits, tips, n.groupBy(group).agg(F.count_distinct("tree").alias("n")))
+    n = found.withColumn("tree", F.concat_ws("#", "lineage", "replicate")).withColumn("name", F.lpad("name", 4, "0"))
+    if "sig1" not in n.columns:  # trees that were not numbered as they were built
+        n = cut(n)
+        n = n.join(T.clade_signatures(n), ["tree", "node_id"])
+    return T.consensus_trees(cut(n.withColumn("group", F.col("lineage").cast("string"))))
 
 
 @register()

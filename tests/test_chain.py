@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from genosieve.functions import expressions as X
-from genosieve.operators import joins as J, trees as T
+from genosieve.operators import joining as N, joins as J, trees as T
 from genosieve.plans import beads as B, trees as P
 
 
@@ -66,6 +66,78 @@ def test_neighbour_joining_recovers_additive_trees(spark):
             assert abs(v - d[i, j]) < 1e-9
 
 
+def plain_joining(d):
+    """Neighbour joining with a fresh matrix for every pair: {node: (parent, length)}."""
+    n = len(d)
+    if n == 1:
+        return {0: (1, 0.0), 1: (-1, 0.0)}
+    ids, out, new = list(range(n)), {}, n
+    while len(ids) > 2:
+        m, r = len(ids), d.sum(axis=1)
+        q = (m - 2) * d - (r[:, None] + r[None, :])
+        np.fill_diagonal(q, np.inf)
+        i, j = divmod(int(np.argmin(q)), m)
+        li = d[i, j] / 2 + (r[i] - r[j]) / (2 * (m - 2))
+        out[ids[i]], out[ids[j]] = (new, max(li, 0.0)), (new, max(d[i, j] - li, 0.0))
+        u = (d[i] + d[j] - d[i, j]) / 2
+        keep = [k for k in range(m) if k not in (i, j)]
+        d = np.block([[d[np.ix_(keep, keep)], u[keep][:, None]], [u[keep][None], np.zeros((1, 1))]])
+        ids, new = [ids[k] for k in keep] + [new], new + 1
+    return out | {x: (new, max(d[0, 1] / 2, 0.0)) for x in ids} | {new: (-1, 0.0)}
+
+
+def test_bounded_search_joins_the_same_pairs():
+    r = np.random.default_rng(7)
+    for top in [2, 5, 40, 10**6] * 25:  # few values: many ties
+        n = int(r.integers(1, 50))
+        d = np.triu(r.integers(0, top, (n, n)).astype(float), 1)
+        d += d.T
+        want = plain_joining(d.copy())
+        parent, length = N.in_step(np.stack([d, d]))
+        ways = [(parent[0], length[0]), (parent[1], length[1]), N.bounded(d.copy())] if n > 1 else [(parent[0], length[0])]
+        for parents, lengths in ways:
+            assert {k: p for k, (p, _) in want.items()} == dict(enumerate(parents.tolist()))
+            assert all(abs(lengths[k] - x) < 1e-6 for k, (_, x) in want.items())
+
+
+def test_bootstrap_trees_are_those_of_weighted_distances(spark):
+    r = random.Random(2)
+    long = [(g, v, f) for g, n in (("a", 6), ("b", 70), ("c", 1)) for v in range(n) for f in range(30) if r.random() < 0.3 or f == v % 30]
+    df = spark.createDataFrame(long, "lineage string, variant_no int, feature_no int").repartition(4)
+    words = spark.createDataFrame([(g, f) for g in "abc" for f in range(30)], "lineage string, feature_no int")
+    found = N.bootstrap_trees(df, words, 5).withColumn("tree", F.concat_ws("#", "lineage", "replicate"))
+    want = T.nj_trees(T.pairwise_distance(df, T.bootstrap_weights(words, 5)), ["lineage", "replicate"])
+    cols = ["lineage", "replicate", "node_id", "parent_id", "name", "is_tip"]
+    assert sorted(map(str, found.select(*cols).collect())) == sorted(map(str, want.select(*cols).collect()))
+    lengths = {(x.lineage, x.replicate, x.node_id): x.length for x in want.collect()}
+    assert all(x.length is None or abs(x.length - lengths[x.lineage, x.replicate, x.node_id]) < 1e-6 for x in found.collect())
+    marks = ["tree", "node_id", "pre", "size", "n_tips", "sig1", "sig2"]
+    assert sorted(map(tuple, found.select(*marks).collect())) == sorted(map(tuple, T.clade_signatures(found).select(*marks).collect()))
+
+
+def random_splits_trees(spark, seed, n_trees, tips):
+    r, rows = random.Random(seed), []
+    for k in range(n_trees):
+        shape, _ = random_tree(random.Random(r.randint(0, 2)), tips)
+        top = max(p for p, _ in shape.values())
+        rows += [("g", k, x, p, str(x) if x < tips else None, length, x < tips) for x, (p, length) in shape.items()] + [("g", k, top, None, None, None, False)]
+    return spark.createDataFrame(rows, "lineage string, replicate int, node_id long, parent_id long, name string, length double, is_tip boolean")
+
+
+def test_consensus_by_signature_equals_that_by_names(spark):
+    """Also with ties of exactly one half, and for trees that are all alike."""
+    for seed, n, tips in ((5, 9, 6), (6, 4, 7), (8, 2, 9), (9, 6, 5)):
+        trees = random_splits_trees(spark, seed, n, tips)
+        named = trees.withColumn("tree", F.concat_ws("#", "lineage", "replicate")).withColumn("name", F.lpad("name", 4, "0")).withColumn("group", F.lit("g"))
+        by_name = T.consensus(T.clades(named).withColumn("group", F.lit("g")), named.where("is_tip").select("group", "tree", "name", "length"), named.groupBy("group").agg(F.count_distinct("tree").alias("n")))
+        rows = lambda df: {x.key: (x.parent, x.support, round(x.length, 9), x.size) for x in df.collect()}
+        found = rows(P.consensus_of(trees))
+        assert found == rows(by_name)
+        for key, (parent, *_) in found.items():  # the smallest that holds it
+            holders = [k for k in found if k != key and set(key.split(",")) < set(k.split(","))]
+            assert parent == min(holders, key=lambda k: found[k][3], default=None)
+
+
 def test_bootstrap_draws_as_many_as_there_are(spark):
     words = spark.createDataFrame([(g, k) for g, n in (("a", 7), ("b", 1), ("c", 40)) for k in range(n)], "lineage string, feature_no int")
     w = T.bootstrap_weights(words, 20)
