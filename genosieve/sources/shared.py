@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,3 +29,11 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_counting(df: DataFrame, **conditions: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``cut``, and how many rows meet each condition, counted as they are written (a task that runs twice counts twice, so
+    only whether there are any is exact)."""
+    seen = Observation()
+    out = cut(df.observe(seen, *(F.count(F.when(c, 1)).alias(k) for k, c in conditions.items())))
+    return out, seen.get

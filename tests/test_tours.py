@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from genosieve.operators import tours, trees as T
+from genosieve.sources import shared
 
 SCHEMA = "tree string, node_id long, parent_id long, name string, length double, is_tip boolean"
 
@@ -116,14 +117,14 @@ def test_clades_and_signatures(forest):
 
 def test_rows_stay_linear_on_a_comb(spark, monkeypatch):
     """At most two rows a node in every round, on a comb of 100,000 nodes."""
-    depth, sizes, own = 50_000, [], tours.cut
+    depth, sizes, own = 50_000, [], shared.cut
 
     def counted(df):
         out = own(df)
         sizes.append(out.count())
         return out
 
-    monkeypatch.setattr(tours, "cut", counted)
+    monkeypatch.setattr(shared, "cut", counted)
     inner = spark.range(depth).selectExpr("'c' as tree", "id as node_id", "if(id > 0, id - 1, null) as parent_id", "cast(null as string) as name", "1.0D as length", "false as is_tip")
     tips = spark.range(depth).selectExpr("'c' as tree", f"id + {depth} as node_id", "id as parent_id", "concat('t', id) as name", "2.0D as length", "true as is_tip")
     comb = inner.unionByName(tips)
