@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from genosieve.functions import expressions as X
+from genosieve.operators import ranks
 
 FEATURE = ("typ", "pos", "alt")
 
@@ -29,15 +30,16 @@ def variants(samples: DataFrame, group: str = "lineage", date: str = "coldate")
     return samples.groupBy(group, "variant_key").agg(F.count("*").alias("n"), F.min(date).alias("first_date"), F.max(date).alias("last_date"))
 
 
-def number_variants(v: DataFrame, group: str = "lineage") -> DataFrame:
-    """Variants numbered from 0 by latest date, ties by key, both descending."""
-    return v.withColumn("variant_no", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("last_date"), F.desc("variant_key"))) - 1)
+def number_variants(v: DataFrame, limit: int, group: str = "lineage") -> DataFrame:
+    """The first ``limit`` variants of a group, numbered from 0 by latest date, ties by key, both descending. Rows beyond the
+    limit are dropped before they are shuffled."""
+    return ranks.first_ranked(v, [F.desc("last_date"), F.desc("variant_key")], limit, [group], "variant_no")
 
 
 def recode(v: DataFrame, limit: int, group: str = "lineage") -> tuple[DataFrame, DataFrame]:
-    """(numbered variants, (group, feature_no, feature) of the features of the first ``limit`` ones)."""
-    numbered = number_variants(v, group)
-    used = numbered.where(F.col("variant_no") < limit).select(group, F.explode(F.split("variant_key", ",")).alias("feature")).where("feature != ''").distinct()
+    """(the first ``limit`` variants, numbered; (group, feature_no, feature) of their features)."""
+    numbered = number_variants(v, limit, group)
+    used = numbered.select(group, F.explode(F.split("variant_key", ",")).alias("feature")).where("feature != ''").distinct()
     return numbered, used.withColumn("feature_no", F.row_number().over(Window.partitionBy(group).orderBy("feature")) - 1)
 
 
@@ -221,13 +223,8 @@ def latest_assignment(log: DataFrame, key: str = "accession") -> DataFrame:
 
 
 def newest_first(rows: DataFrame, order: str) -> DataFrame:
-    """Rows with ``nth``, the newest first: a global sort, whose partitions are numbered on their own and shifted by the
-    sizes of those before them (one row per partition)."""
-    ranged = rows.repartitionByRange(F.desc(order)).withColumn("#part", F.spark_partition_id())
-    w = Window.partitionBy("#part").orderBy(F.desc(order))
-    sizes = ranged.groupBy("#part").agg(F.count("*").alias("n"))
-    before = sizes.select("#part", F.coalesce(F.sum("n").over(Window.orderBy("#part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return ranged.withColumn("nth", F.row_number().over(w) - 1).join(before, "#part").withColumn("nth", F.col("nth") + F.col("before")).drop("#part", "before")
+    """Rows with ``nth``, the newest first, numbered from 0 over the whole table in ranges."""
+    return ranks.ranked(rows, [F.desc(order)], name="nth")
 
 
 def extents(tips: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from genosieve.operators import ranks
+
 
 def representative(samples: DataFrame, order: list[Column], group: str = "lineage", earliest: bool = True) -> DataFrame:
     """The earliest (or latest) sample of each group by an order that is total. An aggregate, so no group is sorted."""
@@ -18,15 +20,15 @@ def with_reference(rows: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 def newest_variants(variants: DataFrame, n: int, group: str = "lineage") -> DataFrame:
-    w = Window.partitionBy(group).orderBy(F.desc("last_date"), F.desc("variant_key"))
-    return variants.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    first = ranks.first_ranked(variants, [F.desc("last_date"), F.desc("variant_key")], n, [group])
+    return first.withColumn("rank", F.col("rank") + 1)
 
 
 def variant_order(edges: DataFrame, group: str) -> DataFrame:
     """edges(group, pos, parent, child): y is the rank of a node's first appearance in the flattened edge list, from 1."""
     flat = edges.select(group, F.posexplode(F.array("parent", "child")).alias("k", "node"), "pos")
     first = flat.groupBy(group, "node").agg(F.min(F.col("pos") * 2 + F.col("k")).alias("at"))
-    return first.select(group, "node", F.row_number().over(Window.partitionBy(group).orderBy("at")).alias("y"))
+    return ranks.ranked(first, [F.col("at")], [group], "y").select(group, "node", (F.col("y") + 1).alias("y"))
 
 
 def name_variant(samples: DataFrame, group: str = "lineage") -> DataFrame:
@@ -55,9 +57,10 @@ def size_classes(variants: DataFrame, mincount: int, group: str = "lineage") ->
 
 def rank_hits(points: DataFrame, group: str = "cid") -> DataFrame:
     """Hits in cluster order descending, then y and x; the first and last one of each cluster."""
-    w = Window.partitionBy(group).orderBy("y", "x", "id")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return points.select("*", (F.row_number().over(w) - 1).alias("hit"), F.first("id").over(whole).alias("first_id"), F.last("id").over(whole).alias("last_id"))
+    place = F.struct("y", "x", "id")
+    ends = points.groupBy(group).agg(F.min_by("id", place).alias("first_id"), F.max_by("id", place).alias("last_id")).withColumnRenamed(group, "#group")
+    hits = ranks.ranked(points, [F.col("y"), F.col("x"), F.col("id")], [group], "hit")
+    return hits.join(ends, F.col(group).eqNullSafe(F.col("#group"))).drop("#group").select(*points.columns, "hit", "first_id", "last_id")
 
 
 def display_ids(lists: list[tuple[DataFrame, bool]], order: str) -> DataFrame:

@@ -19,7 +19,7 @@ def bead_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Dat
     """(contracted nodes, named nodes, edges) of every lineage; the tree is contracted twice, as the chain does."""
     nodes, supports = T.consensus_nodes(consensus_of(family_trees(spark, sf)))
     e = families(spark, sf)  # numbered like the trees' variants; samples without features take no part in trees (F04)
-    numbered = A.number_variants(A.variants(e)).where(F.col("variant_no") < LIMIT)
+    numbered = A.number_variants(A.variants(e), LIMIT)
     samples = e.where("variant_key != ''").join(numbered.select("lineage", "variant_key", "variant_no"), ["lineage", "variant_key"])
     samples = samples.select(F.col("lineage").alias("tree"), F.lpad(F.col("variant_no").cast("string"), 4, "0").alias("name"), "accession", "coldate")
     alone = samples.join(nodes.select("tree").distinct(), "tree", "left_anti").select("tree", "name").distinct()  # one variant: one node, no edges

@@ -22,7 +22,7 @@ def dictionary(spark: SparkSession, sf: str, limit: int = LIMIT) -> tuple[DataFr
 def dictionary_of(samples: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     """(variant features long: lineage, variant_no, feature_no; feature dictionary)."""
     numbered, words = A.recode(A.variants(samples), limit)
-    long = numbered.where(F.col("variant_no") < limit).select("lineage", "variant_no", F.explode(F.split("variant_key", ",")).alias("feature"))
+    long = numbered.select("lineage", "variant_no", F.explode(F.split("variant_key", ",")).alias("feature"))
     return long.join(words, ["lineage", "feature"]).select("lineage", "variant_no", "feature_no"), words
 
 
