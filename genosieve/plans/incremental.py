@@ -24,7 +24,7 @@ def r01_ingest_increment(spark: SparkSession, sf: str) -> DataFrame:
         e.where(cond).write.mode("append").parquet(f"{root}/feed")
         feed = spark.readStream.schema(e.schema).parquet(f"{root}/feed")
         R.ingest(spark, feed, f"{root}/cache", f"{root}/log", "event_id", "event_type", f"{root}/checkpoint").awaitTermination()
-    return spark.read.schema(e.schema).option("recursiveFileLookup", "true").parquet(f"{root}/cache")
+    return R.cached(spark, f"{root}/cache", e.schema, "event_id")
 
 
 @register(PRE + "select lineage, count(*) as n from samples where lineage in (select lineage from samples where coldate > date '2001-07-29') group by lineage")
