@@ -174,7 +174,9 @@ def bootstrap_trees(long: DataFrame, words: DataFrame, replicates: int, seed: in
     rows = long.groupBy(group).agg(F.collect_list("variant_no").alias("variants"), F.collect_list("feature_no").alias("features"), F.count_distinct("variant_no").alias("v")).join(n, group).where("v > 1")
     block = F.when(F.col("v") > IN_STEP, 1).otherwise(F.least(F.lit(replicates), F.greatest(F.lit(1), (HELD / (F.col("v") * F.col("v"))).cast("int"))))
     rows = rows.withColumn("block", block).withColumn("from", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.col("block"))))
-    rows = rows.repartition(F.col(group), F.col("from"))
+    spark = long.sparkSession  # a task's work is in its trees, not in the bytes that it reads, so tasks are not merged by bytes
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    rows = rows.repartition(tasks, F.col(group), F.col("from"))
     draws = F.expr(f"transform(sequence(from, least(from + block, {replicates}) - 1), r -> transform(sequence(0, cast(n_words as int) - 1), d -> cast(pmod(xxhash64({seed}, `{group}`, cast(r as int), cast(d as int)), n_words) as int)))")
     kind = long.schema[group].dataType.simpleString()
 
