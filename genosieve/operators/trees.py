@@ -28,26 +28,58 @@ def bootstrap_weights(features: DataFrame, replicates: int, seed: int = 1, group
     return draws.groupBy(group, "replicate", pick.alias("feature_no")).agg(F.count("*").alias("weight"))
 
 
-def pairwise_distance(long: DataFrame, weights: DataFrame | None = None, keys: tuple[str, ...] = ("lineage",)) -> DataFrame:
-    """(keys, i, j, dist), i < j: total weight of the features that exactly one of two variants has.
-
-    long(keys, variant_no, feature_no). w(A) + w(B) - 2 w(A and B), so only shared features are joined; features that all
-    variants of a group have cancel out and are left out first. Groups are bounded by the limit on variants.
-    """
-    ks = list(keys)
-    rows = long.join(weights, [*ks[:1], "feature_no"]) if weights is not None else long.withColumn("weight", F.lit(1).cast("long"))
-    ks = ks + ["replicate"] if weights is not None else ks
-    names = long.select(*keys, "variant_no").distinct() if weights is None else long.select(*keys, "variant_no").distinct().join(weights.select(*keys, "replicate").distinct(), list(keys))
-    size = names.groupBy(*ks).agg(F.count("*").alias("n"))
-    common = rows.groupBy(*ks, "feature_no").agg(F.count("*").alias("m")).join(size, ks).where("m = n").select(*ks, "feature_no")
-    rows = rows.join(common, [*ks, "feature_no"], "left_anti")
-    total = names.join(rows.groupBy(*ks, "variant_no").agg(F.sum("weight").alias("w")), [*ks, "variant_no"], "left").withColumn("w", F.coalesce("w", F.lit(0).cast("long")))
-    a = rows.withColumnRenamed("variant_no", "i")
-    b = rows.select(*ks, "feature_no", F.col("variant_no").alias("j"))
-    shared = a.join(b, [*ks, "feature_no"]).where("i < j").groupBy(*ks, "i", "j").agg(F.sum("weight").alias("s"))
-    left, right = total.select(*ks, F.col("variant_no").alias("i"), F.col("w").alias("wi")), total.select(*ks, F.col("variant_no").alias("j"), F.col("w").alias("wj"))
-    pairs = left.join(right, ks).where("i < j").join(shared, [*ks, "i", "j"], "left")
-    return pairs.select(*ks, "i", "j", (F.col("wi") + F.col("wj") - 2 * F.coalesce("s", F.lit(0).cast("long"))).alias("dist"))
+def pairwise_distance(long: DataFrame, weights: DataFrame | None = None, group: str = "lineage", edge: int = 256) -> DataFrame:
+    """(group, i, j, dist), i < j: total weight of the features that exactly one of two variants has, for all pairs of variants with
+    features. With weights(group, replicate, feature_no, weight) also by replicate. long(group, variant_no, feature_no).
+
+    A group's variants are blocks of ``edge`` numbers, and two blocks are a tile: its task gets the features of both, as often
+    as a block meets others, and all weights of the group, and finds all replicates' distances by one matrix product each."""
+    block = F.floor(F.col("variant_no") / edge).cast("int")
+    blocks = long.groupBy(group, block.alias("block")).agg(F.collect_list("variant_no").alias("v"), F.collect_list("feature_no").alias("f"))
+    blocks = cut(blocks)
+    other = blocks.select(group, F.col("block").alias("block2"), F.col("v").alias("v2"), F.col("f").alias("f2"))
+    tiles = blocks.join(other, group).where("block <= block2")
+    if weights is None:
+        w = [F.array().cast("array<int>").alias(c) for c in ("r", "wf", "w")]
+    else:
+        rows = weights.groupBy(group).agg(*(F.collect_list(F.col(c).cast("int")).alias(k) for c, k in (("replicate", "r"), ("feature_no", "wf"), ("weight", "w"))))
+        tiles, w = tiles.join(rows, group), ["r", "wf", "w"]
+    spark = long.sparkSession  # a task's work is in its pairs, not in the bytes that it reads, so tasks are not merged by bytes
+    tiles = tiles.select(group, F.col("block") == F.col("block2"), "v", "f", "v2", "f2", *w).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    kind, with_replicates = long.schema[group].dataType.simpleString(), weights is not None
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                same = batch.column(1)[k].as_py()
+                v, f, v2, f2, r, wf, w = (batch.column(c)[k].values.to_numpy() for c in range(2, 9))
+                words, at = np.unique(np.concatenate([f, f2]), return_inverse=True)
+                sides = []
+                for names, columns in ((v, at[: len(f)]), (v2, at[len(f) :])):
+                    labels, row = np.unique(names, return_inverse=True)
+                    x = np.zeros((len(labels), len(words)))
+                    x[row, columns] = 1
+                    sides.append((labels, x))
+                (li, xi), (lj, xj) = sides
+                replicates, which = np.unique(r, return_inverse=True)
+                if with_replicates:
+                    weight, place = np.zeros((len(replicates), len(words))), np.minimum(np.searchsorted(words, wf), len(words) - 1)
+                    used = words[place] == wf
+                    weight[which[used], place[used]] = w[used]
+                else:
+                    replicates, weight = np.zeros(1, np.int64), np.ones((1, len(words)))
+                i, j = np.triu_indices(len(li), 1) if same else map(np.ravel, np.indices((len(li), len(lj))))
+                for replicate, own in zip(replicates, weight):
+                    y = xi * own
+                    d = y.sum(axis=1)[:, None] + (xj @ own)[None, :] - 2 * (y @ xj.T)
+                    cols = [pa.repeat(batch.column(0)[k], len(i)), pa.array(li[i]), pa.array(lj[j]), pa.array(np.rint(d[i, j]).astype(np.int64))]
+                    if with_replicates:
+                        cols.insert(1, pa.array(np.full(len(i), replicate, np.int32)))
+                    yield pa.RecordBatch.from_arrays(cols, names=names_out)
+
+    names_out = [group, *(["replicate"] if with_replicates else []), "i", "j", "dist"]
+    number = long.schema["variant_no"].dataType.simpleString()
+    return tiles.mapInArrow(measure, f"`{group}` {kind}, {'replicate int, ' if with_replicates else ''}i {number}, j {number}, dist bigint")
 
 
 def nj_trees(distances: DataFrame, keys: list[str]) -> DataFrame:

@@ -12,7 +12,6 @@ from genosieve.sources.shared import cut
 
 PRE = M.PRELUDE
 LIMIT, REPLICATES = 5000, 100  # the reference's values
-SQL_LIMIT = 30  # the newest variants in the first SQL of T02 and S02
 
 
 def dictionary(spark: SparkSession, sf: str, limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
@@ -48,11 +47,7 @@ dates as (select c_custkey % 5 as tree, c_custkey // 5 as node_id, date '2020-01
 anc as (select tree, node_id, node_id as anc, 0 as hops, 0.0::double as dist from nodes union all select a.tree, a.node_id, n.parent_id, a.hops + 1, a.dist + n.length from anc a join nodes n on n.tree = a.tree and n.node_id = a.anc where n.parent_id is not null)
 """
 _LONG = PRE + """, num as (select *, row_number() over (partition by lineage order by last_date desc, variant_key desc) - 1 as variant_no from variants),
-long as (select lineage, variant_no, unnest(string_split(variant_key, ',')) as feature from num where variant_no < 30 and variant_key <> '')"""
-
-
-def _whole(sql: str) -> str:
-    return sql.replace("variant_no < 30", f"variant_no < {LIMIT}")
+long as (select lineage, variant_no, unnest(string_split(variant_key, ',')) as feature from num where variant_no < 5000 and variant_key <> '')"""  # LIMIT
 
 
 @register()
@@ -64,11 +59,6 @@ _DISTANCE = _LONG + """, w as (select lineage, variant_no, count(*) as w from lo
 select a.lineage, a.variant_no as i, b.variant_no as j, a.w + b.w - 2 * coalesce(s, 0) as dist from w a join w b on a.lineage = b.lineage and a.variant_no < b.variant_no left join s on s.lineage = a.lineage and s.i = a.variant_no and s.j = b.variant_no"""
 
 
-@register(_DISTANCE)
-def t02_pairwise_distance(spark: SparkSession, sf: str) -> DataFrame:
-    return T.pairwise_distance(dictionary(spark, sf, SQL_LIMIT)[0])
-
-
 def families(spark: SparkSession, sf: str) -> DataFrame:
     """Samples with one customer's orders as a lineage: many groups of bounded size, as pairs and trees ask for."""
     return encoded(spark, sf).withColumn("lineage", F.substring_index("name", "#", -1))
@@ -78,11 +68,11 @@ def family_dictionary(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFram
     return dictionary_of(families(spark, sf), LIMIT)
 
 
-_FAMILY_DISTANCE = _whole(_DISTANCE).replace("from variants)", "from (select split_part(name, '#', 2) as lineage, variant_key, max(coldate) as last_date from encoded group by 1, 2))", 1)
+_FAMILY_DISTANCE = _DISTANCE.replace("from variants)", "from (select split_part(name, '#', 2) as lineage, variant_key, max(coldate) as last_date from encoded group by 1, 2))", 1)
 
 
 @register(_FAMILY_DISTANCE)
-def t02_pairwise_distance_whole(spark: SparkSession, sf: str) -> DataFrame:
+def t02_pairwise_distance(spark: SparkSession, sf: str) -> DataFrame:
     return T.pairwise_distance(family_dictionary(spark, sf)[0])
 
 
@@ -232,11 +222,6 @@ _DIFFERENCE = _LONG + ", f as (select lineage, variant_no, list(feature) as f fr
 
 @register(_DIFFERENCE)
 def s02_symmetric_difference(spark: SparkSession, sf: str) -> DataFrame:
-    return neighbour_differences(spark, sf, SQL_LIMIT)
-
-
-@register(_whole(_DIFFERENCE))
-def s02_symmetric_difference_whole(spark: SparkSession, sf: str) -> DataFrame:
     return neighbour_differences(spark, sf, LIMIT)
 
 

@@ -6,7 +6,7 @@ from genosieve.plans import registry
 def test_every_document_whole(spark, tmp_path):
     texts = {1: "ab, c" * 100, 2: "short", 3: None, 4: "", 5: "acgt" * 10}
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    found = {r.doc_id: r.seq for r in registry.queries()["x03_apply_features_whole"](spark, str(tmp_path)).collect()}
+    found = {r.doc_id: r.seq for r in registry.queries()["x03_apply_features"](spark, str(tmp_path)).collect()}
 
     def want(text):
         ref = None if text is None else re.sub("[^A-Za-z]", "", text).upper()

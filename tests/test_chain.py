@@ -115,6 +115,23 @@ def test_bootstrap_trees_are_those_of_weighted_distances(spark):
     assert sorted(map(tuple, found.select(*marks).collect())) == sorted(map(tuple, T.clade_signatures(found).select(*marks).collect()))
 
 
+def test_tiles_equal_set_differences(spark):
+    """Blocks of every fill, also with weights, and a group whose numbers start late."""
+    r = random.Random(4)
+    own = {(g, v): {f for f in range(25) if r.random() < 0.3} for g, n in (("a", 23), ("b", 9), (None, 3)) for v in range(n)}
+    own |= {("late", 40 + v): {v, v + 1} for v in range(6)}
+    df = spark.createDataFrame([(g, v, f) for (g, v), x in own.items() for f in x], "lineage string, variant_no int, feature_no int").repartition(3)
+    weights = {(k, f): r.randint(0, 3) for k in range(3) for f in range(46)}
+    for edge in (1, 4, 256):
+        found = {(x.lineage, x.i, x.j): x.dist for x in T.pairwise_distance(df.where("lineage is not null"), edge=edge).collect()}
+        named = [(k, x) for k, x in own.items() if x and k[0] is not None]
+        assert found == {(a[0], a[1], b[1]): len(x ^ y) for a, x in named for b, y in named if a[0] == b[0] and a[1] < b[1]}
+    w = spark.createDataFrame([("a", k, f, n) for (k, f), n in weights.items() if n], "lineage string, replicate int, feature_no int, weight long")
+    found = {(x.replicate, x.i, x.j): x.dist for x in T.pairwise_distance(df, w, edge=5).collect()}
+    named = [(v, x) for (g, v), x in own.items() if g == "a" and x]
+    assert found == {(k, i, j): sum(weights[k, f] for f in x ^ y) for k in range(3) for i, x in named for j, y in named if i < j}
+
+
 def random_splits_trees(spark, seed, n_trees, tips):
     r, rows = random.Random(seed), []
     for k in range(n_trees):
