@@ -11,7 +11,7 @@ from genosieve.plans.registry import register
 
 PRE = M.PRELUDE
 _FREQ = ", sizes as (select lineage, count(*) as total from samples group by lineage), freq as (select lineage, typ, pos, alt, count(*) as n, count(*) / any_value(total) as freq from samples join features using (accession) join sizes using (lineage) group by lineage, typ, pos, alt)"
-def _name() -> Column:
+def feature_name() -> Column:
     return F.when(F.col("typ") != "R", F.concat_ws(":", F.lit("aa"), "typ", "pos"))
 
 _POINTS = "lineage, variant_key, coldate"
@@ -35,14 +35,17 @@ def a03_common_features(spark: SparkSession, sf: str) -> DataFrame:
 @register(PRE + _FREQ + " select lineage, 'aa:' || typ || ':' || pos as mutation, round(max(freq), 9) as freq from freq where freq >= 0.05 and typ <> 'R' group by 1, 2")
 def a04_lineage_mutations(spark: SparkSession, sf: str) -> DataFrame:
     common = A.common_features(M.samples(spark, sf), M.features(spark, sf), min_freq=0.05)
-    return A.lineage_mutations(common, _name()).withColumn("freq", F.round("freq", 9))
+    return A.lineage_mutations(common, feature_name()).withColumn("freq", F.round("freq", 9))
 
 
-@register(PRE + _FREQ + """, mut as (select lineage, count(distinct 'aa:' || typ || ':' || pos) as n_mutations from freq where freq >= 0.05 and typ <> 'R' group by lineage)
-select lineage, count(*) as nsamples, max(coldate) as lastcoldate, max(n_features) as max_ndiffs, round(avg(n_features), 6) as mean_ndiffs, any_value(coalesce(n_mutations, 0)) as n_mutations, 0.0 as residual, substr(lineage, 3) as raw_lineage from encoded left join mut using (lineage) group by lineage""", dates="lastcoldate")
+A05_SQL = PRE + _FREQ + """, mut as (select lineage, count(distinct 'aa:' || typ || ':' || pos) as n_mutations from freq where freq >= 0.05 and typ <> 'R' group by lineage)
+select lineage, count(*) as nsamples, max(coldate) as lastcoldate, max(n_features) as max_ndiffs, round(avg(n_features), 6) as mean_ndiffs, any_value(coalesce(n_mutations, 0)) as n_mutations, 0.0 as residual, substr(lineage, 3) as raw_lineage from encoded left join mut using (lineage) group by lineage"""
+
+
+@register(A05_SQL, dates="lastcoldate")
 def a05_lineage_stats(spark: SparkSession, sf: str) -> DataFrame:
     samples, features = encoded(spark, sf), M.features(spark, sf)
-    mutations = A.lineage_mutations(A.common_features(samples, features, min_freq=0.05), _name())
+    mutations = A.lineage_mutations(A.common_features(samples, features, min_freq=0.05), feature_name())
     none = samples.select("lineage").where("false").withColumn("residual", F.lit(0.0))
     stats = A.lineage_stats(samples, mutations, none, F.expr("substring(lineage, 3)"))
     return stats.select("lineage", "nsamples", "lastcoldate", "max_ndiffs", F.round("mean_ndiffs", 6).alias("mean_ndiffs"), F.size("mutations").cast("long").alias("n_mutations"), "residual", "raw_lineage")

@@ -10,7 +10,9 @@ from genosieve.operators import aggregates as A, sets as S
 from genosieve.plans import mapping as M
 from genosieve.plans.registry import register
 from genosieve.sources.shared import shared_folder
-from genosieve.streaming import incremental as R
+from genosieve.plans.aggregates import A05_SQL, feature_name
+from genosieve.plans.filters import encoded
+from genosieve.streaming import incremental as R, states as N
 
 PRE = M.PRELUDE
 
@@ -34,6 +36,25 @@ def r02_refresh_groups(spark: SparkSession, sf: str) -> DataFrame:
     return R.refresh(s, updated).groupBy("lineage").agg(F.count("*").alias("n"))
 
 
+def stored_states(spark: SparkSession, sf: str) -> str:
+    """The samples' states from three increments: two halves, of which one has status as its group at first, and its move."""
+    path = f"{shared_folder(spark)}/states-{uuid.uuid4().hex}"
+    s, f = encoded(spark, sf), M.features(spark, sf)
+    early, late = s.where("accession % 2 = 0"), s.where("accession % 2 <> 0")
+    wrong = early.withColumn("lineage", F.col("status"))
+    for batch, come, go in (("a", wrong, None), ("b", late, None), ("c", early, wrong)):
+        N.add(path, batch, (come, f), (go, f) if go is not None else None)
+    return path
+
+
+@register(A05_SQL, dates="lastcoldate")
+def r02_merged_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """A05 from merged states."""
+    stats = N.stats(spark, stored_states(spark, sf), feature_name(), 0.05)
+    cols = ("lineage", "nsamples", "lastcoldate", "max_ndiffs", F.round("mean_ndiffs", 6).alias("mean_ndiffs"), F.size("mutations").cast("long").alias("n_mutations"))
+    return stats.select(*cols, F.lit(0.0).alias("residual"), F.expr("substring(lineage, 3)").alias("raw_lineage"))
+
+
 @register("with t as (select o_custkey as k, arg_max(o_totalprice, o_orderkey) as v from orders group by 1) select c_custkey as k, coalesce(v, c_acctbal) as v from customer left join t on k = c_custkey")
 def r03_upsert(spark: SparkSession, sf: str) -> DataFrame:
     target = M.table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
