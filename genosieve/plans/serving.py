@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,6 +12,7 @@ from genosieve.operators import aggregates as A, ranking as R, serving as Q
 from genosieve.plans import mapping as M
 from genosieve.plans.filters import encoded
 from genosieve.plans.registry import register
+from genosieve.sources.shared import shared_folder
 
 PRE = M.PRELUDE
 _CID = ", ids as (select lineage, row_number() over (order by lineage) - 1 as cid from (select distinct lineage from samples))"
@@ -46,11 +48,23 @@ def q04_cluster_of(spark: SparkSession, sf: str) -> DataFrame:
     return Q.lookup(A.index_of(s, "accession"), "epi_isl_7")
 
 
-@register(PRE + "select lineage, variant_key, coldate, count(*) as n from encoded group by 1, 2, 3 having coldate > date '1998-01-01' and coldate < date '1999-01-01' and count_if(contains(lower(location), 'asia') or contains(lower('EPI_ISL_' || accession), 'asia')) > 0", dates="coldate")
+_Q05 = PRE + "select lineage, variant_key, coldate, count(*) as n from encoded group by 1, 2, 3 having coldate > date '1998-01-01' and coldate < date '1999-01-01' and count_if(contains(lower(location), 'asia') or contains(lower('EPI_ISL_' || accession), 'asia')) > 0"
+
+
+@register(_Q05, dates="coldate")
 def q05_search(spark: SparkSession, sf: str) -> DataFrame:
     return Q.search(points(spark, sf), "Asia", date(1998, 1, 1), date(1999, 1, 1)).select("lineage", "variant_key", "coldate", "n")
 
 
+@register(_Q05, dates="coldate")
+def q05_search_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """The same through the posting index."""
+    path = f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}"
+    p = points(spark, sf)
+    Q.index_points(p, path)
+    return Q.search_indexed(p, path, "Asia", date(1998, 1, 1), date(1999, 1, 1)).select("lineage", "variant_key", "coldate", "n")
+
+
 @register("select 0 as section, c_name as key, lower(regexp_replace(c_name, '[^A-Za-z0-9]', '', 'g')) as norm from customer where contains(lower(regexp_replace(c_name, '[^A-Za-z0-9]', '', 'g')), '00000001') order by c_name limit 10")
 def q06_autocomplete(spark: SparkSession, sf: str) -> DataFrame:
     c = M.table(spark, sf, "customer").select(F.col("c_name").alias("key"))
