@@ -53,12 +53,31 @@ def codons(spark: SparkSession) -> DataFrame:
     return spark.sql("select * from values " + ", ".join(f"('{k}', '{a}')" for k, a in X.codon_table()) + " t(codon, amino)")
 
 
+def covering(positions: DataFrame, frames: DataFrame, levels: int = 31) -> DataFrame:
+    """(pos, o): the first frame (ord, l, orf) that covers a position, l <= pos < r; positions without one have no row.
+
+    A frame is cut into spans of powers of two, at most two a level, and each span keeps its first frame, whatever number of
+    frames overlap; a position asks the one span of each level that it lies in. So it is an equi-join of linear tables."""
+    level = F.sequence(F.lit(0), F.lit(levels - 1))
+
+    def spans(k: Column) -> Column:
+        width = F.pow(F.lit(2.0), k)
+        lo, hi = F.ceil(F.col("l") / width).cast("long"), F.floor(F.col("r") / width).cast("long")
+        return F.filter(F.array(F.struct(k.alias("level"), lo.alias("span"), (lo < hi) & (lo % 2 == 1)), F.struct(k.alias("level"), (hi - 1).alias("span"), (lo < hi) & (hi % 2 == 1))), lambda s: s["col3"])
+
+    cut = frames.where("l < r and l >= 0").select("ord", "l", "orf", F.explode(F.flatten(F.transform(level, spans))).alias("s"))
+    first = cut.groupBy(F.col("s.level").alias("level"), F.col("s.span").alias("span")).agg(F.min(F.struct("ord", "l", "orf")).alias("o"))
+    asked = positions.where("pos >= 0").select("pos").distinct().select("pos", F.explode(level).alias("level")).withColumn("span", F.floor(F.col("pos") / F.pow(F.lit(2.0), F.col("level"))).cast("long"))
+    return asked.join(first, ["level", "span"]).groupBy("pos").agg(F.min("o").alias("o"))
+
+
 def annotate(features: DataFrame, orfs: DataFrame, code: DataFrame, ref: str) -> DataFrame:
-    """(…, name): protein change of a substitution in a reading frame (the first by ``ord`` where they overlap), or the
-    place and length of an insertion or deletion; null if nothing changes. Frames and code are short fixed tables."""
-    inside = (F.col("typ") == "~") & (F.col("pos") >= F.col("l")) & (F.col("pos") < F.col("r"))
-    keys = features.columns
-    hit = features.join(F.broadcast(orfs), inside, "left").groupBy(*keys).agg(F.min_by(F.struct("orf", "l"), "ord").alias("o"))
+    """(…, name): protein change of a substitution in a reading frame (the first by ``ord`` where they overlap, then by its
+    start), or the place and length of an insertion or deletion; null if nothing changes. Equal features are one row. orfs(ord,
+    orf, l, r) may be many; the code has a row per codon."""
+    keys, features = features.columns, features.distinct()
+    found = covering(features.where("typ = '~'"), orfs).withColumnRenamed("pos", "#pos")
+    hit = features.join(found, (F.col("typ") == "~") & (F.col("pos") == F.col("#pos")), "left").drop("#pos")
     number = F.floor((F.col("pos") - F.col("o.l")) / 3).cast("int")
     at = ((F.col("pos") - F.col("o.l")) % 3).cast("int")
     hit = hit.withColumns({"no": number, "at": at}).withColumn("was", F.substring(F.lit(ref), F.col("o.l") + 3 * F.col("no") + 1, F.lit(3)))

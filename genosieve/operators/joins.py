@@ -43,9 +43,12 @@ def concordance(log: DataFrame, samples: DataFrame, agree: bool, key: str = "acc
     return samples.join(latest, key).where(same if agree else ~same)
 
 
-def append_missing(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """The old rows and those new ones whose key is absent, one row per new key."""
-    return old.unionByName(new.join(old.select(key), key, "left_anti").dropDuplicates([key]))
+def append_missing(old: DataFrame, new: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
+    """The old rows and those new ones whose key is absent (null is absent), one row per new key: the least by ``order``, then by all
+    columns."""
+    rest = F.struct(*new.columns)
+    missing = new.join(old.select(key), key, "left_anti").groupBy(F.col(key).alias("#key")).agg(F.min(F.struct(F.struct(*(order or [key])), rest.alias("row"))).alias("r"))
+    return old.unionByName(missing.select("r.row.*"))
 
 
 def detect_changes(incoming: DataFrame, stored: DataFrame, key: str, header: str, content: str) -> DataFrame:

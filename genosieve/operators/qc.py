@@ -80,13 +80,13 @@ def qc_strict(df: DataFrame, header: str, sequence: str, accession: str, date_co
     is kept."""
     s = F.upper(F.col(sequence))
     ambiguous = F.length(s) - F.length(F.regexp_replace(s, r"[N?]|^-+|-+$", ""))
-    again = F.row_number().over(Window.partitionBy(accession).orderBy(header)) > 1
     d = X.parse_iso(F.col(date_col))
-    reason = (
-        F.when(F.col(header).rlike(nonhuman), "nonhuman").when(F.length(s) < min_length, "short").when(ambiguous > F.length(s) * max_ambiguous, "ambiguous")
-        .when(F.col(header).rlike(mangled), "mangled").when(again, "duplicate").when(d.isNull() | ~d.between(F.lit(window[0]), F.lit(window[1])), "baddate")
-    )
-    return df.select(F.col(accession).alias("accession"), reason.alias("reason"))
+    early = F.when(F.col(header).rlike(nonhuman), "nonhuman").when(F.length(s) < min_length, "short").when(ambiguous > F.length(s) * max_ambiguous, "ambiguous").when(F.col(header).rlike(mangled), "mangled")
+    late = F.when(d.isNull() | ~d.between(F.lit(window[0]), F.lit(window[1])), "baddate")
+    # sequences are judged where they are; the window moves headers and verdicts only
+    judged = df.select(F.col(accession).alias("accession"), F.col(header).alias("#header"), early.alias("#early"), late.alias("#late"))
+    again = F.when(F.row_number().over(Window.partitionBy("accession").orderBy("#header")) > 1, "duplicate")
+    return judged.select("accession", F.coalesce("#early", again, "#late").alias("reason"))
 
 
 def reason_lists(judged: DataFrame) -> DataFrame:
