@@ -89,12 +89,28 @@ def nucleotide_diversity(frequencies: DataFrame, sizes: DataFrame, group: str =
     return sizes.where("n > 1").join(s, group, "left").select(group, (F.coalesce("s", F.lit(0.0)) * F.col("n") / (F.col("n") - 1)).alias("pi"))
 
 
-def tree_summary(nodes: DataFrame, labels: DataFrame, group: str) -> DataFrame:
-    """Per tree: inner nodes without samples, tips, and Shannon's index over the tips' sample counts.
+def tree_summary(nodes: DataFrame, labels: DataFrame, group: str, frequencies: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
+    """Per tree: inner nodes without samples, tips, and Shannon's index over the tips' sample counts; with frequencies(group,
+    freq) and sizes(group, n) also the sample size ``nvariants`` and the diversity ``pi``, null for a single sample.
     nodes(group, name, is_tip), labels(group, name, n)."""
     j = nodes.join(labels, [group, "name"], "left")
     base = j.groupBy(group).agg(F.count_if(~F.col("is_tip") & F.col("n").isNull()).alias("unsampled"), F.count_if(F.col("is_tip")).alias("ntips"))
-    return base.join(shannon(j.where("is_tip and n is not null"), group), group, "left")
+    out = base.join(shannon(j.where("is_tip and n is not null"), group), group, "left")
+    return out if frequencies is None else out.join(diversity_table(frequencies, sizes, group), group, "left")
+
+
+def diversity_table(frequencies: DataFrame, sizes: DataFrame, group: str = "lineage") -> DataFrame:
+    """(group, nvariants, pi): sample size and mean number of differing features."""
+    return sizes.join(nucleotide_diversity(frequencies, sizes, group), group, "left").select(group, F.col("n").alias("nvariants"), "pi")
+
+
+def merged_maps(index: DataFrame, per_map: int = 2000) -> DataFrame:
+    """(part, m): an index (key, cid) as maps of about ``per_map`` keys, dealt by a hash of the key; of several ids of a key the
+    least. So the whole map is many rows, whatever its size; a reader asks the part of its key."""
+    parts = max(1, -(-index.count() // per_map))
+    part = F.pmod(F.xxhash64("key"), F.lit(parts)).alias("part")
+    least = index.where("key is not null").groupBy("key").agg(F.min("cid").alias("cid"))
+    return least.groupBy(part).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "cid")))).alias("m"))
 
 
 def count_map(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:

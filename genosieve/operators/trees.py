@@ -300,12 +300,21 @@ def collapse_low_support(nodes: DataFrame, cutoff: float = 0.5) -> DataFrame:
     return nodes.where(~weak).drop("parent_id", "length").join(up, ["tree", "node_id"], "left").select("tree", "node_id", "parent_id", "name", "support", "length", "is_tip")
 
 
-def tree_table(nodes: DataFrame) -> DataFrame:
-    """One row per node: parent label, children in order, length (root 0)."""
+def single_variant(samples: DataFrame, groups: list[str]) -> DataFrame:
+    """(groups, variant_key, n_samples, n_edges, infections): groups with one variant are one node without edges."""
+    g = samples.groupBy(*groups).agg(F.min("variant_key").alias("variant_key"), F.max("variant_key").alias("#last"), F.count("*").alias("n_samples"))
+    return g.where(F.col("variant_key") == F.col("#last")).select(*groups, "variant_key", "n_samples", F.lit(0).alias("n_edges"), F.lit(0.0).alias("infections"))
+
+
+def tree_table(nodes: DataFrame, raw: DataFrame | None = None) -> DataFrame:
+    """One row per node: parent label, children in order, length (root 0); with raw(name, raw_lineage) also that, null for
+    names that it has not."""
     p = nodes.select("tree", F.col("node_id").alias("parent_id"), F.col("name").alias("parent_label"))
     c = nodes.where("parent_id is not null").groupBy("tree", F.col("parent_id").alias("node_id")).agg(F.array_sort(F.collect_list("node_id")).alias("children"))
     j = nodes.join(p, ["tree", "parent_id"], "left").join(c, ["tree", "node_id"], "left")
-    return j.select("tree", "node_id", "parent_id", "name", "parent_label", F.coalesce("children", F.array().cast("array<bigint>")).alias("children"), F.coalesce("length", F.lit(0.0)).alias("length"), "is_tip")
+    j = j if raw is None else j.join(raw.select("name", "raw_lineage"), "name", "left")
+    cols = ("tree", "node_id", "parent_id", "name", "parent_label", F.coalesce("children", F.array().cast("array<bigint>")).alias("children"), F.coalesce("length", F.lit(0.0)).alias("length"), "is_tip")
+    return j.select(*cols, *(["raw_lineage"] if raw is not None else []))
 
 
 def rect_layout(nodes: DataFrame) -> DataFrame:

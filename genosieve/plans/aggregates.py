@@ -130,6 +130,14 @@ def a16_index_accessions(spark: SparkSession, sf: str) -> DataFrame:
     return A.index_of(M.samples(spark, sf), "accession")
 
 
+@register(PRE + "select count(*) as n_keys, sum(cid) as sum_ids from samples join (select lineage, row_number() over (order by lineage) - 1 as cid from (select distinct lineage from samples)) using (lineage)")
+def a17_merged_maps(spark: SparkSession, sf: str) -> DataFrame:
+    """All accessions in maps of bounded size."""
+    maps = A.merged_maps(A.index_of(M.samples(spark, sf), "accession"))
+    values = F.aggregate(F.map_values("m"), F.lit(0).cast("long"), lambda a, x: a + x)
+    return maps.agg(F.sum(F.size("m").cast("long")).alias("n_keys"), F.sum(values).alias("sum_ids"))
+
+
 @register(PRE + "select count(distinct lineage) as n_keys, sum(cid) as sum_ids from (select distinct lineage, dense_rank() over (order by lineage) - 1 as cid from samples)")
 def a17_merged_map(spark: SparkSession, sf: str) -> DataFrame:
     """All key -> id rows of lineages in one map (one entry per lineage)."""

@@ -105,7 +105,7 @@ def t10_support_names(spark: SparkSession, sf: str) -> DataFrame:
 @register(NODES + ", st as (select c_name as name, c_mktsegment as raw_lineage from customer) select tree, node_id, raw_lineage from nodes left join st using (name)")
 def t12_raw_lineage(spark: SparkSession, sf: str) -> DataFrame:
     stats = M.table(spark, sf, "customer").select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("raw_lineage"))
-    return T.tree_table(nodes(spark, sf)).join(stats, "name", "left").select("tree", "node_id", "raw_lineage")
+    return T.tree_table(nodes(spark, sf), stats).select("tree", "node_id", "raw_lineage")
 
 
 @register(PRE + """, st as (select lineage, count(*) as nsamples, round(avg(n_features), 6) as mean_ndiffs from encoded where status = 'F' group by lineage), tips as (select distinct case when lineage like '1%' then 'XBB' when lineage like '2%' then 'XA' else 'B' end as prefix, lineage from samples)
@@ -173,8 +173,7 @@ def a09_summary_pi(spark: SparkSession, sf: str) -> DataFrame:
     """The summary's diversity and its sample size."""
     s = M.samples(spark, sf)
     sizes = s.groupBy("lineage").agg(F.count("*").alias("n"))
-    pi = A.nucleotide_diversity(A.feature_frequencies(s, M.features(spark, sf)), sizes)
-    return sizes.join(pi, "lineage").select("lineage", F.col("n").alias("nvariants"), F.round("pi", 6).alias("pi"))
+    return A.diversity_table(A.feature_frequencies(s, M.features(spark, sf)), sizes).select("lineage", "nvariants", F.round("pi", 6).alias("pi"))
 
 
 @register(PRE + _FREQ + " select lineage, 'aa:' || typ || ':' || pos as mutation, round(max(freq), 9) as frequency from freq where freq >= 0.05 group by 1, 2")

@@ -142,9 +142,7 @@ def t08_bead_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(PRE + ", one as (select name, status, max(variant_key) as variant_key, count(*) as n_samples from encoded group by 1, 2 having count(distinct variant_key) = 1) select name, status, variant_key, n_samples, 0 as n_edges, 0.0 as infections from one")
 def t09_single_variant(spark: SparkSession, sf: str) -> DataFrame:
-    """Groups with one variant are one node without edges."""
-    e = encoded(spark, sf).groupBy("name", "status").agg(F.count_distinct("variant_key").alias("k"), F.max("variant_key").alias("variant_key"), F.count("*").alias("n_samples"))
-    return e.where("k = 1").select("name", "status", "variant_key", "n_samples", F.lit(0).alias("n_edges"), F.lit(0.0).alias("infections"))
+    return T.single_variant(encoded(spark, sf), ["name", "status"])
 
 
 @register("select c_custkey, c_name || ':1.5[&date=2020.5]' as cleaned, replace(c_name, '#', '') || '=2020.5' as dated from customer")
