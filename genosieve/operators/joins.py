@@ -99,11 +99,13 @@ def attach_phenotypes(mutations: DataFrame, annotations: DataFrame, key: str = "
     return j.withColumns({"phenotypes": F.coalesce("phenotypes", F.array().cast("array<string>")), "frequency": F.round("frequency", 2)})
 
 
-def edge_table(edges: DataFrame, variants: DataFrame) -> DataFrame:
-    """edges(parent, child, dist) with both ends' labels and the child's first date as x; edges with an unknown end go."""
-    p = variants.select(F.col("accession").alias("parent"), F.col("label").alias("parent_label"), F.col("x1").alias("parent_x1"))
-    c = variants.select(F.col("accession").alias("child"), F.col("label").alias("child_label"), F.col("x1"))
-    return edges.join(p, "parent").join(c, "child")
+def edge_table(edges: DataFrame, variants: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """edges(parent, child, dist) with both ends' labels and the child's first date as x; edges with an unknown end go. Names are
+    those of a group where there are several."""
+    g = group or []
+    p = variants.select(*g, F.col("accession").alias("parent"), F.col("label").alias("parent_label"), F.col("x1").alias("parent_x1"))
+    c = variants.select(*g, F.col("accession").alias("child"), F.col("label").alias("child_label"), F.col("x1"))
+    return edges.join(p, [*g, "parent"]).join(c, [*g, "child"])
 
 
 def extend_parents(variants: DataFrame, edges: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The chain from samples to bead plots: recoding, bootstrap distances, trees, consensus, contraction, beads.
+"""Queries over the chain from samples to bead plots.
 
 A lineage is one customer's orders here: many groups of bounded size, as the chain is meant for. Every order takes part,
 with the reference's limit on variants and number of replicates.
@@ -6,32 +6,49 @@ with the reference's limit on variants and number of replicates.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from genosieve.operators import aggregates as A, trees as T
-from genosieve.plans.filters import encoded
+from genosieve.operators import chain as C
+from genosieve.plans import mapping as M
 from genosieve.plans.registry import register
-from genosieve.plans.trees import LIMIT, consensus_of, families, family_trees
-from genosieve.sources.shared import cut
-
+from genosieve.plans.trees import LIMIT, REPLICATES, families
+from genosieve.sources import io
+from genosieve.sources.shared import shared_folder
 
-def bead_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(contracted nodes, named nodes, edges) of every lineage; the tree is contracted twice, as the chain does."""
-    nodes, supports = T.consensus_nodes(consensus_of(family_trees(spark, sf)))
-    e = families(spark, sf)  # numbered like the trees' variants; samples without features take no part in trees (F04)
-    numbered = A.number_variants(A.variants(e), LIMIT)
-    samples = e.where("variant_key != ''").join(numbered.select("lineage", "variant_key", "variant_no"), ["lineage", "variant_key"])
-    samples = samples.select(F.col("lineage").alias("tree"), F.lpad(F.col("variant_no").cast("string"), 4, "0").alias("name"), "accession", "coldate")
-    alone = samples.join(nodes.select("tree").distinct(), "tree", "left_anti").select("tree", "name").distinct()  # one variant: one node, no edges
-    single = alone.select("tree", F.lit(0).cast("long").alias("node_id"), F.lit(None).cast("long").alias("parent_id"), "name", F.lit(None).cast("double").alias("length"), F.lit(True).alias("is_tip"))
-    final = cut(T.contract(nodes, passes=2).unionByName(single))
-    names = cut(T.bead_names(final, samples))
-    return final, names, T.bead_tree(final, names, supports)
+_FAMILIES = M.PRELUDE + ", fam as (select * exclude (lineage), split_part(name, '#', 2) as lineage from encoded where variant_key <> '')"
 
 
 @register()
 def beadplots(spark: SparkSession, sf: str) -> DataFrame:
     """One row per node of every lineage's bead plot, with its edge: every sample lies under one node."""
-    _, names, edges = bead_tables(spark, sf)
-    own = edges.select("tree", F.col("child").alias("variant"), "pos", "parent", "dist", "support")
-    return names.join(own, ["tree", "variant"], "left").select(F.col("tree").alias("lineage"), "node_id", "variant", "n", "pos", "parent", "dist", "support")
+    return C.node_table(C.bead_plots(families(spark, sf), LIMIT, REPLICATES))
+
+
+@register(_FAMILIES + ", w as (select distinct lineage, unnest(string_split(location, ' / ')) as w from fam), t as (select lineage, string_agg(w, ' ' order by w) as searchtext from w group by 1) select lineage, count(*) as n_samples, min(coldate) as min_date, max(coldate) as max_date, any_value(searchtext) as searchtext from fam join t using (lineage) group by lineage", dates="min_date max_date")
+def bead_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    """Per lineage what the served summary of its bead plot says of its samples: the whole chain, and no sample lost."""
+    found = C.cluster_tables(C.bead_plots(families(spark, sf), LIMIT, REPLICATES))["clusters"]
+    return found.select("lineage", F.col("n_samples").cast("long").alias("n_samples"), "min_date", "max_date", "searchtext")
+
+
+@register(_FAMILIES + " select lineage, cast(coldate as varchar) as coldate, accession, location, name from fam")
+def bead_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Bead plots as cluster files and back; the samples of all nodes."""
+    plots = C.bead_plots(families(spark, sf), LIMIT, REPLICATES)
+    path = f"{shared_folder(spark)}/clusters-{uuid.uuid4().hex}"
+    io.write_clusters(plots.samples.withColumns({"coldate": F.col("coldate").cast("string"), "accession": F.col("accession").cast("string")}), plots.edges, path)
+    return io.read_clusters(spark, path)[0].select("lineage", "coldate", F.col("accession").cast("long").alias("accession"), "location", "name")
+
+
+@register(_FAMILIES + " select lineage, count(*) as n_samples, max(case when coldate > date '2001-01-01' then 1 else 0 end) = 1 as updated from fam group by lineage")
+def daily_run(spark: SparkSession, sf: str) -> DataFrame:
+    """The samples up to a day as the state of the day before, then those after it: the chain runs again for their lineages, the
+    plots of the others are carried over. A lineage that has only new samples is new."""
+    s = families(spark, sf)
+    late = s.where("coldate > '2001-01-01'")
+    _, before = C.daily_run(None, s.where("coldate <= '2001-01-01'"), s.where("coldate <= '2001-01-01'"), LIMIT, REPLICATES)
+    updated, plots = C.daily_run(before, late, s, LIMIT, REPLICATES)
+    n = plots.nodes.groupBy("lineage").agg(F.sum("n").cast("long").alias("n_samples"))
+    return n.join(updated.withColumn("updated", F.lit(True)), "lineage", "left").select("lineage", "n_samples", F.coalesce("updated", F.lit(False)).alias("updated"))

@@ -4,25 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from genosieve.operators import aggregates as A, joining as J, trees as T
+from genosieve.operators import chain as C, joining as J, trees as T
 from genosieve.plans import mapping as M
 from genosieve.plans.filters import encoded
 from genosieve.plans.registry import register
-from genosieve.sources.shared import cut
 
 PRE = M.PRELUDE
 LIMIT, REPLICATES = 5000, 100  # the reference's values
 
 
 def dictionary(spark: SparkSession, sf: str, limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
-    return dictionary_of(encoded(spark, sf), limit)
-
-
-def dictionary_of(samples: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     """(variant features long: lineage, variant_no, feature_no; feature dictionary)."""
-    numbered, words = A.recode(A.variants(samples), limit)
-    long = numbered.select("lineage", "variant_no", F.explode(F.split("variant_key", ",")).alias("feature"))
-    return long.join(words, ["lineage", "feature"]).select("lineage", "variant_no", "feature_no"), words
+    return C.dictionary(encoded(spark, sf), limit)
 
 
 def nodes(spark: SparkSession, sf: str) -> DataFrame:
@@ -65,7 +58,7 @@ def families(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def family_dictionary(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return dictionary_of(families(spark, sf), LIMIT)
+    return C.dictionary(families(spark, sf), LIMIT)
 
 
 _FAMILY_DISTANCE = _DISTANCE.replace("from variants)", "from (select split_part(name, '#', 2) as lineage, variant_key, max(coldate) as last_date from encoded group by 1, 2))", 1)
@@ -91,18 +84,9 @@ def t04_clades(spark: SparkSession, sf: str) -> DataFrame:
     return T.clades(nodes(spark, sf)).select("tree", "node_id", F.size("tips").cast("long").alias("n_tips"), F.md5(F.array_join("tips", ",").cast("binary")).alias("tips"))
 
 
-def consensus_of(found: DataFrame) -> DataFrame:
-    """Consensus of the bootstrap trees of every lineage: (group, key, parent, support, length, size)."""
-    n = found.withColumn("tree", F.concat_ws("#", "lineage", "replicate")).withColumn("name", F.lpad("name", 4, "0"))
-    if "sig1" not in n.columns:  # trees that were not numbered as they were built
-        n = cut(n)
-        n = n.join(T.clade_signatures(n), ["tree", "node_id"])
-    return T.consensus_trees(cut(n.withColumn("group", F.col("lineage").cast("string"))))
-
-
 @register()
 def t05_consensus(spark: SparkSession, sf: str) -> DataFrame:
-    return consensus_of(family_trees(spark, sf))
+    return C.consensus_of(family_trees(spark, sf))
 
 
 @register("""with tips as (select n_nationkey as k, n_name as name from nation), trees as (select unnest(range(4)) as tree), splits as (select tree, (k + (case when tree = 3 then 1 else 0 end)) // 5 as part, string_agg(name, ',' order by name) as key, count(*) as size from tips, trees group by 1, 2),

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from genosieve.functions import expressions as X
-from genosieve.operators import joining as N, joins as J, trees as T
+from genosieve.operators import chain as H, joining as N, joins as J, trees as T
 from genosieve.plans import beads as B, trees as P
 
 
@@ -148,7 +148,7 @@ def test_consensus_by_signature_equals_that_by_names(spark):
         named = trees.withColumn("tree", F.concat_ws("#", "lineage", "replicate")).withColumn("name", F.lpad("name", 4, "0")).withColumn("group", F.lit("g"))
         by_name = T.consensus(T.clades(named).withColumn("group", F.lit("g")), named.where("is_tip").select("group", "tree", "name", "length"), named.groupBy("group").agg(F.count_distinct("tree").alias("n")))
         rows = lambda df: {x.key: (x.parent, x.support, round(x.length, 9), x.size) for x in df.collect()}
-        found = rows(P.consensus_of(trees))
+        found = rows(H.consensus_of(trees))
         assert found == rows(by_name)
         for key, (parent, *_) in found.items():  # the smallest that holds it
             holders = [k for k in found if k != key and set(key.split(",")) < set(k.split(","))]
@@ -181,7 +181,7 @@ def test_consensus_against_counting(spark):
                 below.setdefault((k, at), set()).add(name.rjust(4, "0"))
     for tips in below.values():
         counts[",".join(sorted(tips))] = counts.get(",".join(sorted(tips)), 0) + 1
-    got = {x.key: x.support for x in P.consensus_of(trees).where("size > 1").collect()}
+    got = {x.key: x.support for x in H.consensus_of(trees).where("size > 1").collect()}
     sure = {k: n / 9 for k, n in counts.items() if n / 9 > 0.5}
     assert sure == {k: v for k, v in got.items() if v > 0.5}
 
@@ -234,3 +234,48 @@ def test_outgroup_is_rooted_on_and_dropped(spark):
     nodes = spark.createDataFrame([("t", *r) for r in rows], "tree string, node_id long, parent_id long, name string, length double, is_tip boolean")
     found = {r.node_id: (r.parent_id, r.length) for r in T.drop_outgroup(nodes).collect()}
     assert found == {4: (None, None), 5: (4, 1.0), 1: (4, 2.0), 3: (1, 1.0), 2: (1, 7.0)}
+
+
+def test_what_is_served_of_bead_plots(spark, sf):
+    """Samples, variants, points, edges and summaries of the same plots agree with each other; cluster files give them back."""
+    e = P.families(spark, sf).where("cast(lineage as int) % 3 = 0")
+    plots = H.bead_plots(e, 5000, 20)
+    tables = {k: v.collect() for k, v in H.cluster_tables(plots).items()}
+    placed, nodes, edges = plots.samples.collect(), plots.nodes.collect(), plots.edges.collect()
+    assert sorted(r.accession for r in placed) == sorted(r.accession for r in e.where("variant_key != ''").collect())
+    by_node = {}
+    for r in placed:
+        by_node.setdefault((r.lineage, r.variant), []).append(r)
+    assert {(r.lineage, r.variant): r.n for r in nodes} == {(r.lineage, r.variant): len(by_node.get((r.lineage, r.variant), [])) for r in nodes}
+    assert all(r.variant == str(min((x.coldate, x.accession) for x in by_node[r.lineage, r.variant])[1]) if r.n else r.variant.startswith("unsampled") for r in nodes)
+    dates = {}
+    for r in placed:
+        dates.setdefault(r.lineage, []).append(r.coldate)
+    for r in tables["variants"]:
+        own = [x.coldate for x in by_node.get((r.lineage, r.variant_key), [])]
+        assert (r.n, r.unsampled, r.num_beads) == (len(own), not own, len(set(own)))
+        assert (r.x1, r.x2) == ((min(own), max(own)) if own else (min(dates[r.lineage]), max(dates[r.lineage])))
+    assert {(r.lineage, r.variant_key, r.coldate): r.n for r in tables["points"]} == {(k[0], k[1], d): sum(x.coldate == d for x in v) for k, v in by_node.items() for d in {x.coldate for x in v}}
+    first = {(r.lineage, r.variant_key): (r.label, r.x1) for r in tables["variants"]}
+    assert sorted((r.lineage, r.parent, r.child, r.parent_label, r.child_label, r.x1) for r in tables["edges"]) == sorted((r.lineage, r.parent, r.child, first[r.lineage, r.parent][0], *first[r.lineage, r.child]) for r in edges)
+    for r in tables["clusters"]:
+        own = [x for x in placed if x.lineage == r.lineage]
+        assert (r.n_samples, r.n_nodes) == (len(own), sum(x.lineage == r.lineage for x in nodes)) and r.regions == {x.region: sum(y.region == x.region for y in own) for x in own}
+        assert r.max_dist == max((x.dist for x in edges if x.lineage == r.lineage), default=None)
+
+
+def test_daily_run_equals_the_whole(spark, sf):
+    """Plots of lineages that are computed again are those of the chain on all samples; others stay as they were stored."""
+    e = P.families(spark, sf).where("cast(lineage as int) % 5 = 0")
+    early, late = e.where("coldate <= '2001-01-01'"), e.where("coldate > '2001-01-01'")
+    gone = early.agg(F.min("lineage")).first()[0]  # has left by the second day
+    _, first = H.daily_run(None, early, early, 5000, 10)
+    now = e.where(F.col("lineage") != gone)
+    updated, second = H.daily_run(first, late.where(F.col("lineage") != gone), now, 5000, 10)
+    again = {r.lineage for r in updated.collect()}
+    assert again == {r.lineage for r in late.where("variant_key != ''").select("lineage").distinct().collect()} - {gone}
+    rows = lambda df, keep: sorted(str(r) for r in df.collect() if keep(r.lineage))
+    whole, found = H.node_table(H.bead_plots(now, 5000, 10)), H.node_table(second)
+    assert rows(found, again.__contains__) == rows(whole, again.__contains__) and again
+    assert rows(found, lambda x: x not in again) == rows(H.node_table(first), lambda x: x not in again and x != gone)
+    assert {r.lineage for r in found.collect()} == {r.lineage for r in now.where("variant_key != ''").select("lineage").distinct().collect()}
