@@ -131,12 +131,31 @@ def export_mutations(stats: DataFrame, path: str, group: str = "lineage") -> Non
 
 
 def write_serving(tables: dict[str, DataFrame], path: str, version: str, cluster_key: str = "cid") -> None:
-    """All serving tables below ``path/version``, those with a cluster key partitioned by it. Readers switch by version."""
+    """All serving tables below ``path/version``, those with a cluster key partitioned by it. ``publish`` switches readers to a version."""
     for name, df in tables.items():
         w = df.write.mode("overwrite")
         (w.partitionBy(cluster_key) if cluster_key in df.columns else w).parquet(f"{path}/{version}/{name}")
 
 
+def publish(spark: SparkSession, path: str, version: str) -> None:
+    """Names the version that readers take from now on. An appended row, so that readers see the old version or the new one, and
+    earlier ones can be named again."""
+    spark.sql("select 1").select(F.lit(version).alias("version"), F.current_timestamp().alias("at"), F.expr("uuid()").alias("id")).write.mode("append").parquet(f"{path}/_published")
+
+
+def current_version(spark: SparkSession, path: str) -> str:
+    """The version that was published last."""
+    row = spark.read.schema("version string, at timestamp, id string").parquet(f"{path}/_published").agg(F.max_by("version", F.struct("at", "id"))).first()  # one row
+    if row[0] is None:
+        raise ValueError("no version is published")
+    return row[0]
+
+
+def read_serving(spark: SparkSession, path: str, name: str, version: str | None = None) -> DataFrame:
+    """A serving table of the current version, or of another one that is stored."""
+    return spark.read.parquet(f"{path}/{version or current_version(spark, path)}/{name}")
+
+
 def fold(sequence: Column | str, width: int = 60) -> Column:
     """A sequence in lines."""
     return F.regexp_replace(sequence, f"(.{{{width}}})(?=.)", "$1\n")
