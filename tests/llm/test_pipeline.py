@@ -24,7 +24,7 @@ def test_stages(spark, documents, sf):
 
 def test_registered():
     names = queries.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 11)) and "pipeline" in names
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 14)) and "pipeline" in names
 
 
 def test_sql(spark, sf):
