@@ -82,6 +82,13 @@ def pairwise_distance(long: DataFrame, weights: DataFrame | None = None, group:
     return tiles.mapInArrow(measure, f"`{group}` {kind}, {'replicate int, ' if with_replicates else ''}i {number}, j {number}, dist bigint")
 
 
+def neighbor_joining(d: np.ndarray) -> list[tuple[int, int | None, float | None]]:
+    """(node, parent, length) of the tree of a distance matrix; tips are 0 … n-1, the root is the last node; negative
+    lengths are 0."""
+    parents, lengths = (x[0] for x in joining.in_step(d[None])) if len(d) <= joining.IN_STEP else joining.bounded(d.astype(float))
+    return [(k, None, None) if up < 0 else (k, int(up), float(x)) for k, (up, x) in enumerate(zip(parents, lengths))]
+
+
 def nj_trees(distances: DataFrame, keys: list[str]) -> DataFrame:
     """Neighbour-joining trees, one per key: (keys, node_id, parent_id, name, length, is_tip). Rows sorted by key pass as a
     stream; one matrix at a time is held, whose size is bounded by the limit on variants."""
@@ -93,9 +100,7 @@ def nj_trees(distances: DataFrame, keys: list[str]) -> DataFrame:
         a, b = np.searchsorted(labels, i), np.searchsorted(labels, j)
         d = np.zeros((len(labels), len(labels)))
         d[a, b] = d[b, a] = dist
-        n = len(labels)
-        parents, lengths = (x[0] for x in joining.in_step(d[None])) if n <= joining.IN_STEP else joining.bounded(d)
-        return [(*key, node, None if up < 0 else int(up), str(labels[node]) if node < n else None, None if up < 0 else float(x), node < n) for node, (up, x) in enumerate(zip(parents, lengths))]
+        return [(*key, node, parent, str(labels[node]) if node < len(labels) else None, length, node < len(labels)) for node, parent, length in neighbor_joining(d)]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key, rows, types = [], None, [], None
