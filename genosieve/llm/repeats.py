@@ -158,7 +158,7 @@ def _fetch(store: DataFrame, needed: DataFrame, length: int) -> DataFrame:
                     rows += [(w["a"], w["low"], w["high"], row, w["start"], w["anchor"], w["n"], data[w["start"] : w["start"] + w["windows"] + length - 1]) for w in wanted]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), fields)], names=[n for n, _ in fields])
 
-    return store.select("row", "data").join(wanted, "row").mapInArrow(run, "key bigint, low int, high int, row bigint, start bigint, anchor int, n bigint, bytes binary")
+    return store.where(F.octet_length("data") >= length).select("row", "data").join(wanted, "row").mapInArrow(run, "key bigint, low int, high int, row bigint, start bigint, anchor int, n bigint, bytes binary")
 
 
 def _halves(contexts: DataFrame, length: int) -> DataFrame:
@@ -213,9 +213,10 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def sort_shards(contexts: DataFrame, length: int, shard_bytes: int, queue_bytes: int = QUEUE_BYTES) -> DataFrame:
-    """(row, start, stop): ranges of windows that are repeated, of the contexts that stand for themselves alone."""
-    total = contexts.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+def sort_shards(contexts: DataFrame, length: int, shard_bytes: int, queue_bytes: int = QUEUE_BYTES, total: int | None = None) -> DataFrame:
+    """(row, start, stop): ranges of windows that are repeated, of the contexts that stand for themselves alone. ``total`` is about
+    how many bytes they have."""
+    total = contexts.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0 if total is None else total
     folder = work_dir(contexts.sparkSession, "suffixes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,14 +270,20 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes:
         raise ValueError("an anchor is a part of the string")
     store = written(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"), F.monotonically_increasing_id().alias("row")), "texts")
     found = written(list_contexts(store, length, gram), "contexts")
-    kinds = found.groupBy("a", "c1", "c2").agg(F.sum("times").alias("n"), *(F.first(c).alias(c) for c in ("row", "start", "windows", "anchor")))
+    kinds = found.groupBy("c1", "c2").agg(F.sum("times").alias("n"), *(F.first(c).alias(c) for c in ("a", "row", "start", "windows", "anchor")))
     kinds = written(kinds, "kinds")
-    again = kinds.where("n > 1").select("a", "c1", "c2")
-    whole = found.join(again, ["a", "c1", "c2"], "left_semi").select("row", "start", (F.col("start") + F.col("windows") * F.col("times")).alias("stop"))
+    again = kinds.where("n > 1").select("c1", "c2")
+    whole = found.select("c1", "c2", "row", "start", (F.col("start") + F.col("windows") * F.col("times")).alias("stop")).join(again, ["c1", "c2"], "left_semi").select("row", "start", "stop")
     shared = kinds.groupBy("a").agg(F.count("*").alias("kinds")).where("kinds > 1").select("a")
-    needed = kinds.join(shared, "a", "left_semi").withColumns({"low": F.lit(0), "high": F.lit(length - gram)})
-    parts, ranges = split_hot(written(_fetch(store, needed, length), "fetched"), length, shard_bytes)
-    ranges = _union([whole, *ranges, sort_shards(parts, length, shard_bytes, queue_bytes)])
+    needed = kinds.drop("c1", "c2").join(shared, "a", "left_semi").withColumns({"low": F.lit(0), "high": F.lit(length - gram), "size": F.col("windows").cast("long") + length - 1})
+    needed = written(needed, "needed")
+    total = needed.agg(F.sum("size")).first()[0] or 0
+    hot = written(needed.groupBy("a").agg(F.sum("size").alias("size")).where(F.col("size") > shard_bytes).select("a"), "hot")
+    ranges = [whole, sort_shards(_fetch(store, needed.join(hot, "a", "left_anti"), length), length, shard_bytes, queue_bytes, total)]
+    if not hot.isEmpty():
+        parts, found_on_the_way = split_hot(written(_fetch(store, needed.join(hot, "a", "left_semi"), length), "fetched"), length, shard_bytes)
+        ranges += [*found_on_the_way, sort_shards(parts, length, shard_bytes, queue_bytes)]
+    ranges = _union(ranges)
     marks = ranges.groupBy("row").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     kind = docs.schema[id_col].dataType
 
