@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a table; ``run`` writes each one as Parquet in the shared folder and
 reads it back as the next one's ``docs``. All but the last return the columns of ``documents``.
+
+Defined results: a null or empty text has too few words and goes in the first stage; of rows with equal texts, and of near
+duplicates, that with the least id stays (null ids are rows like others); texts of any length pass whole; an empty table gives no
+rows; extra columns stay, whatever their names, until packing.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ meets it in every band; windows with a Jaccard similarity of 0.8 meet in one of
 Containment over the whole document then decides. Only native expressions are used.
 
 Defined results: null and empty texts match nothing; a template with fewer than five words is one shingle of all its
-words; rows that are repeated are reported each; an empty table gives no rows; extra columns are not touched.
+words; very long texts are scanned whole; a text that holds several templates is a row for
+each; rows that are repeated are reported each; an empty table gives no rows; extra columns are not touched.
 """
 
 from __future__ import annotations

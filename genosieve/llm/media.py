@@ -6,7 +6,7 @@ its part of the archive's directory, takes the members whose headers lie in its
 batches of bounded bytes. A member that can't be read is tried again at its offset, alone; what its neighbours gave stays.
 
 Defined results: a null or empty text is 64 zero bytes; very long texts are one member each;
-repeated rows are members of their own; extra columns are not touched; an empty table gives no
+repeated rows are members of their own, and so are rows with one id; extra columns are not touched; an empty table gives no
 archives and no rows; a member that stays unreadable fails the task (``mode=failfast``) or comes as a row with an error.
 """
 

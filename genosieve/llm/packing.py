@@ -5,8 +5,8 @@ the level (fill) h at which the sum of squared level counts becomes least, found
 still open at the end of a partition are cut again and refilled in order, and the last ones are cut at powers of two,
 at which sequences need no padding.
 
-Defined results: a null or empty text is the end id alone; repeated rows are packed one by one; an empty table gives no
-rows; extra columns are not touched. Sequence ids are unique over the whole result (partition number in the high bits).
+Defined results: a null or empty text is the end id alone; very long texts are whole, cut into full windows;
+of equally good levels the lowest is taken; repeated rows, and rows with one id, are packed one by one; an empty table gives no rows; extra columns are not touched. Sequence ids are unique over the whole result (partition number in the high bits).
 """
 
 from __future__ import annotations

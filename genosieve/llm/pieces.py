@@ -6,7 +6,8 @@ prefix is its best score; for a BPE model, whose result is not the best sum of s
 merges are valid after the piece before it, which gives exactly the library's result. Words are remembered per worker.
 
 Defined results: null and empty texts have no ids; characters without a piece fall back to bytes, else to the unknown
-id; texts of any length are whole; repeated rows are encoded alike; extra columns are not touched.
+id; texts of any length are whole; repeated rows, and rows with one id, are encoded alike;
+of equally good pieces the first merge counts, as in the library; an empty table gives no rows; extra columns are not touched.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 MARK = "▁"
 #: Distinct words, and pairs of pieces, that a Python worker remembers before it starts afresh.
 MEMORY = 700_000
-#: Before a word that no space precedes. A lone surrogate, so no text holds it.
 #: Longer words are encoded each time and never remembered, so that text without spaces takes no memory.
 LONGEST = 64
+#: Before a word that no space precedes. A lone surrogate, so no text holds it.
 _BARE = "\ud800"
 _UNITS = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 _ODD = re.compile(r"[ \n] | \n|^[ \n]|[ \n]$|\n\n|" + MARK)

@@ -4,7 +4,8 @@ Every rule is evaluated once per document; the ledger keeps one failure bit per
 versioned bit masks over the ledger, so changing a policy or measuring an ablation never reads a text again.
 
 Defined results: a null or empty text has no words and fails ``few_words``; repeated rows are judged one by one; extra
-columns of the input are not touched; an empty table gives an empty ledger.
+columns of the input are not touched; very long texts are measured whole; rows with one id are rows of their own; an empty table
+gives an empty ledger.
 """
 
 from __future__ import annotations

@@ -9,8 +9,8 @@ with little-endian 64-bit numbers throughout. The block table has a row per bloc
 first document, documents), so readers decode any block alone and whole arrays at a time. A block is a run of whole
 documents. Shards are ranges of ascending document id; ties are ordered by text, nulls come first.
 
-Defined results: a null or empty text is the end id alone; repeated rows are stored one by one; an empty table gives no
-files and no rows; extra columns are not touched.
+Defined results: a null or empty text is the end id alone; a very long text is a block of its own;
+repeated rows are stored one by one; an empty table gives no files and no rows; extra columns are not touched.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ sentences. A document scores as its worst sentence, made a probability by a logi
 Labels mark documents, so sentences of toxic documents count as toxic where they hold a token that marks such documents.
 
 Defined results: null or empty texts have no sentences and get the base rate; repeated rows score alike; with no usable
-labels every score is 0; extra columns are not touched; tokens of any length are scored in overlapping pieces.
+labels every score is 0; an empty table gives no rows; rows with one id are scored one by one; extra columns are not touched; tokens of any length are scored in overlapping pieces.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ k-way loser-tree merges order them by url key and timestamp over the whole colle
 side, in passes of bounded fan-in, and the last pass streams the capture histories.
 
 Defined results: a null payload is empty; a null url has an empty key; null ids count as the smallest; repeated rows are
-captures of their own (one of them can be the response, the others revisit it); an empty table gives no rows.
+captures of their own (one of them can be the response, the others revisit it); payloads of any length are one record; extra columns are
+not touched; an empty table gives no rows.
 """
 
 from __future__ import annotations
