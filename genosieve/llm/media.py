@@ -1,7 +1,7 @@
 """Media columns: payloads in archives, read back through a data source of byte ranges.
 
 Archives are zip files of WAV members (8-bit mono samples), written by the tasks that hold the payloads and closed at a
-bounded size. The data source knows archives by name and size only; it plans byte ranges over them. A task reads
+bounded size and number of members. The data source knows archives by name and size only; it plans byte ranges over them. A task reads
 its part of the archive's directory, takes the members whose headers lie in its range, opens each at its own offset and streams Arrow
 batches of bounded bytes. A member that can't be read is tried again at its offset, alone; what its neighbours gave stays.
 
@@ -33,6 +33,8 @@ from genosieve.llm.common import filesystem, work_dir, written
 
 #: Bytes of payload after which a task starts its next archive.
 ARCHIVE_BYTES = 256 << 20
+#: Members after which it does, too: a task holds about 500 bytes of directory for each until an archive is closed.
+ARCHIVE_MEMBERS = 100_000
 #: Bytes of an archive that one reading task plans for.
 RANGE_BYTES = 8 << 20
 #: Bytes of media in an Arrow batch.
@@ -75,7 +77,7 @@ def feature(samples: bytes) -> str:
     return f"ms={len(x) * 1000 // RATE};mean={int(x.sum() * 1000 // len(x))};rms={int(np.sqrt((x * x).sum() / len(x)) * 1000)};zc={crossings};env=" + "".join(f"{s:02x}" for s in steps)
 
 
-def write_archives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> tuple[str, DataFrame]:
+def write_archives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, archive_bytes: int = ARCHIVE_BYTES, archive_members: int = ARCHIVE_MEMBERS) -> tuple[str, DataFrame]:
     """Stores each whole text as a WAV member; returns the folder and the archives (archive, members, bytes), computed."""
     spark = df.sparkSession
     folder = path or work_dir(spark, "media")
@@ -110,7 +112,7 @@ def write_archives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 out[2].writestr(member, media)
                 out[3][0] += 1
                 out[3][1] += len(media)
-                if out[3][1] >= ARCHIVE_BYTES:
+                if out[3][1] >= archive_bytes or out[3][0] >= archive_members:
                     finish()
                     out = None
         if out:

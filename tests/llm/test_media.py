@@ -79,3 +79,13 @@ def test_a_range_reads_its_part_of_the_directory(spark, documents, monkeypatch,
         for step in (1 << 14, 1 << 15, 10_000):  # the last size has no table and falls back
             found = [(m.header_offset, m.filename, m.CRC, m.comment) for a in range(0, size, step) for m in M.members_between(f, a, min(a + step, size))]
             assert found == whole
+
+
+def test_many_small_members(spark):
+    """Archives are closed by their number of members; all come back once."""
+    df = spark.range(1000).selectExpr("id as doc_id", "cast(id % 10 as string) as text").repartition(2)
+    folder, archives = M.write_archives(df, archive_members=64)
+    rows = archives.collect()
+    assert sum(r.members for r in rows) == 1000 and max(r.members for r in rows) == 64 and len(rows) >= 16
+    found = M.describe(M.read_archives(spark, folder)).collect()
+    assert sorted(r.doc_id for r in found) == list(range(1000)) and {r.n_bytes for r in found} == {1}
