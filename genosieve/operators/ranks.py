@@ -21,7 +21,7 @@ def ranked(rows: DataFrame, order: list[Column], group: list[str] | None = None,
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(f"`{g}`") for g in group]
     tie = [F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in rows.columns)), F.monotonically_increasing_id()]
-    held = rows.select("*", *(t.alias(f"#tie{i}") for i, t in enumerate(tie)))
+    held = cut(rows.select("*", *(t.alias(f"#tie{i}") for i, t in enumerate(tie))))  # places are fixed before any bounds are drawn
     full = [*order, F.col("#tie0"), F.col("#tie1")]
     dealt = cut(held.repartitionByRange(parts, *keys, *full).withColumn("#part", F.spark_partition_id()))
     sizes = dealt.groupBy("#part", *keys).agg(F.count("*").alias("#n"))

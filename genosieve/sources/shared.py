@@ -23,10 +23,21 @@ def shared_folder(spark: SparkSession) -> str:
     return root
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """Where this application's tables lie."""
+    return f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes the tables that ``cut`` has written in this application; results that are not stored yet can't be read after it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The lineage cut: written as Parquet to the shared folder and read back, with statistics; each is computed once."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
