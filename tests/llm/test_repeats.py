@@ -122,6 +122,17 @@ def test_registered_query(spark, sf, documents):
     assert found.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] and found.count() == len(pairs)
 
 
+@pytest.mark.parametrize("n_bytes", [394, 399, 400])
+def test_shared_passages_go_from_400_bytes_on(spark, n_bytes):
+    """The limit is in bytes: a passage of over 50 words that documents share is left as long as it has fewer."""
+    rng = random.Random(n_bytes)
+    passage = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60))[:n_bytes]
+    pairs = [(i, f"{i}{passage}{i}") for i in range(3)]
+    found = rows(R.remove(spark.createDataFrame(pairs, "doc_id long, text string").repartition(3)))
+    assert len(passage) == n_bytes and len(passage.split()) > 50 and found == want(pairs, 400)
+    assert {r[2] for r in found} == {n_bytes if n_bytes >= 400 else 0}
+
+
 def test_odd_rows(odd, none):
     pairs = [(r.doc_id, r.text) for r in odd.collect()]
     assert rows(R.remove(odd)) == want(pairs, 400)
