@@ -25,9 +25,9 @@ def encode_samples(samples: DataFrame, features: DataFrame, key: str = "accessio
     return joined.withColumns({"variant_key": F.coalesce("variant_key", F.lit("")), "n_features": F.coalesce("n_features", F.lit(0).cast("long"))})
 
 
-def variants(samples: DataFrame, group: str = "lineage", date: str = "coldate") -> DataFrame:
-    """Samples of a group with the same key are one variant."""
-    return samples.groupBy(group, "variant_key").agg(F.count("*").alias("n"), F.min(date).alias("first_date"), F.max(date).alias("last_date"))
+def variants(samples: DataFrame, *more: Column, group: str = "lineage", date: str = "coldate") -> DataFrame:
+    """Samples of a group with the same key are one variant; ``more`` are further aggregates."""
+    return samples.groupBy(group, "variant_key").agg(F.count("*").alias("n"), F.min(date).alias("first_date"), F.max(date).alias("last_date"), *more)
 
 
 def number_variants(v: DataFrame, limit: int, group: str = "lineage") -> DataFrame:
@@ -39,8 +39,13 @@ def number_variants(v: DataFrame, limit: int, group: str = "lineage") -> DataFra
 def recode(v: DataFrame, limit: int, group: str = "lineage") -> tuple[DataFrame, DataFrame]:
     """(the first ``limit`` variants, numbered; (group, feature_no, feature) of their features)."""
     numbered = number_variants(v, limit, group)
+    return numbered, dictionary(numbered, group)
+
+
+def dictionary(numbered: DataFrame, group: str = "lineage") -> DataFrame:
+    """(group, feature, feature_no) of the features of variants."""
     used = numbered.select(group, F.explode(F.split("variant_key", ",")).alias("feature")).where("feature != ''").distinct()
-    return numbered, used.withColumn("feature_no", F.row_number().over(Window.partitionBy(group).orderBy("feature")) - 1)
+    return used.withColumn("feature_no", F.row_number().over(Window.partitionBy(group).orderBy("feature")) - 1)
 
 
 def feature_frequencies(samples: DataFrame, features: DataFrame, group: str = "lineage", key: str = "accession") -> DataFrame:

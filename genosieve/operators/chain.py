@@ -1,7 +1,8 @@
 """The chain from samples to bead plots and to what is served of them, and its daily run.
 
 Samples are encoded: lineage (text), accession, coldate, name, location, region, country, variant_key, n_features. All lineages
-go through together; a lineage's trees are bounded by the limit on its variants.
+go through together; a lineage's trees are bounded by the limit on its variants. Small lineages pass whole through one task (``forests``), large
+ones over node tables.
 """
 
 from __future__ import annotations
@@ -11,8 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from genosieve.functions import expressions as X
-from genosieve.operators import aggregates as A, joining as J, joins, sets as S, trees as T
-from genosieve.sources.shared import cut
+from genosieve.operators import aggregates as A, forests as H, joining as J, joins, sets as S, trees as T
+from genosieve.sources.shared import cut, cut_counting
 
 SAMPLE = ("accession", "coldate", "location", "name", "region", "country")
 
@@ -29,11 +30,43 @@ class BeadPlots:
 
 def dictionary(samples: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     """(variant features long: lineage, variant_no, feature_no; feature dictionary)."""
-    numbered, words = A.recode(A.variants(samples), limit)
+    return _features(*A.recode(A.variants(samples), limit))
+
+
+def _features(numbered: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
     long = numbered.select("lineage", "variant_no", F.explode(F.split("variant_key", ",")).alias("feature"))
     return long.join(words, ["lineage", "feature"]).select("lineage", "variant_no", "feature_no"), words
 
 
+def _by_size(numbered: DataFrame, replicates: int, *more: str) -> tuple[DataFrame, DataFrame | None]:
+    """Numbered variants as rows of small lineages (``forests``), and those of large ones, if there are any."""
+    rows, n = cut_counting(H.rows_of(numbered, *more), large=~H.is_small(F.col("v"), replicates))
+    if not n["large"]:
+        return rows, None
+    small = H.is_small(F.col("v"), replicates)
+    back = rows.where(~small).select("lineage", F.explode(F.arrays_zip("names", "keys")).alias("v"))
+    return rows.where(small), back.select("lineage", F.col("v.names").alias("variant_no"), F.col("v.keys").alias("variant_key"))
+
+
+def _large_trees(numbered: DataFrame, replicates: int) -> DataFrame:
+    return J.bootstrap_trees(*_features(numbered, A.dictionary(numbered)), replicates)
+
+
+def bootstrap_trees(numbered: DataFrame, replicates: int) -> DataFrame:
+    """(lineage, replicate, node_id, parent_id, name, length, is_tip): bootstrap trees of numbered variants (lineage, variant_no,
+    variant_key)."""
+    small, large = _by_size(numbered, replicates)
+    found = H.bootstrap_nodes(small, replicates)
+    return found if large is None else found.unionByName(_large_trees(large, replicates).select(*found.columns))
+
+
+def consensus_trees(numbered: DataFrame, replicates: int) -> DataFrame:
+    """``consensus_of`` the bootstrap trees of numbered variants; the trees of small lineages are not written."""
+    small, large = _by_size(numbered, replicates)
+    found = H.bootstrap_consensus(small, replicates)
+    return found if large is None else found.unionByName(consensus_of(_large_trees(large, replicates)).select(*found.columns))
+
+
 def consensus_of(found: DataFrame) -> DataFrame:
     """Consensus of the bootstrap trees of every lineage: (group, key, parent, support, length, size)."""
     n = found.withColumn("tree", F.concat_ws("#", "lineage", "replicate")).withColumn("name", F.lpad("name", 4, "0"))

@@ -1,8 +1,9 @@
-"""Neighbour joining: the trees of many replicates of a group at once, and of one large group by bounded search.
+"""Neighbour joining: the trees of many replicates of many groups at once, and of one large group by bounded search.
 
 A replicate's distances follow from the group's features and the replicate's weights, so a task gets the features, which are
-few, and not the distances, which are many: one matrix product gives them. Small groups join the trees of many replicates
-in step; large ones keep one matrix, changed in place, and look only at rows whose bound allows the least value.
+few, and not the distances, which are many: one matrix product gives them. Small groups of equal size join the trees of all their
+replicates in step, over pairs as rows and trees as columns; large ones keep one matrix, changed in place, and look only at rows
+whose bound allows the least value.
 
 The pair with the least ``(m - 2) d(i, j) - (r(i) + r(j))`` is joined, of equal ones that with the smallest numbers; tips are 0 …
 n - 1, a joined node is the next number, and the root is the last. Negative lengths are 0. Trees are numbered depth-first as
@@ -11,6 +12,8 @@ they are built, and carry the signatures of ``trees.clade_signatures``.
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +23,8 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Groups of more tips than this join one tree at a time; numbers of all matrices of smaller ones that a task holds.
 IN_STEP, HELD = 64, 2_000_000
+#: Numbers of the distances that are joined in one go, so that they stay near the processor.
+CHUNK = 120_000
 NODES = ("node_id", "parent_id", "name", "length", "is_tip")
 PLACES = ("pre", "size", "n_tips", "sig1", "sig2")
 
@@ -29,7 +34,90 @@ def in_step(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     k, n = d.shape[:2]
     if n == 1:
         return np.tile([1, -1], (k, 1)), np.zeros((k, 2))
-    d, each = d.astype(float), np.arange(k)
+    j, i = np.tril_indices(n, -1)
+    parent, length = joined(np.ascontiguousarray(d[:, i, j].T, float), n)
+    return parent.T, length.T
+
+
+def joined(d: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(parents, lengths) [node, tree] of the trees of distances d[pair, tree], pairs (0, 1), (0, 2), (1, 2), (0, 3), …; n > 1."""
+    top = np.abs(d).max(initial=1.0)
+    number = (n * n - 1).bit_length()  # bits of a pair's number
+    # a join makes a distance 1.5 times as long at most and a bit finer, a criterion is up to 3 n distances
+    if math.log2(top) + (n - 2) * math.log2(3) + math.log2(3 * n) + number <= 53 and (d == np.rint(d)).all():
+        return _joined_whole(d, n, 2.0 ** (n - 2 + number), (1 << number) - 1)
+    full = np.zeros((d.shape[1], n, n))
+    j, i = np.tril_indices(n, -1)
+    full[:, i, j] = full[:, j, i] = d.T
+    parent, length = _joined_plain(full)
+    return parent.T, length.T
+
+
+@functools.cache
+def _tables(m: int) -> tuple[np.ndarray, ...]:
+    """Of m nodes: the pairs (i, j), i < j, and by pair that is joined: the nodes that stay, the pairs of i and of j with them, and
+    the pairs among them."""
+    j, i = np.tril_indices(m, -1)
+    number = np.zeros((m, m), np.int64)
+    number[i, j] = number[j, i] = np.arange(len(i))
+    stay = np.array([[x for x in range(m) if x not in pair] for pair in zip(i.tolist(), j.tolist())], np.int64).T
+    b, a = np.tril_indices(m - 2, -1)
+    return i, j, stay, number[stay, i], number[stay, j], number[stay[a], stay[b]]
+
+
+def _joined_whole(d: np.ndarray, n: int, scale: float, low_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """``joined`` for whole numbers so small that all sums are exact: a pair's criterion carries its number in the low bits, so
+    that one minimum finds the first of the least pairs."""
+    k = d.shape[1]
+    each, d = np.arange(k), d * scale
+    parent, length = np.full((2 * n - 1, k), -1), np.zeros((2 * n - 1, k))
+    ids = np.repeat(np.arange(n)[:, None], k, axis=1)
+    j, i = np.tril_indices(n, -1)
+    r = np.zeros((n, k))
+    for x in range(n):
+        r[x] = d[(i == x) | (j == x)].sum(axis=0)
+    for new in range(n, 2 * n - 2):
+        m = len(r)
+        i, j, stay, to_i, to_j, rest = _tables(m)
+        at = np.arange(m)[:, None]
+        q = d * (m - 2)
+        q -= (r - at * m).take(i, axis=0)
+        q -= (r - at).take(j, axis=0)
+        a, b = np.divmod(q.min(axis=0).astype(np.int64) & low_bits, m)
+        pair = b * (b - 1) // 2 + a
+        dij, (ra, rb), (ia, ib) = d[pair, each], (r[a, each], r[b, each]), (ids[a, each], ids[b, each])
+        la = dij / 2 + (ra - rb) / (2 * (m - 2))
+        parent[ia, each] = parent[ib, each] = new
+        length[ia, each], length[ib, each] = np.maximum(la, 0) / scale, np.maximum(dij - la, 0) / scale
+
+        def of(table: np.ndarray, values: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+            index = table.take(pair, axis=1)
+            index *= k
+            index += each
+            return values.reshape(-1).take(index, out=out, mode="clip")
+
+        di, dj = of(to_i, d), of(to_j, d)
+        u = di + dj
+        u -= dij
+        u /= 2
+        rows, names, out = np.empty((m - 1, k)), np.empty((m - 1, k), np.int64), np.empty(((m - 1) * (m - 2) // 2, k))
+        rows[:-1] = of(stay, r) - di - dj + u
+        rows[-1] = u.sum(axis=0)
+        names[:-1] = of(stay, ids)
+        names[-1] = new
+        of(rest, d, out[: len(rest)])
+        out[len(rest) :] = u
+        d, r, ids = out, rows, names
+    for x in (0, 1):
+        parent[ids[x], each] = 2 * n - 2
+        length[ids[x], each] = np.maximum(d[0] / 2, 0) / scale
+    return parent, length
+
+
+def _joined_plain(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(parents, lengths) [tree, node] for matrices d[tree] of any numbers."""
+    k, n = d.shape[:2]
+    each = np.arange(k)
     parent, length = np.full((k, 2 * n - 1), -1), np.zeros((k, 2 * n - 1))
     ids = np.tile(np.arange(n), (k, 1))
     for new in range(n, 2 * n - 2):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from genosieve.operators import chain as C, joining as J, trees as T
+from genosieve.operators import aggregates as A, chain as C, trees as T
 from genosieve.plans import mapping as M
 from genosieve.plans.filters import encoded
 from genosieve.plans.registry import register
@@ -69,14 +69,14 @@ def t02_pairwise_distance(spark: SparkSession, sf: str) -> DataFrame:
     return T.pairwise_distance(family_dictionary(spark, sf)[0])
 
 
-def family_trees(spark: SparkSession, sf: str) -> DataFrame:
-    """Bootstrap trees of every family: (lineage, replicate, node_id, parent_id, name, length, is_tip) and places of the nodes."""
-    return J.bootstrap_trees(*family_dictionary(spark, sf), REPLICATES)
+def family_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """Variants of every family, numbered: (lineage, variant_no, variant_key, …)."""
+    return A.number_variants(A.variants(families(spark, sf)), LIMIT)
 
 
 @register()
 def t03_nj_trees(spark: SparkSession, sf: str) -> DataFrame:
-    return family_trees(spark, sf).select("lineage", "replicate", "node_id", "parent_id", "name", "length", "is_tip")
+    return C.bootstrap_trees(family_variants(spark, sf), REPLICATES)
 
 
 @register(NODES + "select a.tree, a.anc as node_id, count(*) as n_tips, md5(string_agg(t.name, ',' order by t.name)) as tips from anc a join nodes t on t.tree = a.tree and t.node_id = a.node_id and t.is_tip where hops > 0 group by 1, 2")
@@ -86,7 +86,7 @@ def t04_clades(spark: SparkSession, sf: str) -> DataFrame:
 
 @register()
 def t05_consensus(spark: SparkSession, sf: str) -> DataFrame:
-    return C.consensus_of(family_trees(spark, sf))
+    return C.consensus_trees(family_variants(spark, sf), REPLICATES)
 
 
 @register("""with tips as (select n_nationkey as k, n_name as name from nation), trees as (select unnest(range(4)) as tree), splits as (select tree, (k + (case when tree = 3 then 1 else 0 end)) // 5 as part, string_agg(name, ',' order by name) as key, count(*) as size from tips, trees group by 1, 2),
