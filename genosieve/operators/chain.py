@@ -9,13 +9,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from genosieve.functions import expressions as X
 from genosieve.operators import aggregates as A, forests as H, joining as J, joins, sets as S, trees as T
-from genosieve.sources.shared import cut, cut_counting
+from genosieve.sources.shared import cut, cut_counting, release
 
 SAMPLE = ("accession", "coldate", "location", "name", "region", "country")
+#: The columns of samples that bead plots are made of and hold.
+ENCODED = ("lineage", "variant_key", *SAMPLE)
 
 
 @dataclass
@@ -41,6 +43,7 @@ def _features(numbered: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFra
 def _by_size(numbered: DataFrame, replicates: int, *more: str) -> tuple[DataFrame, DataFrame | None]:
     """Numbered variants as rows of small lineages (``forests``), and those of large ones, if there are any."""
     rows, n = cut_counting(H.rows_of(numbered, *more), large=~H.is_small(F.col("v"), replicates))
+    release(numbered.sparkSession)
     if not n["large"]:
         return rows, None
     small = H.is_small(F.col("v"), replicates)
@@ -78,21 +81,32 @@ def consensus_of(found: DataFrame) -> DataFrame:
 
 def bead_plots(encoded: DataFrame, limit: int, replicates: int) -> BeadPlots:
     """Bead plots of all lineages; the consensus tree is contracted twice, as the chain does. Samples without features, and
-    variants beyond the limit, take no part."""
-    long, words = dictionary(encoded, limit)
-    nodes, supports = T.consensus_nodes(consensus_of(J.bootstrap_trees(long, words, replicates)))
-    numbered = A.number_variants(A.variants(encoded), limit).where("variant_key != ''")
-    part = F.lpad(F.col("variant_no").cast("string"), 4, "0").alias("part")
-    samples = cut(encoded.join(numbered.select("lineage", "variant_key", part), ["lineage", "variant_key"]).select("lineage", "part", *SAMPLE))
-    named = samples.select(F.col("lineage").alias("tree"), F.col("part").alias("name"), "accession", "coldate")
-    alone = named.join(nodes.select("tree").distinct(), "tree", "left_anti").select("tree", "name").distinct()  # one variant: one node, no edges
-    single = alone.select("tree", F.lit(0).cast("long").alias("node_id"), F.lit(None).cast("long").alias("parent_id"), "name", F.lit(None).cast("double").alias("length"), F.lit(True).alias("is_tip"))
-    final = cut(T.contract(nodes, passes=2).unionByName(single))
+    variants beyond the limit, take no part. Who reads the plots' samples gives ``encoded`` as a written table: it is read again
+    for them."""
+    variants = A.variants(encoded, F.min(F.struct("coldate", "accession")).alias("first"))
+    numbered = A.number_variants(variants, limit).where("variant_key != ''")
+    place = F.row_number().over(Window.partitionBy("lineage").orderBy("first"))
+    small, large = _by_size(numbered.withColumns({"place": place, "label": F.col("first.accession").cast("string")}), replicates, "n", "place", "label")
+    made = H.bead_nodes(small, replicates, T.MIN_LENGTH)
+    made = cut(made if large is None else made.unionByName(_large_beads(encoded, large, replicates).select(*made.columns)))
+    release(encoded.sparkSession)
+    edges = made.where("pos is not null").select("lineage", "pos", "parent", F.col("variant").alias("child"), F.round("length", 2).alias("dist"), "support")
+    parts = made.select("lineage", "variant", F.explode("keys").alias("variant_key"))
+    placed = encoded.join(parts, ["lineage", "variant_key"]).select("lineage", "variant", *SAMPLE)
+    return BeadPlots(made.select("lineage", "node_id", "variant", "n"), edges, placed)
+
+
+def _large_beads(encoded: DataFrame, numbered: DataFrame, replicates: int) -> DataFrame:
+    """As ``forests.bead_nodes``, of large lineages, over node tables."""
+    nodes, supports = T.consensus_nodes(consensus_of(_large_trees(numbered, replicates)))
+    part = numbered.select("lineage", "variant_key", F.lpad(F.col("variant_no").cast("string"), 4, "0").alias("part"))
+    named = cut(encoded.join(part, ["lineage", "variant_key"]).select(F.col("lineage").alias("tree"), F.col("part").alias("name"), "accession", "coldate"))
+    final = cut(T.contract(nodes, passes=2))
     names = cut(T.bead_names(final, named))
-    edges = cut(T.bead_tree(final, names, supports))
-    parts = final.join(names, ["tree", "node_id"]).select(F.col("tree").alias("lineage"), "variant", F.explode(F.split("name", r"\|")).alias("part"))
-    placed = cut(samples.join(parts, ["lineage", "part"]).select("lineage", "variant", *SAMPLE))
-    return BeadPlots(names.withColumnRenamed("tree", "lineage"), edges.withColumnRenamed("tree", "lineage"), placed)
+    edges = cut(T.bead_tree(final, names, supports)).select(F.col("tree").alias("lineage"), F.col("child").alias("variant"), "pos", "parent", F.col("dist").alias("length"), "support")
+    parts = final.select(F.col("tree").alias("lineage"), "node_id", F.explode(F.split("name", r"\|")).alias("part"))
+    keys = parts.join(part, ["lineage", "part"]).groupBy("lineage", "node_id").agg(F.collect_list("variant_key").alias("keys"))
+    return names.withColumnRenamed("tree", "lineage").join(edges, ["lineage", "variant"], "left").join(keys, ["lineage", "node_id"], "left")
 
 
 def node_table(plots: BeadPlots) -> DataFrame:

@@ -211,3 +211,94 @@ def bootstrap_nodes(rows: DataFrame, replicates: int, group: str = "lineage") ->
 
     few = rows.where("v > 1").select(group, "base", "names", "keys")
     return dealt(few).mapInArrow(lambda batches: in_chunks(batches, replicates, work), f"`{group}` {kind}, replicate int, node_id bigint, parent_id bigint, name string, length double, is_tip boolean")
+
+
+@dataclass
+class Contracted:
+    """Nodes that are left of a consensus, with their old places; ``home`` is the new place of every [group, tip]."""
+
+    old: np.ndarray
+    parent: np.ndarray
+    length: np.ndarray
+    is_tip: np.ndarray
+    home: np.ndarray
+
+
+def contracted(c: Consensus, min_length: float, passes: int) -> Contracted:
+    """As ``trees.contract``, on all trees of a chunk at once."""
+    tip = c.size == 1
+    home = np.zeros((c.group[-1] + 1, c.n), np.int64)
+    at = np.flatnonzero(tip)
+    home[c.group[at], c.tips()[at].argmax(axis=1)] = at
+    t = Contracted(np.arange(len(tip)), c.parent, c.length, tip, home)
+    for _ in range(passes):
+        root = t.parent < 0
+        short = (t.length <= min_length) & ~root
+        kids = np.bincount(t.parent[~root & ~(t.is_tip & short)], minlength=len(root))
+        stays = ~short | (~t.is_tip & (kids == 0))
+        up = np.where(root, np.arange(len(root)), t.parent)
+        while (go := ~stays[up]).any():  # roots stay
+            up[go] = up[up[go]]
+        new = np.cumsum(stays) - 1
+        homes = new[np.where(stays[t.home], t.home, up[t.home])]
+        t = Contracted(t.old[stays], np.where(root, -1, new[up])[stays], t.length[stays], (t.is_tip | (kids == 0))[stays], homes)
+    return t
+
+
+BEADS = "node_id bigint, variant string, n bigint, pos int, parent string, length double, support double, keys array<string>"
+
+
+def bead_nodes(rows: DataFrame, replicates: int, min_length: float, passes: int = 2, group: str = "lineage") -> DataFrame:
+    """(group, node_id, variant, n, pos, parent, length, support, keys): the nodes of every group's bead plot with the edge to their parent
+    (none at the root) and the keys of their variants, as ``trees.contract``, ``bead_names`` and ``bead_tree`` make them of the
+    consensus. Besides what ``groups`` reads rows have n, the samples of a variant, and place and label of its first one in the
+    group. A group of one variant is one node."""
+    kind = rows.schema[group].dataType.simpleString()
+
+    def work(own: list[Group]) -> pa.RecordBatch:
+        if len(own[0].names) > 1:
+            c = consensus(own, replicates)
+            t = contracted(c, min_length, passes)
+            roots = np.flatnonzero(c.parent < 0)
+            of, parent = c.group[t.old], t.parent
+            node, length, support = t.old - roots[of], t.length, c.support[t.old]
+        else:
+            of = np.arange(len(own))
+            node, parent, length, support = np.zeros(len(own), np.int64), np.full(len(own), -1), np.full(len(own), np.nan), np.full(len(own), np.nan)
+            t = Contracted(of, parent, length, np.ones(len(own), bool), of[:, None])
+        depth, up = np.zeros(len(of), np.int64), parent.copy()
+        while (below := up >= 0).any():
+            depth += below
+            up = np.where(below, parent[up], -1)
+        keys, n, first, label = ([[] for _ in of], [0] * len(of), [None] * len(of), [None] * len(of))
+        for g, places in zip(own, t.home.tolist()):
+            own_keys, own_n, own_first, own_label = _own(g)
+            for x, place in enumerate(places):
+                keys[place].append(own_keys[x])
+                n[place] += own_n[x]
+                if first[place] is None or own_first[x] < first[place]:
+                    first[place], label[place] = own_first[x], own_label[x]
+        pos, edge, bare = [None] * len(of), [0] * len(own), [0] * len(own)
+        for x in np.lexsort((node, depth, of)).tolist():
+            g = of[x]
+            if parent[x] >= 0:
+                pos[x] = edge[g]
+                edge[g] += 1
+            if label[x] is None:
+                label[x] = f"unsampled{bare[g]}"
+                bare[g] += 1
+        parents = [label[p] if p >= 0 else None for p in parent.tolist()]
+        root = parent < 0
+        cols = [
+            pa.array([g.key.as_py() for g in own], own[0].key.type).take(pa.array(of)), pa.array(node), pa.array(label, pa.string()), pa.array(n, pa.int64()), pa.array(pos, pa.int32()),
+            pa.array(parents, pa.string()), pa.array(length, mask=root), pa.array(support, mask=root | np.isnan(support)), pa.array(keys, pa.list_(pa.string())),
+        ]
+        return pa.RecordBatch.from_arrays(cols, names=[group, "node_id", "variant", "n", "pos", "parent", "length", "support", "keys"])
+
+    some = rows.select(group, "base", "names", "keys", "n", "place", "label")
+    return dealt(some).mapInArrow(lambda batches: in_chunks(batches, replicates, work), f"`{group}` {kind}, {BEADS}")
+
+
+def _own(g: Group) -> tuple[list, ...]:
+    """Keys, samples, and place and label of the first sample, of a group's variants."""
+    return tuple(g.batch.column(c)[g.row].values.to_pylist() for c in (3, 4, 5, 6))

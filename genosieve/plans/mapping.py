@@ -32,9 +32,9 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct (accession, typ, pos, alt)."""
+    """Distinct (accession, typ, pos, alt), dealt by accession, so that sums by it don't move rows again."""
     l = table(spark, sf_dir, "lineitem")
-    return l.select(F.col("l_orderkey").alias("accession"), F.col("l_returnflag").alias("typ"), F.col("l_linenumber").alias("pos"), F.col("l_linestatus").alias("alt")).distinct()
+    return l.select(F.col("l_orderkey").alias("accession"), F.col("l_returnflag").alias("typ"), F.col("l_linenumber").alias("pos"), F.col("l_linestatus").alias("alt")).repartition("accession").distinct()
 
 
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:

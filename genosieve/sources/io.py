@@ -105,7 +105,7 @@ def write_clusters(samples: DataFrame, edges: DataFrame, path: str, group: str =
     n = samples.select(F.to_json(F.struct(F.col(group).alias("lineage"), F.create_map(F.col("variant"), s).alias("nodes"))).alias("value"))
     e = edges.join(samples.select(group).distinct(), group, "left_semi")
     e = e.select(F.to_json(F.struct(F.col(group).alias("lineage"), F.array(F.struct("pos", "parent", "child", "dist", "support")).alias("edges"))).alias("value"))
-    n.unionByName(e).write.text(path)
+    n.unionByName(e).write.text(path, compression="gzip")  # the same words in every line
 
 
 def read_clusters(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

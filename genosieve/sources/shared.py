@@ -38,10 +38,16 @@ def cut(df: DataFrame) -> DataFrame:
     """The lineage cut: written as Parquet to the shared folder and read back, with statistics; each is computed once."""
     spark = df.sparkSession
     path = f"{_own_folder(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, upon which Spark deletes the shuffle files of jobs that are over; else they stay on the
+    executors' disks until it happens to. For after a large table's cut, when what it was made of is not read again."""
+    spark._jvm.System.gc()
+
+
 def cut_counting(df: DataFrame, **conditions: Column) -> tuple[DataFrame, dict[str, int]]:
     """``cut``, and how many rows meet each condition, counted as they are written (a task that runs twice counts twice, so
     only whether there are any is exact)."""

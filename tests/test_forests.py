@@ -8,9 +8,9 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from genosieve.operators import aggregates as A, chain as C, joining as J
-from genosieve.plans import trees as P
-from genosieve.sources import shared
+from genosieve.operators import aggregates as A, chain as C, forests as H, joining as J
+from genosieve.plans import beads as B, trees as P
+from genosieve.sources import io, shared
 
 SIZES = {"a": 1, "b": 2, "c": 3, "d": 6, "e": 6, "f": 9, "g": 17, "h": 30, "i": 66}
 
@@ -47,6 +47,19 @@ def test_consensus_and_trees_of_small_groups(spark, replicates):
     assert found == rows(C.consensus_of(trees), *columns) and len(found) > sum(SIZES.values())
 
 
+def test_bead_plots_of_small_groups(spark, monkeypatch):
+    s = samples(spark, 5)
+    small = C.bead_plots(s, 5000, 10)
+    monkeypatch.setattr(H, "SMALL", 1)
+    large = C.bead_plots(s, 5000, 10)
+    assert rows(small.nodes, "lineage", "node_id", "variant", "n") == rows(large.nodes, "lineage", "node_id", "variant", "n")
+    assert rows(small.samples, "lineage", "variant", *C.SAMPLE) == rows(large.samples, "lineage", "variant", *C.SAMPLE)
+    columns = ["lineage", "pos", "parent", "child", "support"]
+    assert rows(small.edges, *columns) == rows(large.edges, *columns)
+    dist = {(x.lineage, x.child): x.dist for x in large.edges.collect()}
+    assert all(abs(dist[x.lineage, x.child] - x.dist) < 0.011 for x in small.edges.collect())
+
+
 def test_joining_of_whole_numbers_is_that_of_any():
     r = np.random.default_rng(2)
     for n in (2, 3, 5, 9, 14, 20):
@@ -67,3 +80,24 @@ def test_trees_of_small_groups_are_not_written(spark, sf):
     before = written(folder)
     P.t05_consensus(spark, sf).count()
     assert sum(pq.read_metadata(f).num_rows for f in written(folder) - before) <= variants
+
+
+def rows_written(spark, query, sf):
+    folder = shared.shared_folder(spark).removeprefix("file://")
+    before = written(folder)
+    query(spark, sf).count()
+    return sum(pq.read_metadata(f).num_rows for f in written(folder) - before)
+
+
+@pytest.mark.parametrize("name", ["bead_clusters"])
+def test_bead_plots_write_no_trees(spark, sf, name):
+    """Of a hundred trees of every family nothing is written but what is served: a few rows a sample."""
+    assert rows_written(spark, getattr(B, name), sf) <= 10 * P.families(spark, sf).count()
+
+
+def test_cluster_files_are_compressed(spark, tmp_path):
+    samples = spark.range(3000).selectExpr("'A' as lineage", "'v' as variant", "'2024-01-01' as coldate", "cast(id as string) as accession", "'x' as location", "'n' as name").coalesce(1)
+    edges = spark.range(1).selectExpr("'A' as lineage", "0 as pos", "'v' as parent", "'w' as child", "1.0D as dist", "0.5D as support")
+    io.write_clusters(samples, edges, path := f"{tmp_path}/clusters")
+    assert sum(os.path.getsize(f"{path}/{f}") for f in os.listdir(path) if f.startswith("part")) < 3000 * 20  # a line has over 100 bytes
+    assert sorted(map(tuple, io.read_clusters(spark, path)[0].collect())) == sorted(map(tuple, samples.collect()))
