@@ -123,10 +123,15 @@ def cluster_tables(plots: BeadPlots) -> dict[str, DataFrame]:
     labels = s.groupBy("lineage", "variant_key").agg(F.min_by(X.short_label(F.col("name")), F.struct("coldate", "accession", "location", "name")).alias("label"))
     variants = cut(A.variant_summary(s, names).join(labels, ["lineage", "variant_key"], "left").withColumn("label", F.coalesce("label", "variant_key")))
     ends = variants.select("lineage", F.col("variant_key").alias("accession"), "label", "x1")
+    return {"variants": variants, "points": A.points(s), "edges": joins.edge_table(plots.edges, ends, ["lineage"]), "clusters": cluster_summaries(plots)}
+
+
+def cluster_summaries(plots: BeadPlots) -> DataFrame:
+    """One summary per lineage of its bead plot; the samples are read for each of its parts, so they are written first."""
+    s = cut(plots.samples.select("lineage", *(c for c in SAMPLE if c != "name")))
     extents = A.cluster_extents(plots.edges, s)
     counts = plots.nodes.groupBy("lineage").agg(F.count("*").alias("n_nodes"), F.sum("n").alias("n_samples"))
-    summary = A.cluster_summary(s).join(extents, "lineage").join(counts, "lineage")
-    return {"variants": variants, "points": A.points(s), "edges": joins.edge_table(plots.edges, ends, ["lineage"]), "clusters": summary}
+    return A.cluster_summary(s).join(extents, "lineage").join(counts, "lineage")
 
 
 def daily_run(stored: BeadPlots | None, new: DataFrame, current: DataFrame, limit: int, replicates: int) -> tuple[DataFrame, BeadPlots]:

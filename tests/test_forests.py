@@ -89,7 +89,7 @@ def rows_written(spark, query, sf):
     return sum(pq.read_metadata(f).num_rows for f in written(folder) - before)
 
 
-@pytest.mark.parametrize("name", ["bead_clusters"])
+@pytest.mark.parametrize("name", ["bead_clusters", "bead_summaries"])
 def test_bead_plots_write_no_trees(spark, sf, name):
     """Of a hundred trees of every family nothing is written but what is served: a few rows a sample."""
     assert rows_written(spark, getattr(B, name), sf) <= 10 * P.families(spark, sf).count()
@@ -101,3 +101,13 @@ def test_cluster_files_are_compressed(spark, tmp_path):
     io.write_clusters(samples, edges, path := f"{tmp_path}/clusters")
     assert sum(os.path.getsize(f"{path}/{f}") for f in os.listdir(path) if f.startswith("part")) < 3000 * 20  # a line has over 100 bytes
     assert sorted(map(tuple, io.read_clusters(spark, path)[0].collect())) == sorted(map(tuple, samples.collect()))
+
+
+def test_summaries_are_those_of_the_served_tables(spark):
+    """Without the other tables being written."""
+    plots = C.bead_plots(samples(spark, 7).where("lineage < 'h'"), 5000, 6)
+    folder = shared.shared_folder(spark).removeprefix("file://")
+    before = written(folder)
+    own = C.cluster_summaries(plots)
+    assert own.count() == 7 and not any("label" in pq.read_schema(f).names for f in written(folder) - before)
+    assert sorted(map(str, own.collect())) == sorted(map(str, C.cluster_tables(plots)["clusters"].collect()))
