@@ -8,6 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from genosieve.functions import expressions as X
+from genosieve.sources.shared import cut
 
 MIN_LENGTH, MAX_MISSING, MAX_AMBIGUOUS = 29_000, 300, 0.05
 
@@ -28,10 +29,16 @@ def qc_counts(df: DataFrame, reason: Column) -> DataFrame:
 
 
 def mask_features(features: DataFrame, mask: DataFrame, substitution: str = "~", deletion: str = "-") -> DataFrame:
-    """Without substitutions at masked positions whose base occurs in the mask's text, and without N outside deletions."""
-    m = mask.select(F.col("pos").alias("m_pos"), F.col("alt").alias("m_alt"))
-    hit = (F.col("pos") == F.col("m_pos")) & (F.col("typ") == substitution) & F.contains(F.col("m_alt"), F.col("alt"))
-    return features.join(m, hit, "left_anti").where((F.col("typ") == deletion) | ~F.col("alt").contains("N"))
+    """Without substitutions at masked positions whose base occurs in the mask's text, and without N outside deletions.
+
+    Texts are searched once for every different base of a position, so neither a mask's copies nor a position's features
+    multiply; the (position, base) pairs found are a written table, whose size tells whether they go to every task."""
+    m = mask.select(F.col("pos").alias("m_pos"), F.col("alt").alias("m_text")).distinct()
+    bases = features.where(F.col("typ") == substitution).select("pos", "alt").distinct()
+    found = bases.join(m, (F.col("pos") == F.col("m_pos")) & F.contains(F.col("m_text"), F.col("alt")), "left_semi")
+    found = cut(found.select(F.col("pos").alias("m_pos"), F.col("alt").alias("m_alt")))
+    hit = (F.col("pos") == F.col("m_pos")) & (F.col("alt") == F.col("m_alt")) & (F.col("typ") == substitution)
+    return features.join(found, hit, "left_anti").where((F.col("typ") == deletion) | ~F.col("alt").contains("N"))
 
 
 def drop_unmutated(samples: DataFrame, features: DataFrame, key: str = "accession") -> DataFrame:
