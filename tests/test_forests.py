@@ -4,11 +4,12 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from genosieve.operators import aggregates as A, chain as C, forests as H, joining as J
+from genosieve.operators import aggregates as A, chain as C, forests as H, joining as J, trees as T
 from genosieve.plans import beads as B, trees as P
 from genosieve.sources import io, shared
 
@@ -111,3 +112,20 @@ def test_summaries_are_those_of_the_served_tables(spark):
     own = C.cluster_summaries(plots)
     assert own.count() == 7 and not any("label" in pq.read_schema(f).names for f in written(folder) - before)
     assert sorted(map(str, own.collect())) == sorted(map(str, C.cluster_tables(plots)["clusters"].collect()))
+
+
+def test_draws_are_those_of_the_weights_table(spark):
+    words = spark.createDataFrame([(g, k) for g, n in (("a", 7), ("ä#1", 1), ("", 40)) for k in range(n)], "lineage string, feature_no int")
+    n = words.groupBy("lineage").agg(F.count("*").cast("int").alias("n"), F.xxhash64(F.lit(1), "lineage").alias("base")).distinct()
+    own = {(r.lineage, 3 + k, f): w for r in n.collect() for k, row in enumerate(H.weights(r.base, r.n, 3, 6).tolist()) for f, w in enumerate(row) if w}
+    want = T.bootstrap_weights(words, 9).where("replicate >= 3").collect()
+    assert own == {(r.lineage, r.replicate, r.feature_no): r.weight for r in want}
+
+
+def test_groups_of_one_size_go_through_together():
+    """Trees of a family at a time were too few to fill a step."""
+    keys = [["f1,f2", "f1", "f3"]] * 40 + [["f1", "f2"]] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array([str(x) for x in range(43)]), pa.array(range(43)), pa.array([list(range(len(k))) for k in keys]), pa.array(keys)], names=["lineage", "base", "names", "keys"])
+    sizes = []
+    list(H.in_chunks(iter([batch]), 100, lambda own: sizes.append((len(own[0].names), len(own), H.trees_of(own)[0].shape))))
+    assert sorted(sizes) == [(2, 3, (3, 300)), (3, 40, (5, 4000))]
